@@ -108,7 +108,8 @@ def read_corpus(spark: SparkSession, manifest: DataFrame, path: str) -> DataFram
                         at = to
 
     parts = staged(with_bases(manifest), "parts")
-    rows = parts.repartition(F.col("part")).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # one task for each file: the manifest is small for what it stands for
+    rows = parts.repartition(max(1, parts.count()), "part").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
     return rows.withColumn("doc_id", F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")))
 
 
