@@ -21,7 +21,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -119,7 +118,7 @@ def repeated_spans(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
             busy = cut[1:] > cut[:-1]
             text, s, e = bw.normalised(data, start, end)
             plain = [None if b else hashlib.sha256(text[s[i] : e[j - 1]] if j > i else b"").hexdigest() for b, i, j in zip(busy.tolist(), first[:-1].tolist(), first[1:].tolist(), strict=True)]
-            texts = pc.if_else(pa.array(busy), batch.column("text").cast(pa.string()), pa.scalar(None, pa.string()))
+            texts = batch.column("text").take(pa.array(np.arange(len(busy)), mask=~busy))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("text_hash"), texts, pa.array(np.diff(first)), pa.array(plain, pa.string()), _list((go - begin).astype(np.int32), cut), _list(values.view(np.int64), cut)],
                 ["id", "text_hash", "text", "n_words", "kept_sha256", "starts", "windows"],
