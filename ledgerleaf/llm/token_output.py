@@ -1,8 +1,8 @@
 """Token ids as flat binary files with 64-bit document offsets, read back by memory map.
 
 Layout of a corpus: for each part, in ascending order of document id,
-``<part>.bin`` holds all ids as little-endian unsigned 32-bit integers and
-``<part>.idx`` holds n + 1 little-endian 64-bit offsets (in ids, from 0)
+``<part>.bin`` holds all ids as little-endian unsigned integers, of 16 bits if
+the vocabulary fits and 32 otherwise, and ``<part>.idx`` holds n + 1 little-endian 64-bit offsets (in ids, from 0)
 followed by the n document ids as 64-bit integers. A manifest table names the
 files of the tasks that succeeded. A part's base, the number of ids before it
 in the corpus, is a prefix sum over the manifest.
@@ -41,6 +41,8 @@ def write_corpus(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     """
     tokenizer = tokenizer or tokens.default_path()
 
+    width = tokens.id_width(tokenizer, end_id)
+
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(path)
         store.create_dir(root, recursive=True)
@@ -52,7 +54,7 @@ def write_corpus(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
         for batch, flat, offsets in tokens.encoded(batches, tokenizer):
             out = out or store.open_output_stream(f"{root}/{name}.bin")
             n = batch.num_rows
-            full = np.full(len(flat) + n, end_id, dtype="<u4")
+            full = np.full(len(flat) + n, end_id, dtype=f"<u{width}")
             full[np.arange(len(flat)) + np.repeat(np.arange(n), np.diff(offsets))] = flat
             out.write(full.tobytes())
             sizes.append(np.diff(offsets) + 1)
@@ -64,11 +66,11 @@ def write_corpus(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
         with store.open_output_stream(f"{root}/{name}.idx") as index:
             index.write(np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype("<i8").tobytes())
             index.write(np.concatenate(ids).astype("<i8").tobytes())
-        yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "file": [name], "n_docs": [docs_seen], "n_tokens": [total]})
+        yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "file": [name], "n_docs": [docs_seen], "n_tokens": [total], "width": [width]})
 
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text_col).alias("text"))
     dealt = rows.repartitionByRange("id").sortWithinPartitions("id")
-    return staged(dealt.mapInArrow(write, "part long, file string, n_docs long, n_tokens long"), "manifest")
+    return staged(dealt.mapInArrow(write, "part long, file string, n_docs long, n_tokens long, width long"), "manifest")
 
 
 def with_bases(manifest: DataFrame) -> DataFrame:
@@ -97,8 +99,9 @@ def read_corpus(spark: SparkSession, manifest: DataFrame, path: str) -> DataFram
                     while at < n:
                         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK, side="right")) - 1)
                         base = int(offsets[at])
-                        data.seek(4 * base)
-                        block = memoryview(data.read(4 * (int(offsets[to]) - base)))
+                        data.seek(row["width"] * base)
+                        ids32 = np.frombuffer(data.read(row["width"] * (int(offsets[to]) - base)), dtype=f"<u{row['width']}").astype("<u4")
+                        block = memoryview(ids32.tobytes())
                         cut = ((offsets[at : to + 1] - base) * 4).tolist()
                         crc = [zlib.crc32(block[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)]
                         yield pa.RecordBatch.from_arrays(
