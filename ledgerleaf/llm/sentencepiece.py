@@ -303,7 +303,7 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = model(path)
-        for batch in bw.slices(batches, "text"):
+        for batch in bw.slices(batches, "text", 4 << 20):
             ids, offsets = use.encode(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))], [id_col, "ids"])
 
@@ -338,7 +338,7 @@ def piece_digests(docs: DataFrame, path: str | None = None, id_col: str = "doc_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = model(path)
-        for batch in bw.slices(batches, "text"):
+        for batch in bw.slices(batches, "text", 4 << 20):
             ids, offsets = use.encode(batch.column("text"))
             parts = [ids[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             texts = [use.decode(p) for p in parts]
