@@ -67,35 +67,53 @@ def _normal_tail(z: Column) -> Column:
     return poly * F.exp(-x * x)
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, also inside the lambdas of ``body``."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def battery(token: Column) -> Column:
     """Struct of a token's figures: n, encoding, p_chi, p_runs, p_serial, and log10 of the written-text p-value."""
-    core = F.regexp_replace(token, "=+$", "")
-    n = F.length(core).cast("double")
-    encoding = F.coalesce(*[F.when(core.rlike(p), F.lit(name)) for name, p, _ in ALPHABETS], F.lit("other"))
-    letters = F.coalesce(*[F.when(core.rlike(p), F.lit(chars)) for _, p, chars in ALPHABETS], F.lit(ALPHABETS[-1][2] + "+/="))
-    k = F.length(letters).cast("double")
-    chars = F.split(core, "")
-    codes = F.transform(chars, lambda c: (F.instr(letters, c) - 1).cast("double"))
-    squares = F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda a, c: a + F.pow(n - F.length(F.replace(core, c, F.lit(""))), F.lit(2.0)))
+    first = F.struct(
+        F.regexp_replace(token, "=+$", "").alias("core"),
+        F.coalesce(*[F.when(F.regexp_replace(token, "=+$", "").rlike(p), F.struct(F.lit(name).alias("name"), F.lit(chars).alias("chars"))) for name, p, chars in ALPHABETS], F.struct(F.lit("other").alias("name"), F.lit(ALPHABETS[-1][2] + "+/=").alias("chars"))).alias("alphabet"),
+    )
+    codes = lambda x: F.transform(F.split(x["core"], ""), lambda c: (F.instr(x["alphabet"]["chars"], c) - 1).cast("double"))
+    return _let(first, lambda x: _let(codes(x), lambda c: _let(F.aggregate(c, F.lit(0.0), lambda a, v: a + v) / F.size(c), lambda mean: _tests(x["core"], x["alphabet"]["name"], x["alphabet"]["chars"], c, mean))))
+
+
+def _tests(core: Column, encoding: Column, letters: Column, codes: Column, mean: Column) -> Column:
+    n, k = F.length(core).cast("double"), F.length(letters).cast("double")
+    squares = F.aggregate(F.array_distinct(F.split(core, "")), F.lit(0.0), lambda a, c: a + F.pow(n - F.length(F.replace(core, c, F.lit(""))), F.lit(2.0)))
     chi = (k / n * squares - n - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
-    high = F.transform(codes, lambda c: (c >= k / 2).cast("double"))
-    n1 = F.aggregate(high, F.lit(0.0), lambda a, x: a + x)
-    n2 = n - n1
-    after = lambda xs: F.slice(xs, F.lit(2), F.greatest(F.size(xs) - 1, F.lit(0)))
-    runs = 1 + F.aggregate(F.zip_with(F.slice(high, F.lit(1), F.greatest(F.size(high) - 1, F.lit(0))), after(high), lambda a, b: F.abs(a - b)), F.lit(0.0), lambda a, x: a + x)
-    both = 2 * n1 * n2
+    half = k / 2
+    sides = F.aggregate(  # one pass: characters in the upper half, changes of side, squares and lag-one products about the mean
+        codes,
+        F.struct(F.lit(0.0).alias("high"), F.lit(0.0).alias("turns"), F.lit(0.0).alias("var"), F.lit(0.0).alias("lag"), F.lit(None).cast("double").alias("last")),
+        lambda a, v: F.struct(
+            (a["high"] + (v >= half).cast("double")).alias("high"),
+            (a["turns"] + F.coalesce(((v >= half) != (a["last"] >= half)).cast("double"), F.lit(0.0))).alias("turns"),
+            (a["var"] + (v - mean) * (v - mean)).alias("var"), (a["lag"] + F.coalesce((v - mean) * (a["last"] - mean), F.lit(0.0))).alias("lag"), v.alias("last"),
+        ),
+    )
+    return _let(sides, lambda s: _figures(core, encoding, n, chi, s))
+
+
+def _figures(core: Column, encoding: Column, n: Column, chi: Column, s: Column) -> Column:
+    both, runs = 2 * s["high"] * (n - s["high"]), 1 + s["turns"]
     z_runs = F.when((both > n) & (n > 1), (runs - 1 - both / n) / F.sqrt(both * (both - n) / (n * n * (n - 1)))).otherwise(F.lit(99.0))
-    mean = F.aggregate(codes, F.lit(0.0), lambda a, x: a + x) / n
-    var = F.aggregate(codes, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean))
-    lag = F.aggregate(F.zip_with(F.slice(codes, F.lit(1), F.greatest(F.size(codes) - 1, F.lit(0))), after(codes), lambda a, b: (a - mean) * (b - mean)), F.lit(0.0), lambda a, x: a + x)
-    z_serial = F.when(var > 0, (lag / var + 1 / n) * F.sqrt(n)).otherwise(F.lit(99.0))
+    z_serial = F.when(s["var"] > 0, (s["lag"] / s["var"] + 1 / n) * F.sqrt(n)).otherwise(F.lit(99.0))
     plain = F.regexp_replace(core, "[^A-Za-z0-9]", "")
-    classes = F.translate(F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, "[a-z]+", "l"), "[A-Z]+", "u"), "[0-9]+", "d"), "", "")
+    classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(plain, "[a-z]+", "l"), "[A-Z]+", "u"), "[0-9]+", "d")
     pairs = F.greatest(F.length(plain) - 1, F.lit(1)).cast("double")
-    rate = F.least((F.length(classes) - 1) / pairs, F.lit(0.999))
-    bound = F.when(rate > CHANGES, rate * F.ln(rate / CHANGES) + (1 - rate) * F.ln((1 - rate) / (1 - CHANGES))).otherwise(F.lit(0.0))
+
+    def bound(rate: Column) -> Column:
+        kl = F.when(rate > CHANGES, rate * F.ln(rate / CHANGES) + (1 - rate) * F.ln((1 - rate) / (1 - CHANGES))).otherwise(F.lit(0.0))
+        return -pairs * kl / F.lit(2.302585092994046)
+
+    log_p = _let(F.least((F.length(classes) - 1) / pairs, F.lit(0.999)), bound)
     return F.struct(
-        n.cast("int").alias("n"), encoding.alias("encoding"), F.when(chi > 0, _normal_tail(chi) / 2).otherwise(F.lit(0.5)).alias("p_chi"), _normal_tail(z_runs).alias("p_runs"), _normal_tail(z_serial).alias("p_serial"), (-pairs * bound / F.lit(2.302585092994046)).alias("log_p"),
+        n.cast("int").alias("n"), encoding.alias("encoding"), F.when(chi > 0, _normal_tail(chi) / 2).otherwise(F.lit(0.5)).alias("p_chi"), _normal_tail(z_runs).alias("p_runs"), _normal_tail(z_serial).alias("p_serial"), log_p.alias("log_p"),
     )
 
 
