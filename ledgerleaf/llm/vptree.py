@@ -30,7 +30,7 @@ from ledgerleaf.llm.pq_dedup import usable
 from ledgerleaf.llm.staging import new_path, staged
 
 #: Rows of a shard and of a block of queries; shards that a task searches one after the other; points of a leaf.
-SHARD, BLOCK, RUN, LEAF = 8192, 512, 4, 64
+SHARD, BLOCK, RUN, LEAF = 8192, 512, 4, 512
 
 
 class Tree:
