@@ -172,11 +172,11 @@ def with_doc(spark, d):
 
 
 def flat(df):
-    return df.select("chunk_id", F.posexplode("pooled").alias("dim", "v")).select("chunk_id", "dim", F.round("v", 6).alias("v"))
+    return df.select("chunk_id", F.posexplode("pooled").alias("dim", "v")).select("chunk_id", "dim", (F.round("v", 6) + F.lit(0.0)).alias("v"))
 
 
 def pooled(expr: str, ctes: str = "") -> str:
-    return q(f"SELECT chunk_id, CAST(dim - 1 AS INTEGER) AS dim, round({expr}, 6) AS v FROM (SELECT c.*, dv, list_cosine_similarity(embedding, dv) AS cs FROM v_chunks c JOIN v_docv USING (doc_id)) x, unnest(range(1, 65)) AS t(dim)", v_chunks(), DOCV)
+    return q(f"SELECT chunk_id, CAST(dim - 1 AS INTEGER) AS dim, round({expr}, 6) + 0.0 AS v FROM (SELECT c.*, dv, list_cosine_similarity(embedding, dv) AS cs FROM v_chunks c JOIN v_docv USING (doc_id)) x, unnest(range(1, 65)) AS t(dim)", v_chunks(), DOCV)
 
 
 def v_chunks() -> str:
@@ -227,9 +227,9 @@ def _(spark, d):
     return out.agg(F.count("embedding").alias("n_chunks"), F.count_distinct("key").alias("n_cached")).withColumn("hits", F.col("n_chunks") - F.col("n_cached"))
 
 
-@query("e9_doc_vectors", q("SELECT doc_id, CAST(dim - 1 AS INTEGER) AS dim, round(dv[dim], 6) AS v FROM v_docv, unnest(range(1, 65)) AS t(dim)", EMB, DOCV))
+@query("e9_doc_vectors", q("SELECT doc_id, CAST(dim - 1 AS INTEGER) AS dim, round(dv[dim], 6) + 0.0 AS v FROM v_docv, unnest(range(1, 65)) AS t(dim)", EMB, DOCV))
 def _(spark, d):
-    return embed.doc_vectors(chunks(spark, d)).select("doc_id", F.posexplode("doc_vector").alias("dim", "v")).withColumn("v", F.round("v", 6))
+    return embed.doc_vectors(chunks(spark, d)).select("doc_id", F.posexplode("doc_vector").alias("dim", "v")).withColumn("v", F.round("v", 6) + F.lit(0.0))
 
 
 @query("e10_nearest", q("SELECT doc_id, a, b, round(s, 6) AS similarity, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS rank FROM (SELECT a.doc_id, a.chunk_id AS a, b.chunk_id AS b, list_cosine_similarity(a.embedding, b.embedding) AS s FROM v_chunks a JOIN v_chunks b ON b.doc_id = a.doc_id AND a.chunk_id <> b.chunk_id)) WHERE rank <= 5", EMB))
