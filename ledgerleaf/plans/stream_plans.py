@@ -32,6 +32,12 @@ def _(spark, d):
     return s.run_available(s.stream_counts(own, ["doc_id", "type"]), "complete")
 
 
+@query("t2_stream_context", "SELECT conv_id AS doc_id, CAST(turn + 1 AS INTEGER) AS page_number, concat_ws(chr(10), lag(substr(text, 1, 50), 2) OVER w, lag(substr(text, 1, 50)) OVER w) AS context FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)")
+def _(spark, d):
+    own = s.read_stream(spark, f"{d}/conversations.parquet").select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("page_number"), "text")
+    return s.run_available(s.stream_context(own, 2, 50), "append")
+
+
 @query("t3_stream_cost", q("SELECT doc_id, CAST(date_trunc('day', ts) AS VARCHAR)[1:10] AS day, round(sum((input_tokens * 1.25 + output_tokens * 10.0 + image_tokens * 2.0) / 1000000), 8) AS cost, count(*) AS n FROM v_calls GROUP BY 1, 2", v.CALLS))
 def _(spark, d):
     tokens = F.floor(F.col("value") * 10).cast("long")

@@ -72,6 +72,22 @@ def stream_status(stream: DataFrame) -> DataFrame:
     return stream.groupBy("source").applyInPandasWithState(changes, "source long, event_id long, status string", "status string", "append", GroupStateTimeout.NoTimeout)
 
 
+def stream_context(stream: DataFrame, context: int = 2, head: int = 500) -> DataFrame:
+    """Each page with the heads of the pages before it in its document; state holds the last ``context`` heads. Pages of a batch are taken in order."""
+
+    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        heads = list(state.get[0]) if state.exists else []
+        rows = pd.concat(list(batches)).sort_values("page_number")
+        before = []
+        for text in rows["text"].fillna(""):
+            before.append("\n".join(heads))
+            heads = [*heads, text[:head]][-context:]
+        state.update((heads,))
+        yield rows.assign(context=before)[["doc_id", "page_number", "context"]]
+
+    return stream.groupBy("doc_id").applyInPandasWithState(follow, "doc_id long, page_number int, context string", "heads array<string>", "append", GroupStateTimeout.NoTimeout)
+
+
 def stream_progress(stream: DataFrame) -> DataFrame:
     """The latest stage of each document."""
     return stream.groupBy("doc_id").agg(F.max_by("stage", F.struct("ts", "event_id")).alias("stage"), F.count(F.lit(1)).alias("n_events"))
