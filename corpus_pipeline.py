@@ -25,8 +25,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: that of the smallest id. Rows without an id stay."""
-    kept = simhash_dedup(docs, ngram=5, bits=4).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    """One document of each group of near copies: that of the smallest id. Rows without an id stay.
+
+    Shingles have five words; copies that share 0.8 or more of them mostly
+    differ in up to six bits, unrelated texts in about 32 (by chance in six or
+    fewer once in 2e11 pairs).
+    """
+    kept = simhash_dedup(docs, ngram=5, bits=6, segments=7).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
     once = docs.where(F.col("doc_id").isNotNull()).join(kept.hint("merge"), F.col("doc_id") == F.col("kept_id"), "left_semi")
     return once.select(*docs.columns).union(docs.where(F.col("doc_id").isNull()))
 

@@ -130,7 +130,7 @@ def _run_links(ring: Ring, key: np.ndarray, group: np.ndarray, fp: np.ndarray, m
     return forest(a, b)
 
 
-def near_links(distinct: DataFrame, bits: int = 4, block: int = BLOCK) -> DataFrame:
+def near_links(distinct: DataFrame, bits: int = 4, block: int = BLOCK, segments: int | None = None) -> DataFrame:
     """(a, b): links that connect the same fingerprints as all pairs with at most ``bits`` differing bits do.
 
     ``distinct`` has one row per fingerprint in column fp. Pairs are compared
@@ -138,7 +138,7 @@ def near_links(distinct: DataFrame, bits: int = 4, block: int = BLOCK) -> DataFr
     links. Keys with over ``block`` fingerprints are split into blocks that
     are compared with each other in separate tasks.
     """
-    ring = Ring(bits, bits + 2)
+    ring = Ring(bits, segments or bits + 2)
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,19 +195,20 @@ def near_links(distinct: DataFrame, bits: int = 4, block: int = BLOCK) -> DataFr
     return dealt.mapInArrow(pairs, "a long, b long")
 
 
-def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 4, bits: int = 4) -> DataFrame:
+def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 4, bits: int = 4, segments: int | None = None) -> DataFrame:
     """One row per row of ``docs``: its id, fingerprint (16 hex digits) and component_id.
 
     Texts are lower-cased (A-Z) and cut into words; fingerprints that differ
     in at most ``bits`` bits are linked, and component_id is the smallest id
     reachable. Null, empty and wordless texts have fingerprint zero and link
-    like any other; repeated rows each return; rows with a null id keep it and
+    like any other; ``segments`` (more than ``bits``) trades longer keys for
+    fewer candidates; repeated rows each return; rows with a null id keep it and
     never name a component unless all of it is null; an empty table gives
     none. Columns other than the two named are not used.
     """
     fps = staged(fingerprints(docs, id_col, text_col, ngram), "fingerprints")
     classes = staged(fps.groupBy("fp").agg(F.min("id").alias("first_id")), "classes")
-    roots = staged(connected_components(near_links(classes, bits), "a", "b"), "roots")
+    roots = staged(connected_components(near_links(classes, bits, segments=segments), "a", "b"), "roots")
     lowest = staged(roots.join(classes, roots.node == classes.fp).groupBy("root").agg(F.min("first_id").alias("component_id")), "lowest")
     linked = roots.join(lowest.hint("merge"), "root").select(F.col("node").alias("fp"), "component_id")
     named = staged(classes.join(linked.hint("merge"), "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id")), "named")

@@ -78,7 +78,8 @@ def test_simhash(docs, none):
     assert simhash_dedup(none).count() == 0
 
 
-def test_near_links_of_a_dense_cluster(spark):
+@pytest.mark.parametrize(("bits", "segments"), [(4, None), (6, 7)])
+def test_near_links_of_a_dense_cluster(spark, bits, segments):
     """Many fingerprints around one, in blocks smaller than the cluster: the same components as all pairs give."""
     from ledgerleaf.llm.components import connected_components
     from ledgerleaf.llm.simhash import near_links
@@ -92,8 +93,8 @@ def test_near_links_of_a_dense_cluster(spark):
         fps.add(f)
     fps = sorted(x - (1 << 64) if x >> 63 else x for x in fps)
     df = spark.createDataFrame([(f,) for f in fps], "fp long")
-    got = {r.node: r.root for r in connected_components(near_links(df, 4, block=16), "a", "b").collect()}
-    label = brute.components(len(fps), lambda i, j: ((fps[i] ^ fps[j]) & (2**64 - 1)).bit_count() <= 4)
+    got = {r.node: r.root for r in connected_components(near_links(df, bits, block=16, segments=segments), "a", "b").collect()}
+    label = brute.components(len(fps), lambda i, j: ((fps[i] ^ fps[j]) & (2**64 - 1)).bit_count() <= bits)
     assert {f: got.get(f, f) for f in fps} == {f: fps[c] for f, c in zip(fps, label, strict=True)}
 
 
