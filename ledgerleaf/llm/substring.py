@@ -126,12 +126,14 @@ def repeated_spans(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
 
     same = F.col("id").eqNullSafe(F.col("m_id")) & (F.col("text_hash") == F.col("m_hash"))
     joined = rows.join(marks.hint("merge"), same, "left").select("id", "text_hash", "text", "marks")
-    ext = staged(joined.mapInArrow(extend, f"id {kind}, text_hash long, text string, n_words long, kept_sha256 string, starts array<int>, windows array<long>"), "extended")
-    each = ext.where(F.size("starts") > 0).select("id", "text_hash", F.explode(F.arrays_zip("starts", "windows")).alias("x")).select("id", "text_hash", F.col("x.starts").alias("at"), F.col("x.windows").alias("h"))
+    ext = joined.mapInArrow(extend, f"id {kind}, text_hash long, text string, n_words long, kept_sha256 string, starts array<int>, windows array<long>")
+    # once written, a row has a number of its own, which windows carry in place of id and hash
+    ext = staged(ext.withColumn("row", F.monotonically_increasing_id()), "extended")
+    each = ext.where(F.size("starts") > 0).select("row", F.explode(F.arrays_zip("starts", "windows")).alias("x")).select("row", F.col("x.starts").alias("at"), F.col("x.windows").alias("h"))
     twice = staged(each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "twice")
-    hits = each.join(twice.hint("merge"), "h").groupBy(F.col("id").alias("m_id"), F.col("text_hash").alias("m_hash")).agg(F.array_sort(F.collect_set("at")).alias("repeat_starts"))
-    base = ext.select("id", "text_hash", "text", "n_words", "kept_sha256")
-    return base.join(hits.hint("merge"), same, "left").select("id", "text_hash", "text", "n_words", "kept_sha256", "repeat_starts")
+    hits = each.join(twice.hint("merge"), "h").groupBy(F.col("row").alias("m_row")).agg(F.array_sort(F.collect_set("at")).alias("repeat_starts"))
+    base = ext.select("row", "id", "text_hash", "text", "n_words", "kept_sha256")
+    return base.join(hits.hint("merge"), F.col("row") == F.col("m_row"), "left").select("id", "text_hash", "text", "n_words", "kept_sha256", "repeat_starts")
 
 
 def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> DataFrame:
