@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerleaf.llm.near_copies import near_copies
 from ledgerleaf.llm.packing import pack_documents
 from ledgerleaf.llm.quality import quality_scores
 from ledgerleaf.llm.secrets import redact, secret_spans
-from ledgerleaf.llm.simhash import simhash_dedup
 from ledgerleaf.llm.staging import staged
 from ledgerleaf.llm.substring import substring_dedup
 
@@ -28,12 +28,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """One row of each group of near copies: that of the smallest id; without an id only if no row of the group has one.
 
     Repeated rows and rows that share an id are told apart by a row key, which
-    is written first. Shingles have five words; copies that share 0.8 or more
-    of them mostly differ in up to six bits, unrelated texts in about 32 (by
-    chance in six or fewer once in 2e11 pairs).
+    is written first. Near copies have a Jaccard similarity of 0.8 or more
+    between their sets of five-word shingles, or are linked by such.
     """
     rows = staged(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    groups = simhash_dedup(rows, id_col="_row", ngram=5, bits=6, segments=7).select("_row", "component_id")
+    groups = near_copies(rows, id_col="_row", ngram=5, threshold=0.8)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("missing"), "doc_id", "_row")).alias("first")
     kept = rows.select("_row", "doc_id").join(groups.hint("merge"), "_row").groupBy("component_id").agg(first).select(F.col("first._row").alias("kept_row"))
     return rows.join(kept.hint("merge"), F.col("_row") == F.col("kept_row"), "left_semi").select(*docs.columns)

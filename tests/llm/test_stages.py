@@ -2,6 +2,11 @@
 
 import random
 
+import pytest
+
+from tests.conftest import SMALL
+from tests.llm import brute
+
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -26,3 +31,49 @@ def test_one_whole_copy_of_repeated_rows_and_null_ids(spark):
     assert len(got) == 4 and {x for x in got if x[0] != 1} == {(None, b), (3, c), (4, d)}
     assert {x[1] for x in got if x[0] == 1} <= {a, near}
     assert sorted(((r.doc_id, r.text) for r in p.repeated_passages(spark, once, "").collect()), key=str) == got
+
+
+def shingles(text, n=5):
+    w = brute.words((text or "").translate(brute.LOWER))
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+def edited():
+    """Texts of 3 to 400 words, copies of them with some words changed, a large cluster of one text's copies and a few oddities."""
+    rng, out = random.Random(8), []
+    for n in [3, 4, 5, 6, 12, 40, 90, 200, 400] * 3:
+        base = prose(rng.random(), n)
+        out.append(" ".join(base))
+        for rate in (0.002, 0.01, 0.02, 0.03, 0.04, 0.06):
+            out.append(" ".join("x" + w if rng.random() < rate else w for w in base))
+    base = prose(1, 80)
+    out += [" ".join("x" + w if rng.random() < 0.02 else w for w in base) for _ in range(60)]
+    chain = prose(2, 100)
+    for i in range(12):
+        chain[7 * i] = f"step{i}"
+        out.append(" ".join(chain))
+    return [*out, "", "  \n", None, "Upper CASE words Are Equal here", "upper case words are equal HERE"]
+
+
+@pytest.mark.parametrize("block", [4096, 8])
+def test_near_copies_are_those_of_brute_force(spark, block):
+    from ledgerleaf.llm.near_copies import near_copies
+
+    texts = edited()
+    sets = [shingles(t) for t in texts]
+    label = brute.components(len(texts), lambda i, j: jaccard(sets[i], sets[j]) >= 0.8)
+    rows = spark.createDataFrame(list(enumerate(texts)), "n long, text string").repartition(3)
+    assert {r.n: r.component_id for r in near_copies(rows, "n", block=block).collect()} == dict(enumerate(label))
+    assert near_copies(rows.where("n < 0"), "n").count() == 0
+
+
+def test_near_duplicates_decide_by_shared_shingles(spark):
+    """Documents 1 and 177 share 0.83 of their shingles at 17 bits of distance, 155 and 192 share 0.76 at four."""
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").where("doc_id in (1, 177, 155, 192)")
+    assert sorted(r.doc_id for r in p.near_duplicates(spark, docs, SMALL).collect()) == [1, 155, 192]
