@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ledgerleaf.llm.components import connected_components, forest
 from ledgerleaf.llm.staging import staged
 
-#: Rows on which the quantisers are fitted, at most; lists, at most; rows of a list for which it is meant.
+#: Rows on which the quantisers are fitted, about; lists of a length, at most; rows of a list for which it is meant.
 SAMPLE, LISTS, PER_LIST = 32_768, 1024, 200
 SUBSPACES, CODES = 8, 64
 #: Members and queries that meet in one group, at most.
@@ -103,7 +103,7 @@ def embedding_dedup(rows: DataFrame, threshold: float = 0.93, probe_factor: floa
     label and components) are one class: the class is searched once and its
     members' links are counted. Vectors that are null, zero or hold null or
     non-finite components, and those without a label, link with nothing;
-    vectors of different lengths never link. A null id is its own component
+    vectors of different lengths never link, each length is searched. A null id is its own component
     and not kept; repeated rows count as copies; an empty table gives none.
     """
     base = rows.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).alias("v"))
@@ -112,10 +112,9 @@ def embedding_dedup(rows: DataFrame, threshold: float = 0.93, probe_factor: floa
     keyed = base.where(ok).withColumns({"h1": F.xxhash64("label", "v"), "h2": F.xxhash64(F.lit(1), "v", "label")})
     classes = staged(keyed.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"), F.min(F.struct("label", "v")).alias("x")).select("h1", "h2", "n", "first_id", "x.label", "x.v"), "classes")
     singles = base.where(~ok).select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    total = classes.count()
-    if total:
-        model = train(classes, total, threshold, probe_factor)
-        found = staged(class_links(classes, model, threshold), "found")
+    if classes.head(1):
+        models = train(classes, threshold, probe_factor)
+        found = staged(class_links(classes, models, threshold), "found")
         counts = found.where("b is null").groupBy(F.col("a").alias("h1"), F.col("a2").alias("h2")).agg(F.sum("n").alias("near"))
         links = found.where("b is not null").select(F.struct(F.col("a").alias("x"), F.col("a2").alias("y")).alias("a"), F.struct(F.col("b").alias("x"), F.col("b2").alias("y")).alias("b"))
         roots = staged(connected_components(links, "a", "b"), "roots").select(F.col("node.x").alias("h1"), F.col("node.y").alias("h2"), "root")
@@ -128,56 +127,68 @@ def embedding_dedup(rows: DataFrame, threshold: float = 0.93, probe_factor: floa
     return singles.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
 
 
-def train(classes: DataFrame, total: int, threshold: float, probe_factor: float) -> Quantiser:
-    """Fit on at most ``SAMPLE`` vectors, chosen by hash; the number of lists grows with the table up to ``LISTS``."""
-    sample = classes.orderBy("h1", "h2").limit(min(SAMPLE, total)).select("v").toPandas()["v"]
-    width = max(len(v) for v in sample)
-    x = np.stack([np.asarray(v, np.float64) for v in sample if len(v) == width])
-    scale = np.abs(x).max(1, keepdims=True)
-    x = x / scale
-    return fit(x / np.sqrt((x**2).sum(1, keepdims=True)), int(np.clip(total // PER_LIST, 1, LISTS)), threshold, probe_factor)
+def train(classes: DataFrame, threshold: float, probe_factor: float) -> dict[int, Quantiser]:
+    """A quantiser for each length: fitted on vectors chosen by hash, about ``SAMPLE`` in all; lengths with few vectors are one list, compared exactly."""
+    counts = {r["width"]: r["m"] for r in classes.groupBy(F.size("v").alias("width")).agg(F.count(F.lit(1)).alias("m")).collect()}
+    total, out = sum(counts.values()), {}
+    for width, m in counts.items():
+        if m < 2 * PER_LIST:
+            out[width] = rare(width, threshold, probe_factor)
+            continue
+        rows = max(min(m, 4 * CODES), SAMPLE * m // max(total, SAMPLE))
+        sample = classes.where(F.size("v") == width).orderBy("h1", "h2").limit(rows).select("v").toPandas()["v"]
+        x = np.stack([np.asarray(v, np.float64) for v in sample])
+        scale = np.abs(x).max(1, keepdims=True)
+        x = x / scale
+        out[width] = fit(x / np.sqrt((x**2).sum(1, keepdims=True)), int(np.clip(m // PER_LIST, 1, LISTS)), threshold, probe_factor)
+    return out
 
 
-def class_links(classes: DataFrame, model: Quantiser, threshold: float) -> DataFrame:
+def rare(width: int, threshold: float, probe_factor: float) -> Quantiser:
+    """One list about the origin with one code: a code's error is then the vector's length, so no pair is dropped before the exact cosine."""
+    return Quantiser(np.zeros((1, width)), np.zeros((1, 1, width)), float(np.sqrt(max(0.0, 2 - 2 * threshold))), probe_factor)
+
+
+def class_links(classes: DataFrame, models: dict[int, Quantiser], threshold: float) -> DataFrame:
     """Rows of two kinds: (a, a2, null, null, n): class a has n more near vectors; (a, a2, b, b2, 0): a link of a spanning forest."""
-    lists, width = len(model.centroids), model.centroids.shape[1]
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                sizes = part.column("v").value_lengths().to_numpy(zero_copy_only=False)
-                part = part.filter(pa.array(sizes == width))
-                if not part.num_rows:
-                    continue
-                raw = part.column("v").flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, width)
-                x = raw / np.abs(raw).max(1, keepdims=True)
-                x = x / np.sqrt((x**2).sum(1, keepdims=True))
-                home, d = model.nearest(x)
-                codes, error = model.code(x, home)
-                look = model.probes(home, d)
-                look[np.arange(len(x)), home] = True
-                row, where = np.nonzero(look)
-                take = pa.array(row)
-                masks = [m.tobytes() for m in np.packbits(look, axis=1)]
-                columns = [part.column(c).take(take) for c in ("h1", "h2", "n", "label")]
-                yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array(where.astype(np.int32)), pa.array(home[row].astype(np.int32)), pa.array([x[i].tobytes() for i in row], pa.binary()), pa.array([codes[i].tobytes() for i in row], pa.binary()), pa.array(error[row]), pa.array([masks[i] for i in row], pa.binary())],
-                    ["h1", "h2", "n", "label", "list", "home", "x", "codes", "error", "mask"],
-                )
+                both = batch.slice(at, 2000)
+                sizes = both.column("v").value_lengths().to_numpy(zero_copy_only=False)
+                yield from (coded(both.filter(pa.array(sizes == width)), int(width)) for width in np.unique(sizes))
+
+    def coded(part: pa.RecordBatch, width: int) -> pa.RecordBatch:
+        model = models[width]
+        raw = part.column("v").flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, width)
+        x = raw / np.abs(raw).max(1, keepdims=True)
+        x = x / np.sqrt((x**2).sum(1, keepdims=True))
+        home, d = model.nearest(x)
+        codes, error = model.code(x, home)
+        look = model.probes(home, d)
+        look[np.arange(len(x)), home] = True
+        row, where = np.nonzero(look)
+        take = pa.array(row)
+        masks = [m.tobytes() for m in np.packbits(look, axis=1)]
+        columns = [part.column(c).take(take) for c in ("h1", "h2", "n", "label")]
+        return pa.RecordBatch.from_arrays(
+            [*columns, pa.array(np.full(len(row), width, np.int32)), pa.array(where.astype(np.int32)), pa.array(home[row].astype(np.int32)), pa.array([x[i].tobytes() for i in row], pa.binary()), pa.array([codes[i].tobytes() for i in row], pa.binary()), pa.array(error[row]), pa.array([masks[i] for i in row], pa.binary())],
+            ["h1", "h2", "n", "label", "width", "list", "home", "x", "codes", "error", "mask"],
+        )
 
     kind = classes.schema["label"].dataType.simpleString()
     # the plan that makes the table is a Python function's, so it is written before its size matters
-    probes = staged(classes.mapInArrow(assign, f"h1 long, h2 long, n long, label {kind}, list int, home int, x binary, codes binary, error double, mask binary"), "probes")
-    held = probes.where("list = home").groupBy("label", "list").agg(F.count(F.lit(1)).alias("m"))
-    looked = probes.groupBy("label", "list").agg(F.count(F.lit(1)).alias("q"))
-    sizes = staged(held.join(looked.hint("merge"), ["label", "list"]).select("label", "list", F.ceil(F.col("m") / BLOCK).cast("int").alias("mb"), F.ceil(F.col("q") / BLOCK).cast("int").alias("qb")), "sizes")
-    rows = probes.join(sizes.hint("merge"), ["label", "list"])
+    probes = staged(classes.mapInArrow(assign, f"h1 long, h2 long, n long, label {kind}, width int, list int, home int, x binary, codes binary, error double, mask binary"), "probes")
+    held = probes.where("list = home").groupBy("label", "width", "list").agg(F.count(F.lit(1)).alias("m"))
+    looked = probes.groupBy("label", "width", "list").agg(F.count(F.lit(1)).alias("q"))
+    sizes = staged(held.join(looked.hint("merge"), ["label", "width", "list"]).select("label", "width", "list", F.ceil(F.col("m") / BLOCK).cast("int").alias("mb"), F.ceil(F.col("q") / BLOCK).cast("int").alias("qb")), "sizes")
+    rows = probes.join(sizes.hint("merge"), ["label", "width", "list"])
     m = F.pmod(F.xxhash64("h1", "h2"), F.col("mb")).cast("int")
     q = F.pmod(F.xxhash64("h2", "h1"), F.col("qb")).cast("int")
     as_member = rows.where("list = home").withColumns({"mi": m, "qi": F.explode(F.sequence(F.lit(0), F.col("qb") - 1)), "member": F.lit(True)})
     as_query = rows.withColumns({"qi": q, "mi": F.explode(F.sequence(F.lit(0), F.col("mb") - 1)), "member": F.lit(False)})
-    fields = ["h1", "h2", "n", "label", "list", "home", "x", "codes", "error", "mask", "mi", "qi", "member"]
+    fields = ["h1", "h2", "n", "label", "width", "list", "home", "x", "codes", "error", "mask", "mi", "qi", "member"]
     both = as_member.select(*fields).union(as_query.select(*fields))
 
     def meet(own: pd.DataFrame) -> pd.DataFrame:
@@ -187,6 +198,7 @@ def class_links(classes: DataFrame, model: Quantiser, threshold: float) -> DataF
         here = int(b["list"].iloc[0])
         xa, xb = (np.frombuffer(b"".join(t["x"]), np.float64).reshape(len(t), -1) for t in (a, b))
         codes = np.frombuffer(b"".join(b["codes"]), np.uint8).reshape(len(b), -1)
+        model = models[int(b["width"].iloc[0])]
         near = model.lookup(xa, here, codes) <= model.radius + b["error"].to_numpy()[None, :] + 1e-6
         ka, kb = (t[["h1", "h2"]].to_numpy() for t in (a, b))
         i, j = np.nonzero(near)
@@ -207,4 +219,4 @@ def class_links(classes: DataFrame, model: Quantiser, threshold: float) -> DataF
         got = [(ka[add_a > 0], None, add_a[add_a > 0]), (kb[add_b > 0], None, add_b[add_b > 0]), (keys[node], keys[root], np.zeros(len(node), np.int64))]
         return pd.concat([pd.DataFrame({"a": k[:, 0], "a2": k[:, 1], "b": pd.array([None] * len(k) if r is None else r[:, 0], "Int64"), "b2": pd.array([None] * len(k) if r is None else r[:, 1], "Int64"), "n": v}) for k, r, v in got])
 
-    return both.groupBy("label", "list", "mi", "qi").applyInPandas(meet, "a long, a2 long, b long, b2 long, n long")
+    return both.groupBy("label", "width", "list", "mi", "qi").applyInPandas(meet, "a long, a2 long, b long, b2 long, n long")
