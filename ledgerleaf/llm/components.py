@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerleaf.llm.staging import staged
+from ledgerleaf.llm.staging import drop, staged
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -32,8 +32,8 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root) for every node of ``links``; root is the smallest node it reaches, itself included.
 
-    Each round writes its links to the shared folder. The number of rounds
-    grows with the logarithm of the longest chain; a hot node costs a map-side
+    Each round writes its links to the shared folder and deletes the round's before.
+    Rounds end when all links lead to a root; their number grows with the logarithm of the longest chain; a hot node costs a map-side
     minimum and a join whose skewed partitions Spark can split.
     Links that hold a null are ignored; no links give no rows.
     """
@@ -42,22 +42,21 @@ def connected_components(links: DataFrame, a: str, b: str) -> DataFrame:
         links.where(x.isNotNull() & y.isNotNull() & (x != y)).select(F.greatest(x, y).alias("u"), F.least(x, y).alias("v")).distinct(),
         "links",
     )
-    seen = _digest(e)
-    while seen[0]:
+    while not _stars(e):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
-        large = staged(both.join(low.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        low = staged(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = staged(both.join(low.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), "large")
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
         rest = large.join(low.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = staged(rest.union(low.select("u", F.col("m").alias("v"))).distinct(), "links")
-        now = _digest(e)
-        if now == seen:
-            break
-        seen = now
-    stars = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return stars.union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-
-
-def _digest(e: DataFrame) -> tuple[int, int, int]:
-    row = e.agg(F.count(F.lit(1)), F.coalesce(F.expr("bit_xor(xxhash64(u, v))"), F.lit(0)), F.coalesce(F.expr("bit_xor(xxhash64(v, 7, u))"), F.lit(0))).first()
-    return row[0], row[1], row[2]
+        before, e = e, staged(rest.union(low.select("u", F.col("m").alias("v"))).distinct(), "links")
+        drop(large)
+        drop(before)
+    out = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return out.union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+def _stars(e: DataFrame) -> bool:
+    """Does every node have one link up, and to a node that has none?"""
+    ends = e.select(F.col("u").alias("x"), F.lit(1).alias("up")).union(e.select(F.col("v").alias("x"), F.lit(0).alias("up")))
+    each = ends.groupBy("x").agg(F.sum("up").alias("ups"), F.min("up").alias("least"))
+    return not each.where("ups > 1 or (ups = 1 and least = 0)").head(1)

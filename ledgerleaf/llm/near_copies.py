@@ -1,15 +1,23 @@
-"""Near copies by the similarity of their shingle sets: MinHash candidates, exact Jaccard.
-
-Rows with the same set are one class. A class gets ``BANDS`` keys, each of
-``ROWS`` minima of its shingles' hashes; two sets of Jaccard similarity s
-share a key with probability 1 - (1 - s**ROWS)**BANDS: 0.99995 at 0.8, 0.55
-at 0.5, 0.0003 at 0.1. Classes that keys connect are compared in one place:
-their texts meet in tasks and a link is made only if the sets themselves
-(of 64-bit hashes) reach the threshold. A group with too many members for a
-task is dealt into blocks. Each block first meets the group's least member,
-which is enough for copies of one text; only if that leaves the group in
-parts do all blocks meet each other. Pairs are never emitted: a task returns
-a spanning forest.
+"""SimHash near-dedup decided by the similarity of shingle sets: pigeonring candidates, exact Jaccard.
+
+A row's set of shingle hashes gets a fingerprint of ``BITS`` bits, cut into
+``SEGMENTS`` segments of ``WIDTH`` bits. They form rings: the segments in
+order, every second, every third and so on. Two sets of Jaccard similarity s
+differ in a share of acos(2s / (1 + s)) / pi of the bits, 0.15 at 0.8, so their
+differences leave short chains of a ring untouched. A key is a chain of two
+consecutive segments without a difference, which keeps every proportional
+budget. In this model a pair at 0.80 has a key in common with probability
+0.985, at 0.85 0.999. Rows that share a key become candidates if the first 128
+bits differ in ``BUDGET`` at most, and a link is made only if the sets
+themselves (of 64-bit hashes) reach the threshold. A key with too many rows for
+one task skips the check of bits: its rows all meet.
+
+Rows with the same set are one class. Classes that candidates connect are
+compared in one place: their texts meet in tasks. A group with too many
+members for a task is dealt into blocks. Each block first meets the group's
+least member, which is enough for copies of one text; only if that leaves the
+group in parts do the smaller parts visit all blocks. Pairs are never emitted:
+a task returns a spanning forest.
 """
 
 from __future__ import annotations
@@ -23,13 +31,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerleaf.llm import bytewords as bw
-from ledgerleaf.llm.components import connected_components
+from ledgerleaf.llm.components import connected_components, forest
 from ledgerleaf.llm.staging import staged
 
 _U = np.uint64
-BANDS, ROWS = 25, 5
-_FACTORS = bw.mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * bw.MULTIPLIER) | _U(1)
-#: Members and shingles of a block, about.
+#: Bits of a fingerprint and of a segment, and the segments.
+BITS, WIDTH, SEGMENTS = 512, 10, 51
+#: Strides of the rings through the segments; sets of fewer than ``SMALL`` shingles differ in more bits than the model says and use all, others the first few.
+STRIDES, USUAL, SMALL = (1, 2, 3, 4, 5, 6), 4, 64
+#: Differences among the 128 checked bits, at most: over three standard deviations more than a similarity of 0.8 has on average.
+BUDGET = 33
+#: Fingerprints of a key that one task compares, about; keys that are looked up by broadcast, at most; share of rows by which large keys are found.
+KEY_BLOCK, MOST_HOT, SHARE = 1024, 100_000, 16
+#: Members and shingles of a block of texts, about.
 BLOCK, SHINGLES = 4096, 1_000_000
 
 
@@ -53,18 +67,90 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, ngram: int) -> tuple[np.
     return h, np.searchsorted(row, np.arange(len(n) + 1))
 
 
-def band_keys(h: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The keys of each row that has shingles, one row of ``BANDS`` keys each."""
-    at = first[:-1][first[1:] > first[:-1]]
-    out = np.zeros((len(at), BANDS), np.uint64)
-    for i in range(BANDS if len(at) else 0):
-        key = np.full(len(at), i + 1, np.uint64)
-        for factor in _FACTORS[i * ROWS : (i + 1) * ROWS]:
-            key = bw.mix(key * bw.MULTIPLIER + np.minimum.reduceat(h * factor, at))
-        out[:, i] = key
+def fingerprint_bits(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The SimHash of each row that has shingles, as a matrix of ``BITS`` bits: 1 where over half of the row's hashes have it."""
+    filled = np.flatnonzero(np.diff(first) > 0)
+    begin, size = first[:-1][filled], np.diff(first)[filled]
+    parts = -(-size // 255)  # eight counters of eight bits share a word
+    joint = np.cumsum(parts) - parts
+    at = np.repeat(begin, parts) + (np.arange(int(parts.sum())) - np.repeat(joint, parts)) * 255
+    out = np.zeros((len(filled), BITS), bool)
+    for word in range(BITS // 64 if len(filled) else 0):
+        x = bw.mix(h + _U(word + 1) * bw.MULTIPLIER)
+        for bit in range(8):
+            lanes = np.add.reduceat(x & _U(0x0101010101010101), at).view(np.uint8).reshape(-1, 8)
+            out[:, word * 64 + bit * 8 : word * 64 + bit * 8 + 8] = np.add.reduceat(lanes, joint, axis=0, dtype=np.int64) * 2 > size[:, None]
+            x >>= _U(1)
     return out
 
 
+def ring_keys(bits: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The keys of all fingerprints, row after row, how many each has, and the two words of each for the check."""
+    segments = bits[:, : SEGMENTS * WIDTH].reshape(len(bits), SEGMENTS, WIDTH) @ (1 << np.arange(WIDTH, dtype=np.int32))
+    rings = []
+    for i, stride in enumerate(STRIDES):
+        start = np.arange(SEGMENTS, dtype=np.int32) + SEGMENTS * i
+        rings.append((start << 2 * WIDTH | segments << WIDTH | np.roll(segments, -stride, axis=1)).astype(np.int32))
+    keys = np.concatenate(rings, axis=1)
+    n = np.where(size < SMALL, keys.shape[1], SEGMENTS * USUAL)
+    return keys[np.arange(keys.shape[1]) < n[:, None]], n, np.packbits(bits[:, :128], axis=1).view(np.uint64)
+
+
+def candidates(key: np.ndarray, a: np.ndarray, b: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the pairs of equal key, which lie together, that differ in at most ``BUDGET`` of the checked bits."""
+    edge = np.flatnonzero(np.diff(key)) + 1
+    last = np.repeat(np.append(edge, len(key)), np.diff(np.concatenate([[0], edge, [len(key)]])))
+    left, d = np.arange(len(key)), 1
+    x, y = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    while len(left := left[left + d < last[left]]):
+        ok = left[np.bitwise_count(a[left] ^ a[left + d]) + np.bitwise_count(b[left] ^ b[left + d]) <= BUDGET]
+        x, y = np.concatenate([x, node[ok]]), np.concatenate([y, node[ok + d]])
+        if len(x) > 1_000_000:
+            x, y = forest(x, y)
+        d += 1
+    return forest(x, y)
+
+
+def meetings(classes: DataFrame) -> DataFrame:
+    """(a, b): links among the nodes of ``classes`` (node, word_a, word_b, keys) that connect every candidate pair."""
+    each = classes.select("node", "word_a", "word_b", F.explode("keys").alias("key"))
+    n = classes.count()
+    # large keys are found by a share of the rows; where the line lies decides where pairs are compared, not whether
+    some = each.where(F.pmod(F.xxhash64("node"), F.lit(SHARE)) == 0).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    hot = staged(some.where(F.col("n") * SHARE > max(KEY_BLOCK, SEGMENTS * len(STRIDES) * n // MOST_HOT)).select("key", F.lit(True).alias("hot")), "hot_keys")
+    rows = each.join(F.broadcast(hot), "key", "left")
+    large = rows.where("hot").select("key", "node")
+    stars = large.groupBy("key").agg(F.min("node").alias("low"))
+    stars = large.join(stars.hint("merge"), "key").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def work(final: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, size
+            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+            key = columns[0]
+            cut = len(key) if final else int(np.searchsorted(key, key[-1]))
+            held, size = [tuple(c[cut:] for c in columns)], len(key) - cut
+            x, y = candidates(*(c[:cut] for c in columns))
+            if len(x):
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
+
+        for batch in batches:
+            key, a, b, node = (c.to_numpy() for c in batch.columns)
+            held.append((key, a.view(np.uint64), b.view(np.uint64), node))
+            size += batch.num_rows
+            if size >= 400_000:
+                yield from work(False)
+        if held:
+            yield from work(True)
+
+    dealt = rows.where("hot is null").select("key", "word_a", "word_b", "node").repartition("key").sortWithinPartitions("key")
+    found = staged(dealt.mapInArrow(meet, "a long, b long"), "candidates")
+    return found.union(staged(stars, "hot_stars")) if hot.head(1) else found
+
+
 def similar(h: np.ndarray, first: np.ndarray, threshold: float, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Links (i, j) that connect the rows as all pairs of at least ``threshold`` do; rows of one ``known`` group are connected already."""
     size = np.diff(first)
@@ -120,20 +206,22 @@ def near_copies(docs: DataFrame, id_col: str, text_col: str = "text", ngram: int
         for batch in bw.slices(batches, "text"):
             h, first = shingle_sets(*bw.buffer(batch.column("text")), ngram)
             digest = [hashlib.blake2b(h[a:b].tobytes(), digest_size=16).digest() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
-            offsets = np.append(0, np.cumsum(np.where(np.diff(first) > 0, BANDS, 0))).astype(np.int32)
-            keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(band_keys(h, first).reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(digest, pa.binary()), pa.array(np.diff(first)), keys], ["id", "digest", "size", "keys"])
-
-    sketches = staged(texts.mapInArrow(sketch, "id long, digest binary, size long, keys array<long>"), "sketches")
-    classes = staged(sketches.groupBy("digest").agg(F.min("id").alias("node"), F.first("size").alias("size"), F.first("keys").alias("keys")), "classes")
-    each = classes.select("node", F.explode("keys").alias("key"))
-    shared = staged(each.groupBy("key").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "low"), "shared")
-    meets = each.join(shared.hint("merge"), "key").where("node <> low").select("node", "low").distinct()
-    coarse = connected_components(meets, "node", "low").join(classes.select("node", "size").hint("merge"), "node")
+            filled = np.diff(first) > 0
+            keys, n, words = ring_keys(fingerprint_bits(h, first), np.diff(first)[filled])
+            both, counts = np.zeros((len(filled), 2), np.uint64), np.zeros(len(filled), np.int64)
+            both[filled], counts[filled] = words, n
+            keys = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(keys))
+            columns = [batch.column("id"), pa.array(digest, pa.binary()), pa.array(np.diff(first)), *(pa.array(both[:, i].copy().view(np.int64)) for i in (0, 1)), keys]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "digest", "size", "word_a", "word_b", "keys"])
+
+    sketches = staged(texts.mapInArrow(sketch, "id long, digest binary, size long, word_a long, word_b long, keys array<int>"), "sketches")
+    sample = F.first(F.struct("size", "word_a", "word_b", "keys")).alias("x")  # equal for equal digests
+    classes = staged(sketches.groupBy("digest").agg(F.min("id").alias("node"), sample).select("digest", "node", "x.*"), "classes")
+    coarse = connected_components(meetings(classes), "a", "b").join(classes.select("node", "size").hint("merge"), "node")
     coarse = staged(coarse.select("node", F.col("root").alias("meeting"), "size"), "meetings")
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("size") / SHINGLES)).cast("int").alias("blocks")
-    sized = staged(coarse.groupBy("meeting").agg(blocks), "sized")
-    members = coarse.join(sized.hint("merge"), "meeting").select("node", "meeting", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("mine"))
+    sized = coarse.groupBy("meeting").agg(blocks)
+    members = staged(coarse.join(sized.hint("merge"), "meeting").select("node", "meeting", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("mine")), "members")
 
     def compare(group: pa.Table) -> pa.Table:
         h, first = shingle_sets(*bw.buffer(group.column("text").combine_chunks()), ngram)
@@ -142,18 +230,19 @@ def near_copies(docs: DataFrame, id_col: str, text_col: str = "text", ngram: int
         return pa.table({"a": pa.array(node[a]), "b": pa.array(node[b])})
 
     def links(dealt: DataFrame) -> DataFrame:
-        return dealt.groupBy("meeting", "one", "two").applyInArrow(compare, "a long, b long")
+        return dealt.select("node", "meeting", "text", "part", "one").groupBy("meeting", "one").applyInArrow(compare, "a long, b long")
 
-    read = members.join(texts.hint("merge"), F.col("node") == F.col("id")).drop("id")
-    everywhere = F.when(F.col("node") == F.col("meeting"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("mine"))
-    found = staged(links(read.select("node", "meeting", "text", F.col("node").alias("part"), F.explode(everywhere).alias("one")).withColumn("two", F.col("one"))), "near")
+    read = members.join(texts.hint("merge"), F.col("node") == F.col("id"))
+    everywhere = F.sequence(F.lit(0), F.col("blocks") - 1)
+    first_deal = F.when(F.col("node") == F.col("meeting"), everywhere).otherwise(F.array("mine"))
+    found = staged(links(read.withColumn("part", F.col("node")).withColumn("one", F.explode(first_deal))), "near")
     roots = staged(connected_components(found, "a", "b"), "near_roots")
-    parts = members.where("blocks > 1").join(roots.hint("merge"), "node", "left").withColumn("part", F.coalesce("root", "node")).drop("root")
-    split = staged(parts.groupBy("meeting").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least <> most").select("meeting"), "split")
-    if split.head(1):
-        again = parts.join(split.hint("merge"), "meeting").join(texts.hint("merge"), F.col("node") == F.col("id"))
-        again = again.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        again = again.select("node", "meeting", "text", "part", F.least("mine", "other").alias("one"), F.greatest("mine", "other").alias("two"))
+    parts = members.where("blocks > 1").join(roots.hint("merge"), "node", "left").select("node", "meeting", "blocks", "mine", F.coalesce("root", "node").alias("part"))
+    main = parts.groupBy("meeting", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("meeting").agg(F.max(F.struct("n", "part")).alias("most"), F.count(F.lit(1)).alias("parts"))
+    main = staged(main.where("parts > 1").select("meeting", F.col("most.part").alias("main")), "split")
+    if main.head(1):
+        again = parts.join(main.hint("merge"), "meeting").join(texts.hint("merge"), F.col("node") == F.col("id"))
+        again = again.withColumn("one", F.explode(F.when(F.col("part") == F.col("main"), F.array("mine")).otherwise(everywhere)))
         roots = staged(connected_components(found.union(staged(links(again), "near_again")), "a", "b"), "near_roots")
     named = classes.select("digest", "node").join(roots.hint("merge"), "node", "left").select("digest", F.coalesce("root", "node").alias("component_id"))
     return sketches.select("id", "digest").join(named.hint("merge"), "digest").select(F.col("id").alias(id_col), "component_id")

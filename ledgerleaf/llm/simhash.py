@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ledgerleaf.llm import bytewords as bw
 from ledgerleaf.llm.components import connected_components, forest
+from ledgerleaf.llm.near_copies import near_copies
 from ledgerleaf.llm.staging import staged
 
 _U = np.uint64
@@ -195,7 +196,7 @@ def near_links(distinct: DataFrame, bits: int = 4, block: int = BLOCK, segments:
     return dealt.mapInArrow(pairs, "a long, b long")
 
 
-def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 4, bits: int = 4, segments: int | None = None) -> DataFrame:
+def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, bits: int = 4, segments: int | None = None, similarity: float | None = None) -> DataFrame:
     """One row per row of ``docs``: its id, fingerprint (16 hex digits) and component_id.
 
     Texts are lower-cased (A-Z) and cut into words; fingerprints that differ
@@ -205,7 +206,13 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     fewer candidates; repeated rows each return; rows with a null id keep it and
     never name a component unless all of it is null; an empty table gives
     none. Columns other than the two named are not used.
+
+    With ``similarity``, rows are linked by the Jaccard similarity of their
+    sets of shingles instead, longer fingerprints finding the candidates
+    (near_copies.py); ids must then be unique longs, and no fingerprint returns.
     """
+    if similarity is not None:
+        return near_copies(docs, id_col, text_col, ngram, similarity)
     fps = staged(fingerprints(docs, id_col, text_col, ngram), "fingerprints")
     classes = staged(fps.groupBy("fp").agg(F.min("id").alias("first_id")), "classes")
     roots = staged(connected_components(near_links(classes, bits, segments=segments), "a", "b"), "roots")

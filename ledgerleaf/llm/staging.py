@@ -3,22 +3,11 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a temporary one only where that is unset."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if "dir" not in _OWN:
-        _OWN["dir"] = tempfile.mkdtemp(prefix="ledgerleaf-")
-    return "file://" + _OWN["dir"]
+from ledgerleaf.sources.shared import shared_dir
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -45,4 +34,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_path = path
+    return out
+
+
+def drop(table: DataFrame) -> None:
+    """Delete a staged table that nothing reads any more."""
+    _remove(table.sparkSession, table._staged_path)

@@ -25,6 +25,15 @@ def fingerprint(text, n=4):
     return sum(1 << b for b in range(64) if h and sum(x >> b & 1 for x in h) * 2 > len(h))
 
 
+def shingles(text, n=5):
+    w = words((text or "").translate(LOWER))
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
 def components(n, linked):
     """Smallest index reachable, by repeated minima over all pairs."""
     label = np.arange(n)

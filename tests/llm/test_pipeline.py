@@ -33,8 +33,8 @@ def test_quality_drops_only_rejected(stages, spark):
 
 def test_near_duplicates_keep_one(stages):
     rows = stages["quality"].orderBy("doc_id").collect()
-    fp = [brute.fingerprint(r.text, 5) for r in rows]
-    label = brute.components(len(rows), lambda i, j: (fp[i] ^ fp[j]).bit_count() <= 6)
+    sets = [brute.shingles(r.text) for r in rows]
+    label = brute.components(len(rows), lambda i, j: brute.jaccard(sets[i], sets[j]) >= 0.8)
     assert sorted(r.doc_id for r in stages["near_duplicates"].collect()) == [rows[i].doc_id for i in sorted(set(label))]
 
 

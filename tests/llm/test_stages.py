@@ -33,15 +33,6 @@ def test_one_whole_copy_of_repeated_rows_and_null_ids(spark):
     assert sorted(((r.doc_id, r.text) for r in p.repeated_passages(spark, once, "").collect()), key=str) == got
 
 
-def shingles(text, n=5):
-    w = brute.words((text or "").translate(brute.LOWER))
-    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)}
-
-
-def jaccard(a, b):
-    return len(a & b) / len(a | b)
-
-
 def edited():
     """Texts of 3 to 400 words, copies of them with some words changed, a large cluster of one text's copies and a few oddities."""
     rng, out = random.Random(8), []
@@ -64,8 +55,8 @@ def test_near_copies_are_those_of_brute_force(spark, block):
     from ledgerleaf.llm.near_copies import near_copies
 
     texts = edited()
-    sets = [shingles(t) for t in texts]
-    label = brute.components(len(texts), lambda i, j: jaccard(sets[i], sets[j]) >= 0.8)
+    sets = [brute.shingles(t) for t in texts]
+    label = brute.components(len(texts), lambda i, j: brute.jaccard(sets[i], sets[j]) >= 0.8)
     rows = spark.createDataFrame(list(enumerate(texts)), "n long, text string").repartition(3)
     assert {r.n: r.component_id for r in near_copies(rows, "n", block=block).collect()} == dict(enumerate(label))
     assert near_copies(rows.where("n < 0"), "n").count() == 0
