@@ -1,17 +1,23 @@
 """Substring dedup by seed and extend over winnowed anchors.
 
 Seeds: of the hashes of all runs of ``SEED`` words, the least in each window
-is an anchor, so two equal windows hold the same anchors. Anchors are joined
-by their hash; those that occur once are dropped. Extend: around each shared
-anchor, the windows that hold it are compared with the windows around the
-same anchor everywhere else, for all occurrences at once, by a hash of their
-words. Windows found twice or more, merged where they overlap, are the
-maximal repeats of at least the length threshold.
-
-Work follows the number of words, not the number of pairs: an anchor or
-passage that a third of all documents share costs a count and a join whose
-skewed partitions Spark splits. Hashes have 64 bits; with n windows around
-shared anchors, about n * n / 2**65 of them match another by accident.
+is an anchor, so two equal windows hold the same anchors at the same places. A
+window reaches at least half its other words to one side of an anchor, so an
+anchor matters only if it occurs again with those words before it or with
+those after it; this joins documents on anchors, and most anchors end here.
+
+Extend: what is left meets by anchor. Each occurrence carries the words on
+both sides as far as a window reaches. For every place of the anchor in a
+window, the occurrences are sorted by the window's words and each is compared,
+word by word, with its neighbour; the places that match are the match's
+extension to either side. The union of all of them, merged where they
+overlap, is the set of maximal repeats over the length threshold. Work follows
+the number of occurrences, not of pairs. An anchor with more than ``HOT``
+occurrences does not fit a task; there, equal windows are counted by hash with
+partial sums and joined back, where Spark splits skewed partitions.
+
+Words are compared by 32-bit codes, so a window by 32 bits a word; hashes of
+64 bits only sort, and decide on hot anchors.
 """
 
 from __future__ import annotations
@@ -27,8 +33,13 @@ from pyspark.sql import functions as F
 from ledgerleaf.llm import bytewords as bw
 from ledgerleaf.llm.staging import staged
 
+_U = np.uint64
 #: Words of a seed.
 SEED = 8
+#: Occurrences of an anchor that are extended in one task; anchors looked up by broadcast as hot ones, at most.
+HOT, MOST_HOT = 8192, 100_000
+#: Occurrences that a task extends at a time, about.
+CHUNK = 50_000
 
 
 def _anchors(values: np.ndarray, first: np.ndarray, window: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,27 +71,71 @@ def _hashed(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return data, start, end, first, bw.hash_spans(data, start, end)
 
 
-def _list(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
+def _seeds(values: np.ndarray, first: np.ndarray, window: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors: (place, hash, key with the words before, key with the words after); a key is zero where the row has too few words there."""
+    at, h = _anchors(values, first, window, seed)
+    half = (window - seed + 1) // 2
+    runs = bw.hash_runs(values, seed + half)
+    row = np.searchsorted(first, at, side="right") - 1
+    before, after = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
+    ok = at - half >= first[row]
+    before[ok] = bw.mix(runs[at[ok] - half] + _U(1)) | _U(1)
+    ok = at + seed + half <= first[row + 1]
+    after[ok] = bw.mix(runs[at[ok]] + _U(2)) | _U(1)
+    return at, h, before, after
+
+
+def extend(codes: np.ndarray, h: np.ndarray, left: np.ndarray, right: np.ndarray, window: int, seed: int) -> np.ndarray:
+    """For each occurrence of an anchor, at which places of a window that holds it the window occurs again: (occurrences, window - seed + 1).
+
+    ``codes`` holds the words around each anchor, ``left`` and ``right`` how
+    many of those belong to the row.
+    """
+    room = window - seed
+    total = np.zeros((len(codes), codes.shape[1] + 1), np.uint64)
+    np.cumsum(codes * bw.powers(bw.MULTIPLIER, codes.shape[1])[None, :], axis=1, dtype=np.uint64, out=total[:, 1:])
+    out = np.zeros((len(codes), room + 1), bool)
+    for o in range(room + 1):
+        own = np.flatnonzero((o <= left) & (room - o <= right))
+        key = bw.mix(total[own, room - o + window] - total[own, room - o] + h[own] * bw.MULTIPLIER)
+        order = np.argsort(key, kind="stable")
+        own, key = own[order], key[order]
+        near = np.flatnonzero(key[1:] == key[:-1])
+        a, b = own[near], own[near + 1]
+        words = slice(room - o, room - o + window)
+        same = (h[a] == h[b]) & (codes[a, words] == codes[b, words]).all(axis=1)
+        out[a[same], o] = out[b[same], o] = True
+    return out
+
+
+def _intervals(places: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(occurrence, start, end) of each run of matching places: the words that those windows cover."""
+    edge = np.diff(np.pad(places.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    who, low = np.nonzero(edge == 1)
+    _, high = np.nonzero(edge == -1)
+    return who, at[who] - high + 1, at[who] - low + window
 
 
-def repeated_spans(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> DataFrame:
-    """One row per row of ``docs``: id, text_hash, text, n_words and spans, the repeats' (start, end) word ranges in order.
+def repeated_spans(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, hot: int = HOT) -> DataFrame:
+    """One row per row of ``docs``: id, text_hash, text, n_words and repeats, (start, end) word ranges that may overlap.
 
     A word range belongs to a repeat if a window of ``window`` words that
     covers it starts anywhere else too, the same row included. Null texts
     have no words. Repeated rows, even of one id, count as elsewhere.
-    text is null where there are no spans and kept_sha256 is set there
+    text is null where there are no repeats and kept_sha256 is set there
     instead, so that clean texts are not written again.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    room = window - seed
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bw.slices(batches, "text"):
             _, _, _, first, values = _hashed(batch.column("text"))
-            at, h = _anchors(values, first, window, seed)
-            row = np.searchsorted(first, at, side="right") - 1
+            at, _, before, after = _seeds(values, first, window, seed)
+            row = np.tile(np.searchsorted(first, at, side="right") - 1, 2)
+            h = np.concatenate([before, after])
+            row, h = row[h > 0], h[h > 0]
             order = np.lexsort((h, row))
             row, h = row[order], h[order]
             new = np.flatnonzero(np.append(True, (np.diff(row) != 0) | (np.diff(h) != 0))) if len(h) else np.zeros(0, np.int64)
@@ -88,55 +143,93 @@ def repeated_spans(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
             took = pa.array(row[new])
             yield pa.RecordBatch.from_arrays([batch.column("id").take(took), batch.column("text_hash").take(took), pa.array(h[new].view(np.int64)), pa.array(np.minimum(times, 2).astype(np.int8))], ["id", "text_hash", "h", "times"])
 
-    found = staged(rows.mapInArrow(seeds, f"id {kind}, text_hash long, h long, times byte"), "anchors")
+    found = staged(rows.mapInArrow(seeds, f"id {kind}, text_hash long, h long, times byte"), "seeds")
     shared = staged(found.groupBy("h").agg(F.sum("times").alias("n")).where("n > 1").select("h"), "shared")
     marks = found.select("id", "text_hash", "h").join(shared.hint("merge"), "h")
     marks = marks.groupBy(F.col("id").alias("m_id"), F.col("text_hash").alias("m_hash")).agg(F.collect_set("h").alias("marks"))
 
-    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bw.slices(batches, "text"):
             data, start, end, first, values = _hashed(batch.column("text"))
-            n = len(values)
             marks = batch.column("marks")
-            marked = marks.is_valid().to_numpy(zero_copy_only=False)
-            at, h = _anchors(values, first, window, seed)
+            size = np.where(marks.is_valid().to_numpy(zero_copy_only=False), marks.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), 0)
+            at, h, before, after = _seeds(values, first, window, seed)
             row = np.searchsorted(first, at, side="right") - 1
-            size = np.where(marked, marks.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), 0)
-            known = np.stack([np.repeat(np.arange(len(size)), size).astype(np.uint64), marks.flatten().to_numpy().view(np.uint64)], axis=1)
-            mine = np.stack([row.astype(np.uint64), h], axis=1)
-            pair = lambda x: bw.mix(x[:, 1] + bw.MULTIPLIER * x[:, 0])
-            hit = at[np.isin(pair(mine), pair(known))]
-            # the windows over a shared anchor start up to window - seed words before it
-            cover = np.zeros(n + 1, np.int64)
-            np.add.at(cover, np.maximum(hit - (window - seed), 0), 1)
-            np.add.at(cover, np.minimum(hit + 1, n), -1)
-            whole = _inside(first, window, n)
-            go = np.flatnonzero((np.cumsum(cover)[: len(whole)] > 0) & whole)
-            values = bw.hash_runs(values, window)[go]
-            cut = np.searchsorted(go, first)
-            begin = first[:-1][np.searchsorted(first, go, side="right") - 1] if len(go) else go
+            pair = lambda r, x: bw.mix(x + bw.MULTIPLIER * r.astype(np.uint64))
+            known = pair(np.repeat(np.arange(len(size)), size), marks.flatten().to_numpy().view(np.uint64))
+            hit = ((before > 0) & np.isin(pair(row, before), known)) | ((after > 0) & np.isin(pair(row, after), known))
+            at, h, row = at[hit], h[hit], row[hit]
+            left, right = np.minimum(at - first[row], room), np.minimum(first[row + 1] - at - seed, room)
+            code = np.pad((values >> _U(32)).astype(np.uint32), room)
+            around = np.lib.stride_tricks.sliding_window_view(code, window + room)[at] if len(at) else np.zeros((0, window + room), np.uint32)
+            width = 4 * (window + room)
+            around = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.arange(0, width * (len(at) + 1), width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(around).tobytes())])
+            cut = np.searchsorted(row, np.arange(len(first)))
+            listed = lambda x: pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), x)  # noqa: B023, E731
             busy = cut[1:] > cut[:-1]
             text, s, e = bw.normalised(data, start, end)
             plain = [None if b else hashlib.sha256(text[s[i] : e[j - 1]] if j > i else b"").hexdigest() for b, i, j in zip(busy.tolist(), first[:-1].tolist(), first[1:].tolist(), strict=True)]
             texts = batch.column("text").take(pa.array(np.arange(len(busy)), mask=~busy))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("text_hash"), texts, pa.array(np.diff(first)), pa.array(plain, pa.string()), _list((go - begin).astype(np.int32), cut), _list(values.view(np.int64), cut)],
-                ["id", "text_hash", "text", "n_words", "kept_sha256", "starts", "windows"],
-            )
+                [batch.column("id"), batch.column("text_hash"), texts, pa.array(np.diff(first)), pa.array(plain, pa.string()),
+                 listed(pa.array((at - first[row]).astype(np.int32))), listed(pa.array(left.astype(np.int8))), listed(pa.array(right.astype(np.int8))), listed(pa.array(h.view(np.int64))), listed(around)],
+                ["id", "text_hash", "text", "n_words", "kept_sha256", "place", "left", "right", "h", "words"],
+            )
 
     same = F.col("id").eqNullSafe(F.col("m_id")) & (F.col("text_hash") == F.col("m_hash"))
     joined = rows.join(marks.hint("merge"), same, "left").select("id", "text_hash", "text", "marks")
-    ext = joined.mapInArrow(extend, f"id {kind}, text_hash long, text string, n_words long, kept_sha256 string, starts array<int>, windows array<long>")
-    # once written, a row has a number of its own, which windows carry in place of id and hash
-    ext = staged(ext.withColumn("row", F.monotonically_increasing_id()), "extended")
-    each = ext.where(F.size("starts") > 0).select("row", F.explode(F.arrays_zip("starts", "windows")).alias("x")).select("row", F.col("x.starts").alias("at"), F.col("x.windows").alias("h"))
-    twice = staged(each.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "twice")
-    hits = each.join(twice.hint("merge"), "h").groupBy(F.col("row").alias("m_row")).agg(F.array_sort(F.collect_set("at")).alias("repeat_starts"))
+    ext = joined.mapInArrow(context, f"id {kind}, text_hash long, text string, n_words long, kept_sha256 string, place array<int>, left array<byte>, right array<byte>, h array<long>, words array<binary>")
+    # once written, a row has a number of its own, which occurrences carry in place of id and hash
+    ext = staged(ext.withColumn("row", F.monotonically_increasing_id()), "contexts")
+    zipped = F.explode(F.arrays_zip("place", "left", "right", "h", "words")).alias("x")
+    each = ext.where(F.size("place") > 0).select("row", zipped).select("row", "x.*")
+    counts = each.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    total = ext.agg(F.coalesce(F.sum(F.size("place")), F.lit(0))).first()[0]
+    large = staged(counts.where(F.col("n") > max(hot, total // MOST_HOT)).select("h", F.lit(True).alias("hot")), "hot_anchors")
+    each = each.join(F.broadcast(large), "h", "left")
+
+    def matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+
+        def work(final: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, size
+            table = pa.Table.from_batches(held).combine_chunks()
+            h = table.column("h").to_numpy()
+            cut = len(h) if final else int(np.searchsorted(h, h[-1]))
+            held, size = table.slice(cut).to_batches(), len(h) - cut
+            if cut:
+                table = table.slice(0, cut)
+                row, place, left, right = (table.column(c).to_numpy() for c in ("row", "place", "left", "right"))
+                codes = np.frombuffer(b"".join(table.column("words").to_pylist()), np.uint32).reshape(cut, window + room)
+                who, start, end = _intervals(extend(codes, h[:cut].view(np.uint64), left, right, window, seed), place, window)
+                if len(who):
+                    yield pa.RecordBatch.from_arrays([pa.array(row[who]), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], ["m_row", "start", "end"])
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.num_rows
+            if size >= CHUNK:
+                yield from work(False)
+        if held:
+            yield from work(True)
+
+    dealt = each.where("hot is null").select("h", "row", "place", "left", "right", "words").repartition("h").sortWithinPartitions("h")
+    hits = staged(dealt.mapInArrow(matches, "m_row long, start int, end int"), "matches")
+    if large.head(1):
+        places = F.sequence(F.lit(0), F.lit(room))
+        inside = F.filter(places, lambda o: (o <= F.col("left")) & (room - o <= F.col("right")))
+        by_place = each.where("hot").select("row", "place", "h", "words", F.explode(inside).alias("o"))
+        windows = by_place.select("row", (F.col("place") - F.col("o")).alias("start"), F.xxhash64("h", "o", F.expr(f"substring(words, ({room} - o) * 4 + 1, {4 * window})")).alias("w"))
+        twice = staged(windows.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w"), "twice")
+        hits = hits.union(windows.join(twice.hint("merge"), "w").select("row", "start", (F.col("start") + window).alias("end")))
+    hits = hits.groupBy("m_row").agg(F.collect_set(F.struct("start", "end")).alias("repeats"))
     base = ext.select("row", "id", "text_hash", "text", "n_words", "kept_sha256")
-    return base.join(hits.hint("merge"), F.col("row") == F.col("m_row"), "left").select("id", "text_hash", "text", "n_words", "kept_sha256", "repeat_starts")
+    return base.join(hits.hint("merge"), F.col("row") == F.col("m_row"), "left").select("id", "text_hash", "text", "n_words", "kept_sha256", "repeats")
 
 
-def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, hot: int = HOT) -> DataFrame:
     """Remove every word covered by a repeated window: id, n_words, n_removed, kept_sha256, spans and kept.
 
     kept holds the words left, joined by one space, where any were removed,
@@ -149,7 +242,7 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bw.slices(batches, "text"):
-            _, first, removed, sha, kept = _cut(batch, window)
+            removed, sha, kept = _cut(batch)
             ranges = [_spans(r) for r in removed]
             offsets = np.cumsum([0, *(len(r) for r in ranges)])
             flat = np.concatenate(ranges) if ranges else np.zeros((0, 2), np.int64)
@@ -159,17 +252,17 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
                 ["id", "text_hash", "n_words", "n_removed", "kept_sha256", "spans", "kept"],
             )
 
-    rows = repeated_spans(docs, window, id_col, text_col, seed)
+    rows = repeated_spans(docs, window, id_col, text_col, seed, hot)
     out = rows.mapInArrow(remove, f"id {kind}, text_hash long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:int,end:int>>, kept string")
     return out.withColumnRenamed("id", id_col)
 
 
-def _cut(batch: pa.RecordBatch, window: int) -> tuple:
+def _cut(batch: pa.RecordBatch) -> tuple[list[np.ndarray], list[str], list[str | None]]:
     """For each row of a slice: which of its words go, the digest of the rest, and the rest if any went."""
     data, offsets = bw.buffer(batch.column("text"))
     start, end, first = bw.words(data, offsets)
     text, s, e = bw.normalised(data, start, end)
-    starts, given, count = batch.column("repeat_starts"), batch.column("kept_sha256").to_pylist(), batch.column("n_words").to_pylist()
+    repeats, given, count = batch.column("repeats"), batch.column("kept_sha256").to_pylist(), batch.column("n_words").to_pylist()
     removed, sha, kept = [], [], []
     for i in range(batch.num_rows):
         if given[i] is not None:  # a clean text, which was not written
@@ -179,16 +272,16 @@ def _cut(batch: pa.RecordBatch, window: int) -> tuple:
             continue
         lo, hi = int(first[i]), int(first[i + 1])
         cover = np.zeros(hi - lo + 1, np.int64)
-        if starts[i].is_valid:
-            at = np.asarray(starts[i].values)
-            cover[at] += 1
-            np.add.at(cover, at + window, -1)
+        if repeats[i].is_valid:
+            ranges = repeats[i].values
+            np.add.at(cover, ranges.field("start").to_numpy(), 1)
+            np.add.at(cover, ranges.field("end").to_numpy(), -1)
         gone = np.cumsum(cover)[:-1] > 0
         removed.append(gone)
         left = " ".encode().join(text[a:b] for a, b in zip(s[lo:hi][~gone].tolist(), e[lo:hi][~gone].tolist(), strict=True)) if gone.any() else text[s[lo] : e[hi - 1]] if hi > lo else b""
         sha.append(hashlib.sha256(left).hexdigest())
         kept.append(left.decode("utf-8") if gone.any() else None)
-    return data, first, removed, sha, kept
+    return removed, sha, kept
 
 
 def _spans(gone: np.ndarray) -> np.ndarray:

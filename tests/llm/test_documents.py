@@ -109,7 +109,9 @@ def test_substring(docs, none):
     assert substring_dedup(none).count() == 0
 
 
-def test_substring_against_brute_force_on_random_texts(spark):
+@pytest.mark.parametrize("hot", [8192, 3])
+def test_substring_against_brute_force_on_random_texts(spark, hot):
+    """With ``hot`` at 3, most anchors take the way of the hot ones."""
     from ledgerleaf.llm.substring import substring_dedup
 
     rng = random.Random(1)
@@ -118,7 +120,7 @@ def test_substring_against_brute_force_on_random_texts(spark):
         base = rng.choice(texts)[1].split() if texts and rng.random() < 0.6 else []
         cut = rng.randrange(len(base)) if base else 0
         texts.append((i, " ".join([*(rng.choice("abc") for _ in range(rng.randrange(30))), *base[cut : cut + rng.randrange(1, 80)], *(rng.choice("abcdefgh") for _ in range(rng.randrange(60)))])))
-    got = substring_dedup(spark.createDataFrame(texts, "doc_id long, text string"), window=12, seed=4)
+    got = substring_dedup(spark.createDataFrame(texts, "doc_id long, text string"), window=12, seed=4, hot=hot)
     same(got.select("doc_id", "n_words", "n_removed", "kept_sha256").collect(), [(d, *w) for (d, _), w in zip(texts, brute.repeats([t for _, t in texts], 12), strict=True)])
 
 
