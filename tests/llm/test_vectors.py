@@ -88,7 +88,7 @@ def test_smaller_factor_skips_more():
     exact = np.sort(q @ x.T, axis=1)[:, ::-1][:, :10]
     recall = {}
     for factor in (1.0, 0.95, 0.5, 0.1):
-        some, _ = Tree(x, 16).search(q, 10, factor)
+        some = Tree(x, 16).search(q, 10, factor)[0]
         recall[factor] = np.mean(np.sort(some, axis=1)[:, ::-1] >= exact - 1e-9)
     assert recall[1.0] == 1 and recall[1.0] >= recall[0.95] >= recall[0.5] >= recall[0.1] and recall[0.1] < 1
 
@@ -101,3 +101,20 @@ def test_nearest_of_nothing(spark, frame):
     assert nearest_neighbours(frame, none).count() == 0
     two = spark.createDataFrame([(20, [1.0, 0.0]), (3, [0.5, 1.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in nearest_neighbours(two, two.where("vec_id = 20")).collect()] == [(20, 1, 3, 0.5)]
+
+
+def test_ties_go_to_the_smaller_id(spark):
+    """Hundreds of equal scores, and small integers with many ties at the end of each list, in one shard and in many."""
+    from ledgerleaf.llm.vptree import nearest_neighbours
+
+    rng = np.random.default_rng(2)
+    flat = [(i, [1.0, float(i)], 0) for i in range(300)] + [(1000, [1.0, 0.0], 0)]
+    signs = [(i, rng.choice([-1.0, 1.0], 6).tolist(), 0) for i in range(400)] + [(1000 + i, rng.integers(-2, 3, 6).astype(float).tolist(), 0) for i in range(200)]
+    for rows, asked in ((flat, 1000), (signs, None)):
+        df = spark.createDataFrame([r[:2] for r in rows], "vec_id long, embedding array<double>").repartition(3)
+        for shard in (8192, 50):
+            queries = df.where(f"vec_id = {asked}") if asked else df.where("vec_id % 20 = 0")
+            got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in nearest_neighbours(df, queries, 20, shard=shard).collect())
+            want = nearest(rows, 20)
+            assert got == sorted(w for w in want if asked is None or w[0] == asked)
+    assert [w[2] for w in nearest(flat, 20) if w[0] == 1000] == list(range(20))
