@@ -74,3 +74,39 @@ def base_scores(rows, modulus=10):
     count = collections.Counter(x for held, w in own if not held for x in w)
     n, v = sum(count.values()), len(count)
     return [(held, len(w), sum(count[x] > 0 for x in w), n, sum(math.log10((count[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w)) for held, w in own]
+
+
+def randomness(token):
+    """(encoding, p_chi, p_runs, p_serial, log_p) of a token by the plain formulas."""
+    from ledgerleaf.llm import secrets as sec
+
+    core = token.rstrip("=")
+    name, chars = next(((n, c) for n, p, c in sec.ALPHABETS if re.match(p, core)), ("other", sec.CHARACTERS))
+    n, k, x = len(core), len(chars), [chars.index(c) for c in core]
+    expected = n / k
+    statistic = sum((core.count(c) - expected) ** 2 / expected for c in chars)
+    z = (statistic - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n)
+    tail = lambda z: math.erfc(abs(z) / math.sqrt(2))
+    side = [v >= k / 2 for v in x]
+    a, b = sum(side), n - sum(side)
+    runs = 1 + sum(p != q for p, q in zip(side, side[1:]))
+    mean, var = 1 + 2 * a * b / n, 2 * a * b * (2 * a * b - n) / (n * n * (n - 1))
+    p_runs = tail((runs - mean) / math.sqrt(var)) if 2 * a * b > n else 0.0
+    m = sum(x) / n
+    spread = sum((v - m) ** 2 for v in x)
+    r = sum((p - m) * (q - m) for p, q in zip(x, x[1:])) / spread if spread else 0
+    p_serial = tail((r + 1 / n) * math.sqrt(n)) if spread else 0.0
+    last, kind, log = 4, 2, 0.0
+    for c in core:
+        own = 0 if c.isupper() else 1 if c.islower() else 2 if c.isdigit() else 3
+        log += math.log10(sec.CLASS_AFTER[last][own])
+        now = 2
+        if own < 2:
+            now = int(c.lower() in sec.VOWELS)
+            v = sec.VOWEL_AFTER[kind]
+            log += math.log10(v if now else 1 - v) + math.log10(sec.WRITTEN[c.lower()] / sum(w for l, w in sec.WRITTEN.items() if (l in sec.VOWELS) == bool(now)))
+        else:
+            log += math.log10(0.1 if own == 2 else 0.25)
+        last, kind = own, now
+    log_p = 0.0 if name == "decimal" else min(0.0, log + n * math.log10(k) + math.log10(len(sec.ALPHABETS) + 1))
+    return name, tail(z) / 2 if z > 0 else 0.5, p_runs, p_serial, log_p
