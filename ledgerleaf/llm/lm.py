@@ -4,8 +4,10 @@ Documents are gathered into batches of bounded size, each written once as a
 file of local word numbers. A batch asks for the corpus counts of its distinct
 words and word pairs: the requests, sorted 64-bit hashes with the batch's own
 training counts, are dealt out by hash range, summed there over all batches,
-and answered with the totals in the same order. A frequent word or pair is
-one entry in each batch's request, so no range is hotter than another.
+and answered with the totals in the same order. A batch sends a row only to
+ranges that hold keys of its own, so rows never outnumber a corpus's distinct
+(batch, key) pairs. A frequent word or pair is one entry a batch in its range,
+however often it occurs.
 
 The model mixes the maximum-likelihood estimates of pair, word and uniform
 with weights for each bucket of the context's frequency. The weights come from
@@ -33,8 +35,8 @@ from ledgerleaf.llm.staging import new_path, staged
 
 _U = np.uint64
 END = _U(0x243F6A8885A308D3)
-#: Tokens of a batch, beyond which it is closed; keys that one range sums.
-BATCH, RANGE = 1_500_000, 400_000
+#: Tokens of a batch, beyond which it is closed; tokens of the corpus for each range of keys.
+BATCH, RANGE = 1_500_000, 2_000_000
 #: Buckets of context frequency (powers of two) and histogram bins of a probability (half powers of two).
 BUCKETS, BINS = 26, 64
 
@@ -126,9 +128,11 @@ class Batch:
         return keys, np.bincount(place[self.trained], minlength=len(keys)).astype(np.uint32)
 
 
-def _edges(keys: np.ndarray, ranges: int) -> np.ndarray:
-    bounds = np.array([(i << 64) // ranges for i in range(1, ranges)], np.uint64)
-    return np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]])
+def _parts(keys: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ranges that hold any of these sorted keys, and where each begins among them (one more at the end)."""
+    part = ((keys >> _U(32)) * _U(ranges) >> _U(32)).astype(np.int64)
+    begin = np.flatnonzero(np.append(True, np.diff(part) != 0)[: len(part)])
+    return part[begin], np.append(begin, len(keys))
 
 
 def corpus_counts(manifest: DataFrame, path: str, ranges: int) -> DataFrame:
@@ -141,11 +145,11 @@ def corpus_counts(manifest: DataFrame, path: str, ranges: int) -> DataFrame:
                 own = Batch(store, f"{root}/{row['file']}")
                 for level in (1, 2):
                     keys, counts = own.keys(level)
-                    cut = _edges(keys, ranges).tolist()
-                    for part, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
-                        if b > a:
-                            blob = _squeeze(np.diff(keys[a:b], prepend=_U(0)))
-                            yield pa.RecordBatch.from_arrays([pa.array([part]), pa.array([row["batch"]]), pa.array([level]), pa.array([blob]), pa.array([_squeeze(counts[a:b])])], ["part", "batch", "level", "keys", "counts"])
+                    part, cut = _parts(keys, ranges)
+                    spans = list(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True))
+                    blobs = [[_squeeze(np.diff(keys[i:j], prepend=_U(0))) for i, j in spans], [_squeeze(counts[i:j]) for i, j in spans]]
+                    same = lambda v: pa.array(np.full(len(spans), v, np.int64))  # noqa: B023, E731
+                    yield pa.RecordBatch.from_arrays([pa.array(part), same(row["batch"]), same(level), pa.array(blobs[0], pa.binary()), pa.array(blobs[1], pa.binary())], ["part", "batch", "level", "keys", "counts"])
 
     def answer(table: pa.Table) -> pa.Table:
         rows = table.select(["part", "batch", "level", "keys", "counts"]).to_pylist()

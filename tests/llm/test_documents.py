@@ -178,6 +178,28 @@ def test_language_model(docs, none):
     assert lm_scores(none).count() == 0
 
 
+def test_language_model_against_plain_interpolation(spark):
+    """The operator's weights come from a histogram with bins of half powers of two, the twin's from every single estimate: scores agree within one percent."""
+    from ledgerleaf.llm.lm import lm_scores
+
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    got = {r.doc_id: r.score for r in lm_scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    want = brute.interpolated(rows)
+    assert [got[d] for d, _ in rows] == pytest.approx(want, rel=0.01, abs=0.05)
+    assert sum(got.values()) == pytest.approx(sum(want), rel=0.002)
+
+
+def test_requests_go_to_ranges_with_keys_only():
+    from ledgerleaf.llm.lm import _parts
+
+    keys = np.sort(np.random.default_rng(1).integers(0, 2**64, 500, dtype=np.uint64))
+    for ranges in (1, 7, 100_000):
+        part, cut = _parts(keys, ranges)
+        assert len(part) <= 500 and (np.diff(part) > 0).all() and cut[-1] == 500
+        assert all(int(k) * ranges >> 64 in (p, p + 1) for p, i, j in zip(part, cut[:-1], cut[1:]) for k in keys[i:j].tolist())
+    assert len(_parts(keys[:0], 5)[0]) == 0
+
+
 def test_interpolation_is_a_distribution():
     """Summed over all known words and one unknown, the mixture is one in every context."""
     from ledgerleaf.llm.lm import interpolation_weights
