@@ -1,16 +1,15 @@
 """SimHash near-dedup decided by the similarity of shingle sets: pigeonring candidates, exact Jaccard.
 
-A row's set of shingle hashes gets a fingerprint of ``BITS`` bits, cut into
-``SEGMENTS`` segments of ``WIDTH`` bits. They form rings: the segments in
-order, every second, every third and so on. Two sets of Jaccard similarity s
-differ in a share of acos(2s / (1 + s)) / pi of the bits, 0.15 at 0.8, so their
-differences leave short chains of a ring untouched. A key is a chain of two
-consecutive segments without a difference, which keeps every proportional
+A row's set of shingle hashes gets a fingerprint of ``BITS`` bits, cut into a
+ring of ``SEGMENTS`` segments of ``WIDTH`` bits. Two sets of Jaccard similarity
+s differ in a share of acos(2s / (1 + s)) / pi of the bits, 0.15 at 0.8, so
+their differences leave short chains of the ring untouched. A key is a chain of
+two consecutive segments without a difference, which keeps every proportional
 budget. In this model a pair at 0.80 has a key in common with probability
-0.985, at 0.85 0.999. Rows that share a key become candidates if the first 128
-bits differ in ``BUDGET`` at most, and a link is made only if the sets
-themselves (of 64-bit hashes) reach the threshold. A key with too many rows for
-one task skips the check of bits: its rows all meet.
+0.985, at 0.85 0.999. Rows that share a key become candidates if the first
+``CHECKED`` bits differ in ``BUDGET`` at most, and a link is made only if the
+sets themselves (of 64-bit hashes) reach the threshold. A key with too many
+rows for one task skips the check of bits: its rows all meet.
 
 Rows with the same set are one class. Classes that candidates connect are
 compared in one place: their texts meet in tasks. A group with too many
@@ -32,15 +31,17 @@ from pyspark.sql import functions as F
 
 from ledgerleaf.llm import bytewords as bw
 from ledgerleaf.llm.components import connected_components, forest
-from ledgerleaf.llm.staging import staged
+from ledgerleaf.llm.staging import free_shuffles, mark, settled, staged
 
 _U = np.uint64
 #: Bits of a fingerprint and of a segment, and the segments.
-BITS, WIDTH, SEGMENTS = 512, 10, 51
-#: Strides of the rings through the segments; sets of fewer than ``SMALL`` shingles differ in more bits than the model says and use all, others the first few.
-STRIDES, USUAL, SMALL = (1, 2, 3, 4, 5, 6), 4, 64
-#: Differences among the 128 checked bits, at most: over three standard deviations more than a similarity of 0.8 has on average.
-BUDGET = 33
+BITS, WIDTH, SEGMENTS = 1280, 10, 128
+#: Sets of fewer than ``SMALL`` shingles differ in more bits than the model says; they also use the rings of every second and every third segment.
+STRIDES, SMALL = (1, 2, 3), 64
+#: Bits that candidates are checked by, a word and the rest, which shares a word with the key; differences among them, at most: over three standard
+#: deviations more than a similarity of 0.8 has on average.
+REST, BUDGET = 34, 27
+CHECKED = 64 + REST
 #: Fingerprints of a key that one task compares, about; keys that are looked up by broadcast, at most; share of rows by which large keys are found.
 KEY_BLOCK, MOST_HOT, SHARE = 1024, 100_000, 16
 #: Members and shingles of a block of texts, about.
@@ -75,8 +76,8 @@ def fingerprint_bits(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     joint = np.cumsum(parts) - parts
     at = np.repeat(begin, parts) + (np.arange(int(parts.sum())) - np.repeat(joint, parts)) * 255
     out = np.zeros((len(filled), BITS), bool)
-    for word in range(BITS // 64 if len(filled) else 0):
-        x = bw.mix(h + _U(word + 1) * bw.MULTIPLIER)
+    for word, salt in enumerate(np.arange(1, BITS // 64 + 1, dtype=np.uint64) * bw.MULTIPLIER if len(filled) else []):
+        x = bw.mix(h + salt)
         for bit in range(8):
             lanes = np.add.reduceat(x & _U(0x0101010101010101), at).view(np.uint8).reshape(-1, 8)
             out[:, word * 64 + bit * 8 : word * 64 + bit * 8 + 8] = np.add.reduceat(lanes, joint, axis=0, dtype=np.int64) * 2 > size[:, None]
@@ -92,8 +93,8 @@ def ring_keys(bits: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarra
         start = np.arange(SEGMENTS, dtype=np.int32) + SEGMENTS * i
         rings.append((start << 2 * WIDTH | segments << WIDTH | np.roll(segments, -stride, axis=1)).astype(np.int32))
     keys = np.concatenate(rings, axis=1)
-    n = np.where(size < SMALL, keys.shape[1], SEGMENTS * USUAL)
-    return keys[np.arange(keys.shape[1]) < n[:, None]], n, np.packbits(bits[:, :128], axis=1).view(np.uint64)
+    n = np.where(size < SMALL, keys.shape[1], SEGMENTS)
+    return keys[np.arange(keys.shape[1]) < n[:, None]], n, np.packbits(np.pad(bits[:, :CHECKED], ((0, 0), (0, 64 - REST))), axis=1, bitorder="little").view(np.uint64)
 
 
 def candidates(key: np.ndarray, a: np.ndarray, b: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -113,7 +114,7 @@ def candidates(key: np.ndarray, a: np.ndarray, b: np.ndarray, node: np.ndarray)
 
 def meetings(classes: DataFrame) -> DataFrame:
     """(a, b): links among the nodes of ``classes`` (node, word_a, word_b, keys) that connect every candidate pair."""
-    each = classes.select("node", "word_a", "word_b", F.explode("keys").alias("key"))
+    each = classes.select("node", "word_a", "word_b", F.explode(F.col("keys").cast("array<bigint>")).alias("key"))
     n = classes.count()
     # large keys are found by a share of the rows; where the line lies decides where pairs are compared, not whether
     some = each.where(F.pmod(F.xxhash64("node"), F.lit(SHARE)) == 0).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
@@ -138,15 +139,16 @@ def meetings(classes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
 
         for batch in batches:
-            key, a, b, node = (c.to_numpy() for c in batch.columns)
-            held.append((key, a.view(np.uint64), b.view(np.uint64), node))
+            packed, a, node = (c.to_numpy() for c in batch.columns)
+            held.append((packed >> REST, a.view(np.uint64), (packed & ((1 << REST) - 1)).view(np.uint64), node))
             size += batch.num_rows
             if size >= 400_000:
                 yield from work(False)
         if held:
             yield from work(True)
 
-    dealt = rows.where("hot is null").select("key", "word_a", "word_b", "node").repartition("key").sortWithinPartitions("key")
+    packed = rows.where("hot is null").select(F.expr(f"shiftleft(key, {REST}) | word_b").alias("packed"), "word_a", "node")
+    dealt = packed.repartition(F.shiftright("packed", REST)).sortWithinPartitions("packed")
     found = staged(dealt.mapInArrow(meet, "a long, b long"), "candidates")
     return found.union(staged(stars, "hot_stars")) if hot.head(1) else found
 
@@ -200,7 +202,7 @@ def near_copies(docs: DataFrame, id_col: str, text_col: str = "text", ngram: int
     ``threshold`` are linked. Null, empty and wordless texts have the empty
     set and link with each other only; an empty table gives none.
     """
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts, since = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), mark()
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bw.slices(batches, "text"):
@@ -217,7 +219,9 @@ def near_copies(docs: DataFrame, id_col: str, text_col: str = "text", ngram: int
     sketches = staged(texts.mapInArrow(sketch, "id long, digest binary, size long, word_a long, word_b long, keys array<int>"), "sketches")
     sample = F.first(F.struct("size", "word_a", "word_b", "keys")).alias("x")  # equal for equal digests
     classes = staged(sketches.groupBy("digest").agg(F.min("id").alias("node"), sample).select("digest", "node", "x.*"), "classes")
-    coarse = connected_components(meetings(classes), "a", "b").join(classes.select("node", "size").hint("merge"), "node")
+    met = meetings(classes)
+    free_shuffles(docs.sparkSession)
+    coarse = connected_components(met, "a", "b").join(classes.select("node", "size").hint("merge"), "node")
     coarse = staged(coarse.select("node", F.col("root").alias("meeting"), "size"), "meetings")
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("size") / SHINGLES)).cast("int").alias("blocks")
     sized = coarse.groupBy("meeting").agg(blocks)
@@ -245,4 +249,5 @@ def near_copies(docs: DataFrame, id_col: str, text_col: str = "text", ngram: int
         again = again.withColumn("one", F.explode(F.when(F.col("part") == F.col("main"), F.array("mine")).otherwise(everywhere)))
         roots = staged(connected_components(found.union(staged(links(again), "near_again")), "a", "b"), "near_roots")
     named = classes.select("digest", "node").join(roots.hint("merge"), "node", "left").select("digest", F.coalesce("root", "node").alias("component_id"))
-    return sketches.select("id", "digest").join(named.hint("merge"), "digest").select(F.col("id").alias(id_col), "component_id")
+    out = sketches.select("id", "digest").join(named.hint("merge"), "digest").select(F.col("id").alias(id_col), "component_id")
+    return settled(out, "components", since)

@@ -25,6 +25,10 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Folders of the tables staged so far that were not deleted, in order.
+_TABLES: list[str] = []
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -34,6 +38,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    _TABLES.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
     return out
@@ -42,3 +47,24 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def drop(table: DataFrame) -> None:
     """Delete a staged table that nothing reads any more."""
     _remove(table.sparkSession, table._staged_path)
+    _TABLES.remove(table._staged_path)
+
+
+def mark() -> int:
+    """A place in the order of staged tables, for ``settled``."""
+    return len(_TABLES)
+
+
+def settled(df: DataFrame, name: str, since: int) -> DataFrame:
+    """``staged``, after which the tables staged since ``since`` are deleted, as only ``df`` read them. For one thread."""
+    out = staged(df, name)
+    for path in _TABLES[since:-1]:
+        _remove(df.sparkSession, path)
+    del _TABLES[since:-1]
+    free_shuffles(df.sparkSession)
+    return out
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Have the driver collect garbage: Spark deletes a shuffle's files on all executors once its plan is collected, which a large heap delays."""
+    spark._jvm.System.gc()

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerleaf.llm import bytewords as bw
-from ledgerleaf.llm.staging import staged
+from ledgerleaf.llm.staging import drop, free_shuffles, staged
 
 _U = np.uint64
 #: Words of a seed.
@@ -144,6 +144,7 @@ def repeated_spans(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([batch.column("id").take(took), batch.column("text_hash").take(took), pa.array(h[new].view(np.int64)), pa.array(np.minimum(times, 2).astype(np.int8))], ["id", "text_hash", "h", "times"])
 
     found = staged(rows.mapInArrow(seeds, f"id {kind}, text_hash long, h long, times byte"), "seeds")
+    free_shuffles(docs.sparkSession)
     shared = staged(found.groupBy("h").agg(F.sum("times").alias("n")).where("n > 1").select("h"), "shared")
     marks = found.select("id", "text_hash", "h").join(shared.hint("merge"), "h")
     marks = marks.groupBy(F.col("id").alias("m_id"), F.col("text_hash").alias("m_hash")).agg(F.collect_set("h").alias("marks"))
@@ -181,6 +182,9 @@ def repeated_spans(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     ext = joined.mapInArrow(context, f"id {kind}, text_hash long, text string, n_words long, kept_sha256 string, place array<int>, left array<byte>, right array<byte>, h array<long>, words array<binary>")
     # once written, a row has a number of its own, which occurrences carry in place of id and hash
     ext = staged(ext.withColumn("row", F.monotonically_increasing_id()), "contexts")
+    drop(found)
+    drop(shared)
+    free_shuffles(docs.sparkSession)
     zipped = F.explode(F.arrays_zip("place", "left", "right", "h", "words")).alias("x")
     each = ext.where(F.size("place") > 0).select("row", zipped).select("row", "x.*")
     counts = each.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
