@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ledgerleaf.llm import bytewords as bw
 from ledgerleaf.llm.components import connected_components, forest
-from ledgerleaf.llm.staging import free_shuffles, mark, settled, staged
+from ledgerleaf.llm.staging import drop, free_shuffles, mark, settled, staged
 
 _U = np.uint64
 #: Bits of a fingerprint and of a segment, and the segments.
@@ -219,6 +219,9 @@ def near_copies(docs: DataFrame, id_col: str, text_col: str = "text", ngram: int
     sketches = staged(texts.mapInArrow(sketch, "id long, digest binary, size long, word_a long, word_b long, keys array<int>"), "sketches")
     sample = F.first(F.struct("size", "word_a", "word_b", "keys")).alias("x")  # equal for equal digests
     classes = staged(sketches.groupBy("digest").agg(F.min("id").alias("node"), sample).select("digest", "node", "x.*"), "classes")
+    digests = staged(sketches.select("id", "digest"), "digests")
+    drop(sketches)
+    free_shuffles(docs.sparkSession)
     met = meetings(classes)
     free_shuffles(docs.sparkSession)
     coarse = connected_components(met, "a", "b").join(classes.select("node", "size").hint("merge"), "node")
@@ -249,5 +252,5 @@ def near_copies(docs: DataFrame, id_col: str, text_col: str = "text", ngram: int
         again = again.withColumn("one", F.explode(F.when(F.col("part") == F.col("main"), F.array("mine")).otherwise(everywhere)))
         roots = staged(connected_components(found.union(staged(links(again), "near_again")), "a", "b"), "near_roots")
     named = classes.select("digest", "node").join(roots.hint("merge"), "node", "left").select("digest", F.coalesce("root", "node").alias("component_id"))
-    out = sketches.select("id", "digest").join(named.hint("merge"), "digest").select(F.col("id").alias(id_col), "component_id")
+    out = digests.join(named.hint("merge"), "digest").select(F.col("id").alias(id_col), "component_id")
     return settled(out, "components", since)

@@ -116,7 +116,7 @@ def _intervals(places: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndar
     return who, at[who] - high + 1, at[who] - low + window
 
 
-def repeated_spans(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, hot: int = HOT) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, hot: int = HOT, unique: bool = False) -> DataFrame:
     """One row per row of ``docs``: id, text_hash, text, n_words and repeats, (start, end) word ranges that may overlap.
 
     A word range belongs to a repeat if a window of ``window`` words that
@@ -126,7 +126,7 @@ def repeated_spans(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     instead, so that clean texts are not written again.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), (F.lit(0).cast("long") if unique else F.xxhash64(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
     room = window - seed
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,14 +233,16 @@ def repeated_spans(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     return base.join(hits.hint("merge"), F.col("row") == F.col("m_row"), "left").select("id", "text_hash", "text", "n_words", "kept_sha256", "repeats")
 
 
-def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, hot: int = HOT) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, hot: int = HOT, unique: bool = False) -> DataFrame:
     """Remove every word covered by a repeated window: id, n_words, n_removed, kept_sha256, spans and kept.
 
     kept holds the words left, joined by one space, where any were removed,
     and null where none were (the text stands). spans are the maximal repeats
     as (start, end) word ranges, end exclusive. Null texts have no words and
     stay; texts shorter than the window stay; repeated rows lose each copy's
-    words; an empty table gives none; other columns are not read.
+    words; an empty table gives none; other columns are not read. With
+    ``unique``, ids tell rows apart and are not null, so no hash of the text
+    is carried beside them.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -256,7 +258,7 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
                 ["id", "text_hash", "n_words", "n_removed", "kept_sha256", "spans", "kept"],
             )
 
-    rows = repeated_spans(docs, window, id_col, text_col, seed, hot)
+    rows = repeated_spans(docs, window, id_col, text_col, seed, hot, unique)
     out = rows.mapInArrow(remove, f"id {kind}, text_hash long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:int,end:int>>, kept string")
     return out.withColumnRenamed("id", id_col)
 
