@@ -18,8 +18,8 @@ from ledgerleaf.llm.substring import substring_dedup
 
 
 def _carried(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, row): the whole row is one column, so that no name of an operator's can clash with its columns."""
-    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    """(doc_id, text, row): all other columns are one, so that no name of an operator's can clash with theirs."""
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -27,10 +27,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return staged(_carried(docs).select(F.monotonically_increasing_id().alias("key"), "text", "row"), "rows")
 
 
-def _with_text(rows: DataFrame, docs: DataFrame, changed: Column) -> DataFrame:
-    """The columns of ``docs`` from row, with text in place of its own; n_chars, where there is one, is counted anew if ``changed``."""
-    new = {"text": F.col("text"), "n_chars": F.when(changed, F.length("text").cast("long")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
-    return rows.select(*[new[c].alias(c) if c in new else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+def _restored(rows: DataFrame, docs: DataFrame, changed: Column | None = None) -> DataFrame:
+    """The columns of ``docs`` from text and row; n_chars, where there is one, is counted anew if the text is ``changed``."""
+    new = {"text": F.col("text")}
+    if changed is not None and "n_chars" in docs.columns:
+        new["n_chars"] = F.when(changed, F.length("text").cast("long")).otherwise(F.col("row.n_chars"))
+    return rows.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +44,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     both classes all stay. Columns of any name pass through.
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality_scores(_carried(docs), labels, keep=["row"]).where("predicted = 1").select("row.*")
+    return _restored(quality_scores(_carried(docs), labels, keep=["row", "text"]).where("predicted = 1"), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +61,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     groups = simhash_dedup(rows, id_col="key", ngram=5, similarity=0.8)
     first = F.min(F.struct(F.col("row.doc_id").isNull().alias("missing"), F.col("row.doc_id").alias("doc_id"), "key")).alias("first")
     kept = rows.join(groups.hint("merge"), "key").groupBy("component_id").agg(first).select(F.col("first.key").alias("key"))
-    return settled(rows.join(kept.hint("merge"), "key", "left_semi").select("row.*"), "unique", since)
+    return settled(_restored(rows.join(kept.hint("merge"), "key", "left_semi"), docs), "unique", since)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,10 +73,10 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """
     since = mark()
     rows = _keyed(docs)
-    cut = substring_dedup(rows, window=35, id_col="key").where("kept is not null").select("key", "kept")
+    cut = substring_dedup(rows, window=35, id_col="key", unique=True).where("kept is not null").select("key", "kept")
     out = rows.join(cut.hint("merge"), "key", "left").where("kept is null or kept <> ''")
     out = out.select("row", "kept", F.coalesce("kept", "text").alias("text"))
-    return settled(_with_text(out, docs, F.col("kept").isNotNull()), "passages", since)
+    return settled(_restored(out, docs, F.col("kept").isNotNull()), "passages", since)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -84,7 +86,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     repeated rows each return; an empty table gives none. Columns of any name
     pass through.
     """
-    return _with_text(redact(secret_spans(_carried(docs), keep=["row", "text"])), docs, F.size("spans") > 0)
+    return _restored(redact(secret_spans(_carried(docs), keep=["row", "text"])), docs, F.size("spans") > 0)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
