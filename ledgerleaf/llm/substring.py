@@ -1,10 +1,8 @@
 """Substring dedup by seed and extend over winnowed anchors.
 
 Seeds: of the hashes of all runs of ``SEED`` words, the least in each window
-is an anchor, so two equal windows hold the same anchors at the same places. A
-window reaches at least half its other words to one side of an anchor, so an
-anchor matters only if it occurs again with those words before it or with
-those after it; this joins documents on anchors, and most anchors end here.
+is an anchor, so two equal windows hold the same anchors at the same places.
+Documents are joined on anchors; those that occur once end here.
 
 Extend: what is left meets by anchor. Each occurrence carries the words on
 both sides as far as a window reaches. For every place of the anchor in a
@@ -34,8 +32,8 @@ from ledgerleaf.llm import bytewords as bw
 from ledgerleaf.llm.staging import drop, free_shuffles, staged
 
 _U = np.uint64
-#: Words of a seed.
-SEED = 8
+#: Words of a seed: long enough that chance repeats are rare, short enough that anchors are few.
+SEED = 14
 #: Occurrences of an anchor that are extended in one task; anchors looked up by broadcast as hot ones, at most.
 HOT, MOST_HOT = 8192, 100_000
 #: Occurrences that a task extends at a time, about.
@@ -71,20 +69,6 @@ def _hashed(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return data, start, end, first, bw.hash_spans(data, start, end)
 
 
-def _seeds(values: np.ndarray, first: np.ndarray, window: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors: (place, hash, key with the words before, key with the words after); a key is zero where the row has too few words there."""
-    at, h = _anchors(values, first, window, seed)
-    half = (window - seed + 1) // 2
-    runs = bw.hash_runs(values, seed + half)
-    row = np.searchsorted(first, at, side="right") - 1
-    before, after = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
-    ok = at - half >= first[row]
-    before[ok] = bw.mix(runs[at[ok] - half] + _U(1)) | _U(1)
-    ok = at + seed + half <= first[row + 1]
-    after[ok] = bw.mix(runs[at[ok]] + _U(2)) | _U(1)
-    return at, h, before, after
-
-
 def extend(codes: np.ndarray, h: np.ndarray, left: np.ndarray, right: np.ndarray, window: int, seed: int) -> np.ndarray:
     """For each occurrence of an anchor, at which places of a window that holds it the window occurs again: (occurrences, window - seed + 1).
 
@@ -132,10 +116,8 @@ def repeated_spans(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bw.slices(batches, "text"):
             _, _, _, first, values = _hashed(batch.column("text"))
-            at, _, before, after = _seeds(values, first, window, seed)
-            row = np.tile(np.searchsorted(first, at, side="right") - 1, 2)
-            h = np.concatenate([before, after])
-            row, h = row[h > 0], h[h > 0]
+            at, h = _anchors(values, first, window, seed)
+            row = np.searchsorted(first, at, side="right") - 1
             order = np.lexsort((h, row))
             row, h = row[order], h[order]
             new = np.flatnonzero(np.append(True, (np.diff(row) != 0) | (np.diff(h) != 0))) if len(h) else np.zeros(0, np.int64)
@@ -154,11 +136,10 @@ def repeated_spans(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
             data, start, end, first, values = _hashed(batch.column("text"))
             marks = batch.column("marks")
             size = np.where(marks.is_valid().to_numpy(zero_copy_only=False), marks.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), 0)
-            at, h, before, after = _seeds(values, first, window, seed)
+            at, h = _anchors(values, first, window, seed)
             row = np.searchsorted(first, at, side="right") - 1
             pair = lambda r, x: bw.mix(x + bw.MULTIPLIER * r.astype(np.uint64))
-            known = pair(np.repeat(np.arange(len(size)), size), marks.flatten().to_numpy().view(np.uint64))
-            hit = ((before > 0) & np.isin(pair(row, before), known)) | ((after > 0) & np.isin(pair(row, after), known))
+            hit = np.isin(pair(row, h), pair(np.repeat(np.arange(len(size)), size), marks.flatten().to_numpy().view(np.uint64)))
             at, h, row = at[hit], h[hit], row[hit]
             left, right = np.minimum(at - first[row], room), np.minimum(first[row + 1] - at - seed, room)
             code = np.pad((values >> _U(32)).astype(np.uint32), room)
@@ -221,6 +202,7 @@ def repeated_spans(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
 
     dealt = each.where("hot is null").select("h", "row", "place", "left", "right", "words").repartition("h").sortWithinPartitions("h")
     hits = staged(dealt.mapInArrow(matches, "m_row long, start int, end int"), "matches")
+    free_shuffles(docs.sparkSession)
     if large.head(1):
         places = F.sequence(F.lit(0), F.lit(room))
         inside = F.filter(places, lambda o: (o <= F.col("left")) & (room - o <= F.col("right")))
