@@ -130,12 +130,14 @@ def entity_chunks(entities: DataFrame, pages: DataFrame, level: str) -> DataFram
 
 
 def hierarchical_chunks(**levels: DataFrame) -> DataFrame:
-    """All levels' chunks (doc_id, text) numbered through in a document, in the order given."""
+    """All levels' chunks (doc_id, text, and page_number where the level has pages) numbered through in a document: levels in the order given, pages in order."""
     from functools import reduce
 
-    tagged = [df.select("doc_id", F.lit(i).alias("level_no"), F.lit(name).alias("level"), "text") for i, (name, df) in enumerate(levels.items())]
+    page = lambda df: F.col("page_number") if "page_number" in df.columns else F.lit(0)
+    tagged = [df.select("doc_id", F.lit(i).alias("level_no"), F.lit(name).alias("level"), "text", page(df).alias("place")) for i, (name, df) in enumerate(levels.items())]
     both = reduce(lambda a, b: a.unionByName(b), tagged)
-    return both.withColumn("chunk_index", F.row_number().over(Window.partitionBy("doc_id").orderBy("level_no", "text")))
+    numbered = Window.partitionBy("doc_id").orderBy("level_no", "place", "text")
+    return both.withColumn("chunk_index", F.row_number().over(numbered)).drop("place")
 
 
 def remaining_text(docs: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ def token_hits(issues: DataFrame, tokens: DataFrame, cell: float = 100.0) -> Dat
     right = tokens.withColumn("band", F.explode(bands("y", "height")))
     first = F.greatest(F.floor(F.col("iy") / cell), F.floor(F.col("y") / cell)).cast("int")
     meets = (F.col("ix") < F.col("x") + F.col("width")) & (F.col("x") < F.col("ix") + F.col("iwidth")) & (F.col("iy") < F.col("y") + F.col("height")) & (F.col("y") < F.col("iy") + F.col("iheight"))
-    hits = left.join(right.select("doc_id", "page_number", "band", "x", "y", "width", "height"), ["doc_id", "page_number", "band"]).where(meets & (F.col("band") == first)).groupBy("id").agg(F.count(F.lit(1)).alias("token_count"))
+    hits = left.join(right.select("doc_id", "page_number", "band", "x", "y", "width", "height").hint("merge"), ["doc_id", "page_number", "band"]).where(meets & (F.col("band") == first)).groupBy("id").agg(F.count(F.lit(1)).alias("token_count"))
     return issues.join(hits, "id", "left").withColumn("token_count", F.coalesce("token_count", F.lit(0)))
 
 
@@ -36,30 +36,31 @@ def gate(issues: DataFrame) -> DataFrame:
 
 
 def match_phrase(issues: DataFrame, tokens: DataFrame) -> DataFrame:
-    """Each run of tokens of a line whose normalised text is the issue's normalised anchor, with its box.
+    """Each run of tokens of a line whose normalised text is the issue's normalised anchor, with its box; anchors of any length.
 
-    The anchor's first word is joined with the tokens; the rest is compared
-    in the line's words from there.
+    Every word of an anchor meets the tokens that equal it; a run matches
+    where all words point to the same first position.
     """
     words = F.split(normalize_anchor(F.col("anchor_text")), " ")
-    wanted = issues.select("id", "doc_id", words.alias("want")).where(F.size("want") > 0).withColumn("first", F.element_at("want", 1)).where(F.col("first") != "")
-    line = Window.partitionBy("doc_id", "line_no").orderBy("token_idx").rowsBetween(0, 12)
-    run = tokens.withColumn("norm", normalize_anchor(F.col("str"))).withColumn("run", F.collect_list(F.struct("norm", "x", "width")).over(line))
-    own = wanted.join(run, (wanted.doc_id == run.doc_id) & (F.col("first") == F.col("norm"))).drop(run.doc_id)
-    k = F.size("want")
-    last = F.element_at("run", k)
-    same = (F.size("run") >= k) & (F.array_join(F.transform(F.slice("run", F.lit(1), k), lambda t: t["norm"]), " ") == F.array_join("want", " "))
-    return own.where(F.coalesce(same, F.lit(False))).select("id", "doc_id", "line_no", "token_idx", "x", "y", (last["x"] + last["width"] - F.col("x")).alias("width"), "height")
+    wanted = issues.select("id", "doc_id", words.alias("want")).where(F.element_at("want", 1) != "")
+    wanted = wanted.select("id", "doc_id", F.size("want").alias("k"), F.posexplode("want").alias("i", "norm"))
+    line = Window.partitionBy("doc_id", "line_no").orderBy("token_idx")
+    placed = tokens.withColumns({"norm": normalize_anchor(F.col("str")), "place": F.row_number().over(line)})
+    met = wanted.join(placed.hint("merge"), ["doc_id", "norm"]).withColumn("first_place", F.col("place") - F.col("i"))
+    box = [F.min_by(c, "i").alias(c) for c in ("token_idx", "x", "y", "height")]
+    end = F.max_by(F.col("x") + F.col("width"), "i")
+    runs = met.groupBy("id", "doc_id", "line_no", "first_place", "k").agg(F.count(F.lit(1)).alias("n"), *box, end.alias("end"))
+    return runs.where("n = k").select("id", "doc_id", "line_no", "token_idx", "x", "y", (F.col("end") - F.col("x")).alias("width"), "height")
 
 
 def match_token(issues: DataFrame, tokens: DataFrame) -> DataFrame:
     """The first token of the document that holds the anchor, case-blind; issues without one drop."""
-    own = issues.select("id", "doc_id", F.lower("anchor_text").alias("want")).join(tokens, "doc_id").where(F.contains(F.lower("str"), F.col("want")))
+    own = issues.select("id", "doc_id", F.lower("anchor_text").alias("want")).join(tokens.hint("merge"), "doc_id").where(F.contains(F.lower("str"), F.col("want")))
     return own.groupBy("id").agg(F.min_by(F.struct("line_no", "token_idx", "x", "y"), F.struct("line_no", "token_idx")).alias("t")).select("id", "t.line_no", "t.token_idx", "t.x", "t.y")
 
 
 def word_index(tokens: DataFrame) -> DataFrame:
-    """Postings of words over two characters: how many tokens and documents hold each."""
+    """Postings of words over two characters, from (doc_id, str): how many tokens and documents hold each."""
     word = F.explode(F.split(F.lower("str"), "\\s+"))
     return tokens.select("doc_id", word.alias("word")).where(F.length("word") > 2).groupBy("word").agg(F.count(F.lit(1)).alias("n_tokens"), F.count_distinct("doc_id").alias("n_docs"))
 

@@ -124,10 +124,10 @@ def _(spark, d):
     return c.entity_chunks(entities(spark, d).where("disputed"), views.pages(spark, d).select("doc_id", "page_number", "text"), "dispute")
 
 
-@query("c11_hierarchical_chunks", q("SELECT doc_id, level_no, level, text, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY level_no, text) AS INTEGER) AS chunk_index FROM (SELECT doc_id, 0 AS level_no, 'document' AS level, string_agg(text, ' ' ORDER BY page_number) AS text FROM v_pages WHERE page_number <= 2 GROUP BY 1 UNION ALL SELECT doc_id, 1, 'page', text FROM v_pages)", v.PAGES))
+@query("c11_hierarchical_chunks", q("SELECT doc_id, level_no, level, text, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY level_no, place) AS INTEGER) AS chunk_index FROM (SELECT doc_id, 0 AS level_no, 'document' AS level, string_agg(text, ' ' ORDER BY page_number) AS text, 0 AS place FROM v_pages GROUP BY 1 UNION ALL SELECT doc_id, 1, 'page', text, page_number FROM v_pages)", v.PAGES))
 def _(spark, d):
     pages = views.pages(spark, d)
-    whole = pages.where("page_number <= 2").groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "text"))), lambda p: p["text"]), " ").alias("text"))
+    whole = pages.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "text"))), lambda p: p["text"]), " ").alias("text"))
     return c.hierarchical_chunks(document=whole, page=pages)
 
 

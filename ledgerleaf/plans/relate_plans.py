@@ -118,12 +118,16 @@ def _(spark, d):
 NORM = "trim(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 
 
-@query("j12_match_phrase", q(f"""SELECT i.id, i.doc_id, t.line_no, t.token_idx, t.x, t.y, t2.x + t2.width - t.x AS width, t.height FROM (SELECT id, doc_id, string_split({NORM.format('anchor_text')}, ' ') AS want FROM v_issues WHERE error_type IN ('license', 'digits')) i
- JOIN (SELECT *, {NORM.format('str')} AS norm, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY token_idx) AS k FROM v_tokens) t ON t.doc_id = i.doc_id AND t.norm = i.want[1] AND i.want[1] <> ''
- JOIN (SELECT *, {NORM.format('str')} AS norm, row_number() OVER (PARTITION BY doc_id, line_no ORDER BY token_idx) AS k FROM v_tokens) t2 ON t2.doc_id = t.doc_id AND t2.line_no = t.line_no AND t2.k = t.k + len(i.want) - 1 WHERE len(i.want) = 1""", v.ISSUES, v.TOKENS.replace(v.LINES + ", ", "")))
+#: Lines of tokens as lists, so that a phrase is a slice of a line.
+TOKEN_LINES = f"""v_token_lines AS (SELECT doc_id, line_no, list({NORM.format('str')} ORDER BY token_idx) AS ws, list(token_idx ORDER BY token_idx) AS ts,
+ list(x ORDER BY token_idx) AS xs, list(width ORDER BY token_idx) AS wd, any_value(y) AS y, any_value(height) AS height FROM v_tokens GROUP BY 1, 2)"""
+
+
+@query("j12_match_phrase", q(f"""SELECT i.id, i.doc_id, l.line_no, l.ts[p] AS token_idx, l.xs[p] AS x, l.y, l.xs[p + n - 1] + l.wd[p + n - 1] - l.xs[p] AS width, l.height
+ FROM (SELECT id, doc_id, want, len(want) AS n FROM (SELECT id, doc_id, string_split({NORM.format('anchor_text')}, ' ') AS want FROM v_issues) WHERE want[1] <> '') i
+ JOIN v_token_lines l ON l.doc_id = i.doc_id AND list_contains(l.ws, i.want[1]), unnest(range(1, len(l.ws) + 1)) AS t(p) WHERE l.ws[p:p + n - 1] = i.want""", v.ISSUES, v.TOKENS.replace(v.LINES + ", ", ""), TOKEN_LINES))
 def _(spark, d):
-    own = views.issues(spark, d).where("error_type in ('license', 'digits')")
-    return locate.match_phrase(own, views.tokens(spark, d))
+    return locate.match_phrase(views.issues(spark, d), views.tokens(spark, d))
 
 
 @query("j13_match_token", q("SELECT id, line_no, token_idx, x, y FROM (SELECT i.id, t.line_no, t.token_idx, t.x, t.y, row_number() OVER (PARTITION BY i.id ORDER BY t.line_no, t.token_idx) AS n FROM v_issues i JOIN v_tokens t ON t.doc_id = i.doc_id AND contains(lower(t.str), lower(i.anchor_text))) WHERE n = 1", v.ISSUES, v.TOKENS.replace(v.LINES + ", ", "")))
@@ -133,7 +137,7 @@ def _(spark, d):
 
 @query("j14_word_index", q("SELECT word, count(*) AS n_tokens, count(DISTINCT doc_id) AS n_docs FROM (SELECT doc_id, lower(str) AS word FROM v_tokens) WHERE length(word) > 2 GROUP BY 1", v.TOKENS))
 def _(spark, d):
-    return locate.word_index(views.tokens(spark, d))
+    return locate.word_index(views.words(spark, d))
 
 
 @query("j15_locate_hits", q("SELECT id, line_no, lx, lw FROM (SELECT i.id, l.line_no, l.lx, l.lw, row_number() OVER (PARTITION BY i.id ORDER BY l.line_no) AS n FROM v_issues i JOIN (SELECT doc_id, line_no, line, 50.0 AS lx, CAST(8 * length(line) AS DOUBLE) AS lw FROM v_lines) l ON l.doc_id = i.doc_id AND contains(l.line, i.anchor_text)) WHERE n = 1", v.ISSUES))

@@ -47,6 +47,11 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("doc_id", (F.col("line_no") / 40).cast("int").alias("page0"), "line_no", "token_idx", F.col("t.s").alias("str"), (50.0 + 8 * F.col("t.p")).alias("x"), (50.0 + 15 * F.col("line_no")).cast("double").alias("y"), (8.0 * F.length("t.s")).alias("width"), F.lit(15.0).alias("height"))
 
 
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, str): the words of ``tokens`` without their places."""
+    return lines(spark, sf_dir).select("doc_id", F.explode(F.split("line", " ")).alias("str")).where(F.length(F.trim("str")) > 0)
+
+
 def rule_structs() -> Column:
     names = ["rule_id", "error_type", "pattern", "type", "category", "severity"]
     return F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, rule, strict=True)]) for rule in RULES])

@@ -73,6 +73,24 @@ def test_phrase_of_two_tokens(spark):
     assert sorted((r.token_idx, r.x, r.width) for r in hits.collect()) == [(0, 50.0, 110.0), (3, 230.0, 110.0)]
 
 
+@pytest.mark.parametrize("k", [2, 5, 20])
+def test_phrase_of_many_words(spark, k):
+    """A phrase of k words is found wherever it stands whole, also twice in a line and overlapping itself, and not where a word is missing."""
+    strings = [f"Word{i}," for i in range(k)]
+    rows = [(1, 0, i, s) for i, s in enumerate([*strings, *strings, "x", *strings[:-1]])] + [(2, 0, i, s) for i, s in enumerate(strings)] + [(1, 1, i, "a") for i in range(k + 1)]
+    tokens = spark.createDataFrame([(d, n, i, s, 10.0 * i, 15.0 * n, 8.0, 15.0) for d, n, i, s in rows], "doc_id int, line_no int, token_idx int, str string, x double, y double, width double, height double")
+    issues_ = spark.createDataFrame([("i", 1, " ".join(f"word{i}" for i in range(k))), ("a", 1, " ".join("a" * k))], "id string, doc_id int, anchor_text string")
+    hits = sorted((r.id, r.line_no, r.token_idx, r.x, r.width) for r in locate.match_phrase(issues_, tokens).collect())
+    wide = 10.0 * (k - 1) + 8
+    assert hits == [("a", 1, 0, 0.0, wide), ("a", 1, 1, 10.0, wide), ("i", 0, 0, 0.0, wide), ("i", 0, k, 10.0 * k, wide)]
+
+
+def test_hierarchy_in_page_order(spark):
+    pages = spark.createDataFrame([(1, 1, "zeta"), (1, 2, "alpha")], "doc_id int, page_number int, text string")
+    got = chunking.hierarchical_chunks(document=spark.createDataFrame([(1, "whole")], "doc_id int, text string"), page=pages)
+    assert [r.text for r in got.orderBy("chunk_index").collect()] == ["whole", "zeta", "alpha"]
+
+
 def test_regions_and_payment_gap(spark):
     pages = spark.createDataFrame([(1, 1, "Your FICO score and account balance")], "doc_id int, page_number int, text string")
     assert sorted(r.type for r in corpus.semantic_regions(pages, corpus.REGIONS).collect()) == ["account_section", "score_section"]
