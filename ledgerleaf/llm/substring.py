@@ -34,8 +34,8 @@ from ledgerleaf.llm.staging import drop, free_shuffles, staged
 _U = np.uint64
 #: Words of a seed: long enough that chance repeats are rare, short enough that anchors are few.
 SEED = 14
-#: Occurrences of an anchor that are extended in one task; anchors looked up by broadcast as hot ones, at most.
-HOT, MOST_HOT = 8192, 100_000
+#: Occurrences of an anchor that are extended in one task, which hold about 60 MB; anchors looked up by broadcast as hot ones, at most.
+HOT, MOST_HOT = 65_536, 100_000
 #: Occurrences that a task extends at a time, about.
 CHUNK = 50_000
 
