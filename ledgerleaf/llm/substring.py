@@ -11,8 +11,9 @@ word by word, with its neighbour; the places that match are the match's
 extension to either side. The union of all of them, merged where they
 overlap, is the set of maximal repeats over the length threshold. Work follows
 the number of occurrences, not of pairs. An anchor with more than ``HOT``
-occurrences does not fit a task; there, equal windows are counted by hash with
-partial sums and joined back, where Spark splits skewed partitions.
+occurrences does not fit a task; there, windows are told apart by hash. Those
+that occur more than ``HOT`` times are found by partial sums, are few, and mark
+their occurrences where they stand; all others are dealt by hash and counted.
 
 Words are compared by 32-bit codes, so a window by 32 bits a word; hashes of
 64 bits only sort, and decide on hot anchors.
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerleaf.llm import bytewords as bw
@@ -34,7 +35,7 @@ from ledgerleaf.llm.staging import drop, free_shuffles, staged
 _U = np.uint64
 #: Words of a seed: long enough that chance repeats are rare, short enough that anchors are few.
 SEED = 14
-#: Occurrences of an anchor that are extended in one task; anchors looked up by broadcast as hot ones, at most.
+#: Occurrences of an anchor that are extended in one task; anchors, and windows, looked up by broadcast as hot ones, at most.
 HOT, MOST_HOT = 8192, 100_000
 #: Occurrences that a task extends at a time, about.
 CHUNK = 50_000
@@ -75,16 +76,14 @@ def extend(codes: np.ndarray, h: np.ndarray, left: np.ndarray, right: np.ndarray
     ``codes`` holds the words around each anchor, ``left`` and ``right`` how
     many of those belong to the row.
     """
+    key, inside = _window_keys(codes, h, left, right, window, seed)
     room = window - seed
-    total = np.zeros((len(codes), codes.shape[1] + 1), np.uint64)
-    np.cumsum(codes * bw.powers(bw.MULTIPLIER, codes.shape[1])[None, :], axis=1, dtype=np.uint64, out=total[:, 1:])
-    out = np.zeros((len(codes), room + 1), bool)
+    out = np.zeros(key.shape, bool)
     for o in range(room + 1):
-        own = np.flatnonzero((o <= left) & (room - o <= right))
-        key = bw.mix(total[own, room - o + window] - total[own, room - o] + h[own] * bw.MULTIPLIER)
-        order = np.argsort(key, kind="stable")
-        own, key = own[order], key[order]
-        near = np.flatnonzero(key[1:] == key[:-1])
+        own = np.flatnonzero(inside[:, o])
+        order = np.argsort(key[own, o], kind="stable")
+        own = own[order]
+        near = np.flatnonzero(key[own[1:], o] == key[own[:-1], o])
         a, b = own[near], own[near + 1]
         words = slice(room - o, room - o + window)
         same = (h[a] == h[b]) & (codes[a, words] == codes[b, words]).all(axis=1)
@@ -92,6 +91,17 @@ def extend(codes: np.ndarray, h: np.ndarray, left: np.ndarray, right: np.ndarray
     return out
 
 
+def _window_keys(codes: np.ndarray, h: np.ndarray, left: np.ndarray, right: np.ndarray, window: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of the window that holds the anchor at each place, does that window lie inside its row?): (occurrences, window - seed + 1) each."""
+    room = window - seed
+    total = np.zeros((len(codes), codes.shape[1] + 1), np.uint64)
+    np.cumsum(codes * bw.powers(bw.MULTIPLIER, codes.shape[1])[None, :], axis=1, dtype=np.uint64, out=total[:, 1:])
+    place = np.arange(room + 1)
+    # a window's sum starts at the power of its place, so equal windows have equal sums at equal places only; the place is hashed with them
+    key = bw.mix(total[:, room - place + window] - total[:, room - place] + (h * bw.MULTIPLIER)[:, None] + bw.mix(place.astype(np.uint64))[None, :])
+    return key, (place[None, :] <= left[:, None]) & (room - place[None, :] <= right[:, None])
+
+
 def _intervals(places: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(occurrence, start, end) of each run of matching places: the words that those windows cover."""
     edge = np.diff(np.pad(places.astype(np.int8), ((0, 0), (1, 1))), axis=1)
@@ -204,12 +214,34 @@ def repeated_spans(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     hits = staged(dealt.mapInArrow(matches, "m_row long, start int, end int"), "matches")
     free_shuffles(docs.sparkSession)
     if large.head(1):
-        places = F.sequence(F.lit(0), F.lit(room))
-        inside = F.filter(places, lambda o: (o <= F.col("left")) & (room - o <= F.col("right")))
-        by_place = each.where("hot").select("row", "place", "h", "words", F.explode(inside).alias("o"))
-        windows = by_place.select("row", (F.col("place") - F.col("o")).alias("start"), F.xxhash64("h", "o", F.expr(f"substring(words, ({room} - o) * 4 + 1, {4 * window})")).alias("w"))
-        twice = staged(windows.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w"), "twice")
-        hits = hits.union(windows.join(twice.hint("merge"), "w").select("row", "start", (F.col("start") + window).alias("end")))
+        hot_ones = each.where("hot").select("h", "row", "place", "left", "right", "words")
+
+        def keyed(batches: Iterator[pa.RecordBatch], full: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+            """Without ``full``, the hash of each window over an anchor; else spans of the windows in ``full``, and the other windows with their hash."""
+            for batch in batches:
+                for low in range(0, batch.num_rows, CHUNK):
+                    part = batch.slice(low, CHUNK)
+                    h, row, place, left, right = (part.column(c).to_numpy() for c in ("h", "row", "place", "left", "right"))
+                    codes = np.frombuffer(b"".join(part.column("words").to_pylist()), np.uint32).reshape(len(h), window + room)
+                    key, inside = _window_keys(codes, h.view(np.uint64), left, right, window, seed)
+                    if full is None:
+                        yield pa.RecordBatch.from_arrays([pa.array(key[inside].view(np.int64))], ["w"])
+                        continue
+                    known = inside & np.isin(key, full)
+                    who, start, end = _intervals(known, place, window)
+                    r, o = np.nonzero(inside & ~known)
+                    begin = place[r] - o
+                    both = (np.concatenate([row[who], row[r]]), np.concatenate([start, begin]).astype(np.int32), np.concatenate([end, begin + window]).astype(np.int32))
+                    w = np.concatenate([np.zeros(len(who), np.int64), key[r, o].view(np.int64)])
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, both), pa.array(w, mask=np.arange(len(w)) < len(who))], ["m_row", "start", "end", "w"])
+
+        often = hot_ones.mapInArrow(lambda b: keyed(b, None), "w long").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+        often = often.where(F.col("n") > max(hot, (room + 1) * total // MOST_HOT)).select("w").toPandas()["w"]
+        full = np.sort(often.to_numpy(np.int64).view(np.uint64))
+        spans = staged(hot_ones.mapInArrow(lambda b: keyed(b, full), "m_row long, start int, end int, w long"), "hot_spans")
+        free_shuffles(docs.sparkSession)
+        rest = spans.where("w is not null").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("w"))).where("n > 1")
+        hits = hits.union(spans.where("w is null").drop("w")).union(rest.select("m_row", "start", "end"))
     hits = hits.groupBy("m_row").agg(F.collect_set(F.struct("start", "end")).alias("repeats"))
     base = ext.select("row", "id", "text_hash", "text", "n_words", "kept_sha256")
     return base.join(hits.hint("merge"), F.col("row") == F.col("m_row"), "left").select("id", "text_hash", "text", "n_words", "kept_sha256", "repeats")
