@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ledgerleaf.functions import text as t
@@ -128,6 +128,28 @@ def other_items_summary(items: DataFrame) -> DataFrame:
     return items.groupBy("doc_id").agg(one("inquiry"), one("record"), one("collection"), F.count(F.lit(1)).alias("n"))
 
 
+def append_audit(rows: DataFrame, path: str, by: str = "date") -> None:
+    """Append to the audit log, in folders by ``by``."""
+    rows.write.mode("append").partitionBy(by).parquet(path)
+
+
+def latest_audit(log: DataFrame, key: str = "source", at: str | None = None) -> DataFrame:
+    """Each key's last row of the audit log, or its last up to the time ``at``; ties go to the greater event_id."""
+    own = log if at is None else log.where(F.col("ts") <= F.to_timestamp(F.lit(at)))
+    return own.groupBy(key).agg(F.max("ts").alias("ts"), F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+
+
+def distinct_values(df: DataFrame, key: str, value: Column) -> DataFrame:
+    """How many distinct values each key has."""
+    return df.select(key, value.alias("_v")).distinct().groupBy(key).agg(F.count("_v").alias("n"))
+
+
+def observed(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, Observation]:
+    """``df`` with metrics that fill in as it runs: the way to follow progress."""
+    watch = Observation(name)
+    return df.observe(watch, F.count(F.lit(1)).alias("rows"), *[m.alias(n) for n, m in metrics.items()]), watch
+
+
 def write_artifacts(frames: dict[str, DataFrame], path: str, key: str = "document_id") -> None:
     """Each table as Parquet under its name, partitioned by document."""
     for name, df in frames.items():

@@ -58,8 +58,27 @@ def missing_values(df: DataFrame, key: str, columns: list[str], marks: list[str]
     return long.where(F.col("value").isNull() | F.trim("value").isin("", *marks)).select(key, "field")
 
 
-def stale_items(accounts: DataFrame, as_of: str, years: int = 7) -> DataFrame:
-    return accounts.where(F.col("opened") < F.add_months(F.to_date(F.lit(as_of)), -12 * years))
+def stale_items(items: DataFrame, as_of: str, years: int = 7, closed_years: int = 10, inquiry_years: int = 2) -> DataFrame:
+    """One row per item and reason: negative and opened, closed, or inquired too long before ``as_of``. Needs opened, negative, closed_on, inquired_on."""
+    before = lambda c, n: F.col(c) < F.add_months(F.to_date(F.lit(as_of)), -12 * n)
+    reasons = F.array_compact(F.array(F.when(F.col("negative") & before("opened", years), F.lit("old_negative")), F.when(before("closed_on", closed_years), F.lit("old_closed")), F.when(before("inquired_on", inquiry_years), F.lit("old_inquiry"))))
+    return items.withColumn("reason", F.explode(reasons))
+
+
+def collection_entries(accounts: DataFrame, codes: list[str]) -> DataFrame:
+    """Accounts with any of the status ``codes``."""
+    return accounts.where(F.arrays_overlap("statuses", F.array(*[F.lit(c) for c in codes])))
+
+
+def status_changes(status: DataFrame) -> DataFrame:
+    """Rows whose status differs from the source's row before, and each source's first."""
+    own = status.withColumn("before", F.lag("status").over(Window.partitionBy("source").orderBy("ts", "event_id")))
+    return own.where("before is null or before <> status")
+
+
+def unapproved(calls: DataFrame, allowed: DataFrame, key: str = "model") -> DataFrame:
+    """Calls of models that the list of allowed ones lacks."""
+    return calls.join(allowed.select(key).hint("merge"), key, "left_anti")
 
 
 def duplicate_entities(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -72,11 +91,6 @@ def repeated_inquiries(inquiries: DataFrame, keys: list[str], least: int) -> Dat
     return inquiries.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
 
 
-def multi_pass_counts(issues: DataFrame) -> DataFrame:
-    """Hits of each class with the pass it belongs to; one scan serves all passes."""
-    return issues.groupBy("error_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("n_docs"))
-
-
 def check_extraction(docs: DataFrame, schema: str, count_col: str, list_col: str) -> DataFrame:
     """Violations of a JSON document: broken JSON, or a stated count that is not its list's size. Needs id and json."""
     own = docs.select("id", F.from_json("json", schema).alias("p"))

@@ -33,9 +33,10 @@ def parse_findings(raw: DataFrame, col: str = "response_raw") -> DataFrame:
 
 
 def harmonize_rects(findings: DataFrame) -> DataFrame:
-    """One row per rectangle of findings whose boxes come as ``bbox``, ``bboxes`` or inside ``evidence``; findings without any keep one row of nulls."""
+    """One row per rectangle of findings whose boxes come as ``coordinates`` (JSON, an object or a list), ``bbox``, ``bboxes`` or inside ``evidence``; findings without any keep one row of nulls."""
     inside = F.transform("evidence", lambda e: F.coalesce(e["bbox"], F.struct(e["x"].alias("x"), e["y"].alias("y"), e["width"].alias("width"), e["height"].alias("height"))))
-    rects = F.coalesce(F.when(F.col("bbox").isNotNull(), F.array("bbox")), F.col("bboxes"), inside)
+    given = F.from_json("coordinates", "array<struct<x:double,y:double,width:double,height:double>>") if "coordinates" in findings.columns else F.lit(None)
+    rects = F.coalesce(given, F.when(F.col("bbox").isNotNull(), F.array("bbox")), F.col("bboxes"), inside)
     each = findings.select("id", "type", F.posexplode_outer(rects).alias("rect_no", "r"))
     return each.select("id", "type", "rect_no", "r.x", "r.y", "r.width", "r.height")
 
@@ -214,6 +215,13 @@ def union_sources(**sources: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
 
 
+def carry_context(findings: DataFrame, keep: bool = False) -> DataFrame:
+    """The summary that a document's chunk before left, blank at the start. With ``keep``, a chunk without one leaves the older summary."""
+    chunks = Window.partitionBy("doc_id").orderBy("chunk_index")
+    before = F.last("context_summary", ignorenulls=True).over(chunks.rowsBetween(Window.unboundedPreceding, -1)) if keep else F.lag("context_summary").over(chunks)
+    return findings.withColumn("carried", F.coalesce(before, F.lit("")))
+
+
 def difference(rows: DataFrame, kept: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(kept.select(*keys), keys, "left_anti")
 

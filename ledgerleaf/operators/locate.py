@@ -53,10 +53,38 @@ def match_phrase(issues: DataFrame, tokens: DataFrame) -> DataFrame:
     return runs.where("n = k").select("id", "doc_id", "line_no", "token_idx", "x", "y", (F.col("end") - F.col("x")).alias("width"), "height")
 
 
+def first_holding(wants: DataFrame, found: DataFrame, text: str, order: list[str], blind: bool = False) -> DataFrame:
+    """For each row of ``wants`` (id, doc_id, want) the first row of ``found`` in its document whose ``text`` holds it; others drop.
+
+    Wanted texts and found texts are each told apart once in a document
+    before they meet, so repeats of either do not multiply.
+    """
+    low = F.lower if blind else F.col
+    own = wants.select("id", "doc_id", low("want").alias("want"))
+    rest = [c for c in found.columns if c not in ("doc_id", text)]
+    texts = found.groupBy("doc_id", low(text).alias("_text")).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("t"))
+    met = own.select("doc_id", "want").distinct().join(texts.hint("merge"), "doc_id").where(F.contains("_text", "want"))
+    first = met.groupBy("doc_id", "want").agg(F.min_by("t", F.struct(*[f"t.{c}" for c in order])).alias("t"))
+    return own.join(first.hint("merge"), ["doc_id", "want"]).select("id", *[f"t.{c}" for c in rest])
+
+
 def match_token(issues: DataFrame, tokens: DataFrame) -> DataFrame:
     """The first token of the document that holds the anchor, case-blind; issues without one drop."""
-    own = issues.select("id", "doc_id", F.lower("anchor_text").alias("want")).join(tokens.hint("merge"), "doc_id").where(F.contains(F.lower("str"), F.col("want")))
-    return own.groupBy("id").agg(F.min_by(F.struct("line_no", "token_idx", "x", "y"), F.struct("line_no", "token_idx")).alias("t")).select("id", "t.line_no", "t.token_idx", "t.x", "t.y")
+    wants = issues.select("id", "doc_id", F.col("anchor_text").alias("want"))
+    return first_holding(wants, tokens.select("doc_id", "str", "line_no", "token_idx", "x", "y"), "str", ["line_no", "token_idx"], blind=True)
+
+
+def match_line(issues: DataFrame, lines: DataFrame) -> DataFrame:
+    """The first line of the document that holds the anchor, as a box; issues without one drop."""
+    wants = issues.select("id", "doc_id", F.col("anchor_text").alias("want"))
+    boxes = lines.select("doc_id", "line", "line_no", F.lit(50.0).alias("lx"), (8.0 * F.length("line")).alias("lw"))
+    return first_holding(wants, boxes, "line", ["line_no"])
+
+
+def flip_origin(tokens: DataFrame, page_height: float = 792.0) -> DataFrame:
+    """Places from the bottom left to the top left; a missing height is 12, a missing width half a height a character."""
+    height = F.coalesce("height", F.lit(12.0))
+    return tokens.withColumns({"y": F.lit(page_height) - F.col("y") - height, "width": F.coalesce("width", F.length("str") * height / 2), "height": height})
 
 
 def word_index(tokens: DataFrame) -> DataFrame:

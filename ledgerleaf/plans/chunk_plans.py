@@ -237,11 +237,11 @@ def _(spark, d):
     return embed.nearest(chunks(spark, d), 5).withColumn("similarity", F.round("similarity", 6))
 
 
-JIT = "v_jit AS (SELECT doc_id, page0 + 1 AS page_number, line_no, token_idx, y + (token_idx % 3) * 2.0 AS y FROM v_tokens WHERE line_no < 30)"
+JIT = "v_jit AS (SELECT doc_id, page0 + 1 AS page_number, line_no, token_idx, y + (token_idx % 3) * 2.0 AS y FROM v_tokens)"
 
 
 def jittered(spark, d):
-    own = views.tokens(spark, d).where("line_no < 30")
+    own = views.tokens(spark, d)
     return own.select("doc_id", (F.col("page0") + 1).alias("page_number"), "x", (F.col("y") + F.col("token_idx") % 3 * 2.0).alias("y"), (F.col("line_no").cast("long") * 100000 + F.col("token_idx")).alias("token_id"))
 
 

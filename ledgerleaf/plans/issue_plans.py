@@ -71,11 +71,6 @@ def _(spark, d):
     return i.audit_report(views.issues(spark, d))
 
 
-@query("s10_latest_audit", "SELECT user_id AS source, max(ts) AS ts, max_by(event_id, struct_pack(ts, event_id)) AS event_id FROM events GROUP BY 1")
-def _(spark, d):
-    return views.table(spark, d, "events").groupBy(F.col("user_id").alias("source")).agg(F.max("ts").alias("ts"), F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
-
-
 @query("p8_sanitize_enums", "SELECT event_id, CASE WHEN event_type IN ('critical', 'warning', 'attention', 'info') THEN event_type ELSE 'info' END AS type, CASE event_type WHEN 'error' THEN 'dispute' ELSE 'other' END AS category, CASE event_type WHEN 'view' THEN 'high' ELSE 'medium' END AS severity FROM events")
 def _(spark, d):
     e = views.table(spark, d, "events").select("event_id", F.col("event_type").alias("type"), F.when(F.col("event_type") == "error", "dispute").otherwise("?").alias("category"), F.when(F.col("event_type") == "view", "high").alias("severity"))
@@ -113,11 +108,6 @@ def _(spark, d):
     return i.pixels_to_points(own, meta).select("id", F.round("x", 6).alias("x"), F.round("height", 6).alias("height"))
 
 
-@query("p23_flip_origin", q("SELECT doc_id, line_no, token_idx, CAST(20000.0 AS DOUBLE) - y - height AS y FROM v_tokens", v.TOKENS))
-def _(spark, d):
-    return views.tokens(spark, d).select("doc_id", "line_no", "token_idx", (F.lit(20000.0) - F.col("y") - F.coalesce("height", F.lit(12.0))).alias("y"))
-
-
 @query("p24_in_bounds", q("SELECT id, x >= 0 AND y >= 0 AND x + width <= 612 AND y + height <= 792 AS contained, x >= 0 AND y >= 0 AND width > 0 AND height > 0 AND x + width <= 2000 AND y + height <= 3000 AS positive, x < 612 AND y < 792 AND x + width > 0 AND y + height > 0 AS intersects FROM v_issues", v.ISSUES))
 def _(spark, d):
     out = views.issues(spark, d)
@@ -216,21 +206,6 @@ def _(spark, d):
     return i.top_k(views.issues(spark, d), ["doc_id"], [F.desc("confidence"), F.col("seq")], 3).select("doc_id", "id", "rank")
 
 
-@query("w13_carry_context", "SELECT conv_id AS doc_id, turn, coalesce(lag(substr(text, 1, 40)) OVER (PARTITION BY conv_id ORDER BY turn), '') AS carried FROM conversations")
-def _(spark, d):
-    from pyspark.sql import Window
-
-    return views.table(spark, d, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", F.lag(F.substring("text", 1, 40), 1, "").over(Window.partitionBy("conv_id").orderBy("turn")).alias("carried"))
-
-
-@query("w19_status_changes", q("SELECT source, event_id, status FROM (SELECT *, lag(status) OVER (PARTITION BY source ORDER BY ts, event_id) AS before FROM v_status) WHERE before IS NULL OR before <> status", v.STATUS))
-def _(spark, d):
-    from pyspark.sql import Window
-
-    own = views.status(spark, d).withColumn("before", F.lag("status").over(Window.partitionBy("source").orderBy("ts", "event_id")))
-    return own.where("before is null or before <> status").select("source", "event_id", "status")
-
-
 @query("u1_union_sources", q("SELECT source, count(*) AS n FROM (SELECT 'model' AS source FROM v_issues WHERE method = 'vision' UNION ALL SELECT 'validation' FROM v_issues WHERE type = 'critical' UNION ALL SELECT 'consistency' FROM v_issues WHERE type = 'warning') GROUP BY 1", v.ISSUES))
 def _(spark, d):
     own = views.issues(spark, d)

@@ -26,9 +26,9 @@ def query(name: str, sql: str):
     return add
 
 
-@query("s2_flatten_spans", q("SELECT doc_id, page0 + 1 AS page_number, line_no AS l, str AS text, round(x + 0.004, 2) AS x FROM v_tokens WHERE line_no < 5", v.TOKENS))
+@query("s2_flatten_spans", q("SELECT doc_id, page0 + 1 AS page_number, line_no AS l, str AS text, round(x + 0.004, 2) AS x FROM v_tokens", v.TOKENS))
 def _(spark, d):
-    own = views.tokens(spark, d).where("line_no < 5")
+    own = views.tokens(spark, d)
     span = F.struct(F.col("str").alias("text"), (F.col("x") + 0.004).alias("x"), "y", "width", "height")
     blank = F.struct(F.lit("  ").alias("text"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("width"), F.lit(0.0).alias("height"))
     lines = own.groupBy("doc_id", F.col("page0").alias("page_index"), "line_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("token_idx", span.alias("s")))), lambda t: t["s"]).alias("spans"))
@@ -125,12 +125,6 @@ def _(spark, d):
     return chunk_plans.chunks(spark, d).select("chunk_id", F.row_number().over(Window.partitionBy("doc_id").orderBy(rank, "chunk_id")).alias("position"))
 
 
-@query("w12_merge_regions", "WITH " + v.ISSUES + " SELECT doc_id, page_number, error_type AS key, min(x) AS x, min(y) AS y, max(x + width) - min(x) AS width, max(y + height) - min(y) AS height, CAST(count(*) AS INTEGER) AS n FROM v_issues GROUP BY 1, 2, 3")
-def _(spark, d):
-    own = views.issues(spark, d).withColumn("key", F.col("error_type"))
-    return compose.merge_regions(own, 100000.0)
-
-
 @query("u2_union_detections", q("SELECT source, error_type, count(*) AS n FROM (SELECT 'external' AS source, error_type FROM v_issues WHERE method = 'vision' UNION ALL SELECT 'pattern', error_type FROM v_issues WHERE method = 'pattern') GROUP BY 1, 2", v.ISSUES))
 def _(spark, d):
     own = views.issues(spark, d)
@@ -143,11 +137,6 @@ def _(spark, d):
     return compose.cells_to_issues(own)
 
 
-@query("u4_distinct_values", q("SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, lower(str) AS w FROM v_tokens) GROUP BY 1", v.TOKENS))
-def _(spark, d):
-    return views.tokens(spark, d).select("doc_id", F.lower("str").alias("w")).distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("u5_shares_identifier", "SELECT a.conv_id, a.turn, len(list_intersect(regexp_extract_all(a.text, '([a-z]{9,})', 1), regexp_extract_all(b.text, '([a-z]{9,})', 1))) > 0 AS shares FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1")
 def _(spark, d):
     c = views.table(spark, d, "conversations")
@@ -167,13 +156,3 @@ def _(spark, d):
 def _(spark, d):
     rows = views.tokens(spark, d).groupBy("doc_id", F.col("line_no").alias("row_no")).agg(F.count(F.lit(1)).alias("n_cells"))
     return locate.table_runs(rows, 8)
-
-
-@query("d11_truncated_ids", q("SELECT doc_id, line_no FROM v_lines WHERE regexp_matches(line, '[X*]{3,}[ -]?[A-Za-z0-9]*|[.]{3,}[0-9]{4}')", v.LINES))
-def _(spark, d):
-    return views.lines(spark, d).where(F.col("line").rlike("[X*]{3,}[ -]?[A-Za-z0-9]*|[.]{3,}[0-9]{4}")).select("doc_id", "line_no")
-
-
-@query("j21_apply_rules", q("SELECT error_type, severity, count(*) AS n FROM v_issues GROUP BY 1, 2", v.ISSUES))
-def _(spark, d):
-    return views.issues(spark, d).groupBy("error_type", "severity").agg(F.count(F.lit(1)).alias("n"))

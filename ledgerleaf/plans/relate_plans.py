@@ -108,10 +108,10 @@ def _(spark, d):
     return locate.gate(i.in_bounds(locate.token_hits(views.issues(spark, d), line_tokens(spark, d)))).select("id", "gate")
 
 
-@query("j11_with_page_meta", q("SELECT id, CASE WHEN page_number % 2 = 0 THEN 150 ELSE 300 END AS dpi FROM v_issues WHERE page_number <= 3", v.ISSUES))
+@query("j11_with_page_meta", q("SELECT id, CASE WHEN page_number % 2 = 0 THEN 150 ELSE 300 END AS dpi FROM v_issues", v.ISSUES))
 def _(spark, d):
     own = views.issues(spark, d)
-    meta = own.select("doc_id", "page_number").distinct().where("page_number <= 3").withColumn("dpi", F.when(F.col("page_number") % 2 == 0, 150).otherwise(300))
+    meta = own.select("doc_id", "page_number").distinct().withColumn("dpi", F.when(F.col("page_number") % 2 == 0, 150).otherwise(300))
     return i.pixels_to_points(own, meta).select("id", "dpi")
 
 
@@ -140,13 +140,6 @@ def _(spark, d):
     return locate.word_index(views.words(spark, d))
 
 
-@query("j15_locate_hits", q("SELECT id, line_no, lx, lw FROM (SELECT i.id, l.line_no, l.lx, l.lw, row_number() OVER (PARTITION BY i.id ORDER BY l.line_no) AS n FROM v_issues i JOIN (SELECT doc_id, line_no, line, 50.0 AS lx, CAST(8 * length(line) AS DOUBLE) AS lw FROM v_lines) l ON l.doc_id = i.doc_id AND contains(l.line, i.anchor_text)) WHERE n = 1", v.ISSUES))
-def _(spark, d):
-    lines = views.lines(spark, d).select("doc_id", "line_no", "line", F.lit(50.0).alias("lx"), (8.0 * F.length("line")).alias("lw"))
-    own = views.issues(spark, d).select("id", "doc_id", "anchor_text").join(lines, "doc_id").where(F.contains("line", "anchor_text"))
-    return i.first_per(own.select("id", "line_no", "lx", "lw"), ["id"], ["line_no"])
-
-
 LINKS = "SELECT a.doc_id, a.id AS source_id, b.id AS target_id, CASE WHEN 'collection' IN (a.category, b.category) OR 'dispute' IN (a.category, b.category) THEN 'account_dispute' ELSE 'general' END AS link_type, CASE WHEN a.category = 'dispute' AND b.category = 'FCRA_violation' THEN 'Dispute related to FCRA violation' WHEN a.category = 'collection' AND b.category = 'accuracy' THEN 'Collection accuracy concern' ELSE 'Related: ' || a.category || ' and ' || b.category END AS relationship FROM r a JOIN r b ON b.id = a.nxt WHERE a.page_number <> b.page_number"
 
 
@@ -225,11 +218,6 @@ def _(spark, d):
     return detect.missing_months(views.payments(spark, d)).select("account_id", F.col("month").cast("string").alias("month"))
 
 
-@query("d14_collection_entries", q("SELECT account_id FROM v_accounts WHERE list_contains(statuses, 'P')", v.ACCOUNTS))
-def _(spark, d):
-    return views.accounts(spark, d).where(F.array_contains("statuses", "P")).select("account_id")
-
-
 @query("d15_utilization", q("SELECT account_id, CASE WHEN u > 1 THEN 'over_limit' WHEN u >= 0.9 THEN 'maxed_out' ELSE 'high' END AS issue FROM (SELECT account_id, round(balance / credit_limit, 6) AS u FROM v_accounts WHERE credit_limit > 0) WHERE u > 0.3", v.ACCOUNTS))
 def _(spark, d):
     return detect.utilization_issues(report.utilization(views.accounts(spark, d))).select("account_id", "issue")
@@ -240,11 +228,6 @@ def _(spark, d):
     return detect.missing_values(views.table(spark, d, "orders"), "o_orderkey", ["o_orderstatus", "o_orderpriority"], ["P", "5-LOW"])
 
 
-@query("d17_stale_items", q("SELECT account_id FROM v_accounts WHERE opened < DATE '2005-06-01' - INTERVAL 120 MONTH", v.ACCOUNTS))
-def _(spark, d):
-    return detect.stale_items(views.accounts(spark, d), "2005-06-01", 10).select("account_id")
-
-
 @query("d18_duplicate_entities", "SELECT c_custkey, count(*) OVER (PARTITION BY c_nationkey, c_mktsegment) AS copies FROM customer QUALIFY count(*) OVER (PARTITION BY c_nationkey, c_mktsegment) > 1")
 def _(spark, d):
     return detect.duplicate_entities(views.table(spark, d, "customer"), ["c_nationkey", "c_mktsegment"]).select("c_custkey", "copies")
@@ -255,11 +238,6 @@ def _(spark, d):
     return detect.repeated_inquiries(views.table(spark, d, "events"), ["user_id", "event_type"], 12)
 
 
-@query("d20_multi_pass_scan", q("SELECT error_type, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM v_issues GROUP BY 1", v.ISSUES))
-def _(spark, d):
-    return detect.multi_pass_counts(views.issues(spark, d))
-
-
 @query("d21_contradictions", "SELECT o_custkey AS entity, count(DISTINCT o_orderstatus) AS n_status, count(DISTINCT o_orderkey) AS n_pages, min(o_orderkey) AS first_page FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderstatus) > 1 AND count(DISTINCT o_orderkey) > 1")
 def _(spark, d):
     o = views.table(spark, d, "orders")
@@ -278,9 +256,3 @@ def _(spark, d):
     own = views.issues(spark, d)
     both = i.union_sources(pattern=own.where("method = 'pattern'"), external=own.where("method = 'vision'"))
     return report.detection_report(i.dedup_grid_confidence(both))
-
-
-@query("x6_model_audit", "SELECT event_type, count(*) AS n FROM events WHERE event_type NOT IN ('view', 'click') GROUP BY 1")
-def _(spark, d):
-    e = views.table(spark, d, "events")
-    return e.where(~F.col("event_type").isin("view", "click")).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))

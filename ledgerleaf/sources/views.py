@@ -39,11 +39,24 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
+def placed_words(line: Column, block: int = 64) -> Column:
+    """Array of (p, s): the words of a line and the offset of each, the length of the line before it.
+
+    Offsets are summed within blocks of words and over blocks, as appending to one array copies it each time.
+    """
+    words = F.split(line, " ")
+    blocks = F.transform(F.sequence(F.lit(1), F.size(words), F.lit(block)), lambda i: F.slice(words, i, block))
+    length = lambda ws: F.aggregate(ws, F.lit(0), lambda n, w: n + F.length(w) + 1)
+    none = F.expr("cast(array() as array<int>)")
+    start = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), none.alias("out")), lambda acc, b: F.struct((acc["at"] + length(b)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+    inside = lambda b, at: F.aggregate(b, F.struct(at.alias("at"), none.alias("out")), lambda acc, w: F.struct((acc["at"] + F.length(w) + 1).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+    offsets = F.flatten(F.zip_with(blocks, start, inside))
+    return F.zip_with(offsets, words, lambda p, w: F.struct(p.alias("p"), w.alias("s")))
+
+
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of lines at estimated places; the offset of a word is the length of the line before it."""
-    words = F.split("line", " ")
-    placed = F.aggregate(words, F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<p:int,s:string>>)").alias("out")), lambda acc, w: F.struct((acc["at"] + F.length(w) + 1).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("p"), w.alias("s")))).alias("out")), lambda acc: acc["out"])
-    each = lines(spark, sf_dir).select("doc_id", "line_no", F.posexplode(placed).alias("token_idx", "t")).where(F.length(F.trim("t.s")) > 0)
+    each = lines(spark, sf_dir).select("doc_id", "line_no", F.posexplode(placed_words(F.col("line"))).alias("token_idx", "t")).where(F.length(F.trim("t.s")) > 0)
     return each.select("doc_id", (F.col("line_no") / 40).cast("int").alias("page0"), "line_no", "token_idx", F.col("t.s").alias("str"), (50.0 + 8 * F.col("t.p")).alias("x"), (50.0 + 15 * F.col("line_no")).cast("double").alias("y"), (8.0 * F.length("t.s")).alias("width"), F.lit(15.0).alias("height"))
 
 

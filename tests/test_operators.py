@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from ledgerleaf.functions import text as t
 from ledgerleaf.functions import vectors as vec
-from ledgerleaf.operators import chunking, corpus, detect, issues, locate
+from ledgerleaf.operators import chunking, corpus, detect, issues, locate, patterns
+from ledgerleaf.sources import views
 
 
 def one(spark, column):
@@ -106,3 +107,53 @@ def test_strict_metadata_raises(spark):
     assert issues.pixels_to_points(own, meta).count() == 0
     with pytest.raises(Exception, match="without metadata"):
         issues.pixels_to_points(own, meta, strict=True).collect()
+
+
+def test_every_pattern_class_is_found_without_regard_to_case(spark):
+    texts = ["sent to collection today", "Debt Buyer", "charge-off", "written off", "60 days past due", "120 Day Late", "XXXX-1234", "...9876", "95% utilization", "over limit", "Bankruptcy", "recollections of a charger", None, ""]
+    lines = spark.createDataFrame([(1, n, s) for n, s in enumerate(texts)], "doc_id long, line_no int, line string")
+    found = patterns.detect_patterns(lines).collect()
+    assert {(r.line_no, r.error_type) for r in found} == {
+        (0, "collection"), (1, "collection"), (2, "charge_off"), (3, "charge_off"), (4, "late_payment"), (5, "late_payment"), (6, "truncated_account"), (7, "truncated_account"), (8, "high_utilization"), (9, "high_utilization"), (10, "derogatory"),
+    }
+    assert [r.hit for r in found if r.line_no == 4] == ["60 days past due", "past due"]
+    assert sum(len(p) for p in patterns.PATTERNS.values()) == 22 and all(r.confidence == 0.95 for r in found)
+    assert {r.error_type for r in patterns.severe(patterns.detect_patterns(lines)).collect()} == {"collection", "charge_off", "truncated_account", "derogatory"}
+
+
+def test_offsets_of_a_long_line_are_the_lengths_before(spark):
+    words = [("ab" * (i % 4)) for i in range(1000)]
+    line = spark.createDataFrame([(" ".join(words),), ("",), (None,)], "line string")
+    got = [r.w for r in line.select(views.placed_words(F.col("line")).alias("w")).collect()]
+    at = 0
+    for word, placed in zip(words, got[0], strict=True):
+        assert (placed.p, placed.s) == (at, word)
+        at += len(word) + 1
+    assert [(w.p, w.s) for w in got[1]] == [(0, "")] and not got[2]
+
+
+def test_first_holding_takes_the_first_place_of_repeated_texts(spark):
+    wants = spark.createDataFrame([(1, 7, "bc"), (2, 7, "BC"), (3, 7, "zz"), (4, 8, "bc"), (5, 7, None)], "id int, doc_id int, want string")
+    found = spark.createDataFrame([(7, "abcd", 3), (7, "ABCD", 2), (7, "abcd", 1), (8, "x", 0)], "doc_id int, s string, n int")
+    assert sorted(tuple(r) for r in locate.first_holding(wants, found, "s", ["n"]).collect()) == [(1, 1), (2, 2)]
+    assert sorted(tuple(r) for r in locate.first_holding(wants, found, "s", ["n"], blind=True).collect()) == [(1, 1), (2, 1)]
+
+
+def test_page_without_metadata(spark):
+    boxes = spark.createDataFrame([(1, 1, 300.0), (1, 2, 300.0)], "doc_id int, page_number int, x double").selectExpr("*", "x as y", "x as width", "x as height")
+    meta = spark.createDataFrame([(1, 1, 150)], "doc_id int, page_number int, dpi int")
+    assert [(r.page_number, r.x) for r in issues.pixels_to_points(boxes, meta).collect()] == [(1, 144.0)]
+    with pytest.raises(Exception, match="page without metadata"):
+        issues.pixels_to_points(boxes, meta, strict=True).collect()
+
+
+def test_carried_context_of_failed_parses(spark):
+    rows = spark.createDataFrame([(1, 0, "a"), (1, 1, None), (1, 2, "c"), (1, 3, None)], "doc_id int, chunk_index int, context_summary string")
+    told = lambda keep: [r.carried for r in issues.carry_context(rows, keep).orderBy("chunk_index").collect()]
+    assert told(False) == ["", "a", "", "c"] and told(True) == ["", "a", "a", "c"]
+
+
+def test_stale_items_by_reason(spark):
+    items = spark.sql("select 1 as id, date'2010-01-01' as opened, true as negative, date'2012-01-01' as closed_on, date'2020-01-01' as inquired_on union all select 2, date'2010-01-01', false, null, null")
+    assert [(r.id, r.reason) for r in detect.stale_items(items, "2021-06-01").collect()] == [(1, "old_negative")]
+    assert {r.reason for r in detect.stale_items(items, "2023-06-01").collect()} == {"old_negative", "old_closed", "old_inquiry"}
