@@ -36,7 +36,8 @@ def pool(chunks: DataFrame, strategy: str) -> DataFrame:
     if strategy == "average":
         return chunks.withColumn("pooled", vec.average(a, b))
     w = weight_of(F.col("priority"), F.col("semantic_type")) if strategy == "weighted" else F.greatest(F.lit(0.3), vec.cosine(a, b))
-    return chunks.withColumn("_w", w).withColumn("pooled", vec.weighted(a, b, F.col("_w"))).drop("_w")
+    # the weight is a lambda's argument, so that the optimizer cannot put its expression in place of it for each component
+    return chunks.withColumn("pooled", F.element_at(F.transform(F.array(w), lambda x: vec.weighted(a, b, x)), 1))
 
 
 def similar_pairs(chunks: DataFrame, threshold: float = 0.8, block: str = "doc_id") -> DataFrame:
