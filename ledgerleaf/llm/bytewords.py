@@ -77,11 +77,11 @@ def buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of each word, and for each row the index of its first word (one more at the end)."""
+def words(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each word, and for each row the index of its first word (one more at the end). ``separator`` says of each byte if it ends words."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    inside = ~SEPARATOR[data]
+    inside = ~separator[data]
     filled = offsets[1:] > offsets[:-1]
     first = inside.copy()
     first[1:] &= ~inside[:-1]
@@ -102,6 +102,15 @@ def spans(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(int(size.sum())) + np.repeat(start - begin, size), begin
 
 
+def codes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """(number of each span's bytes among the distinct ones, the distinct ones): spans have equal numbers if and only if they have equal bytes."""
+    index, begin = spans(start, end)
+    offsets = np.append(begin, len(index)).astype(np.int64)
+    column = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[index]))])
+    told = column.dictionary_encode()
+    return told.indices.to_numpy(zero_copy_only=False), told.dictionary
+
+
 def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each non-empty span's bytes."""
     if not len(start):

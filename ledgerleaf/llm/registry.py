@@ -76,10 +76,52 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(_table(spark, sf_dir, "documents"))
 
 
+def op11_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerleaf.llm.decontamination import decontaminate
+
+    rows = decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10, slack=2)
+    digest = F.sha2(F.concat_ws(",", "items"), 256)
+    return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated", F.size("near").cast("long").alias("n_near"))
+
+
+def _with_period(docs: DataFrame) -> DataFrame:
+    """``docs``, a tenth of them with a period written into the words from some place on, as the contract of op12 sets it."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    words = F.regexp_extract_all("text", F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))
+    due = docs.where((h % 10 == 0) & F.col("text").isNotNull()).select("doc_id", "text", words.alias("words")).where(F.size("words") > 0)
+    n = F.size("words")
+    due = due.withColumns({"n": n, "a": (g % n).cast("int")}).withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + g % 8))).cast("int"))
+    told = F.transform("words", lambda x, i: F.when(i < F.col("a"), x).otherwise(F.get("words", F.col("a") + (i - F.col("a")) % F.col("p"))))
+    changed = due.select("doc_id", F.array_join(told, " ").alias("text"))
+    plain = docs.where(F.coalesce(h % 10 != 0, F.lit(True)) | F.col("text").isNull() | ~F.coalesce(F.col("text").rlike("[^\\x20\\x09-\\x0D]"), F.lit(False)))
+    return plain.select("doc_id", "text").union(changed)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerleaf.llm.periodic import periodic_runs
+
+    rows = periodic_runs(_with_period(_table(spark, sf_dir, "documents")), exponent=4, least=6)
+    longest = F.element_at(F.array_sort(F.transform("runs", lambda r: F.struct((-r["length"]).alias("length"), r["start"].alias("start"), r["period"].alias("period")))), 1)
+    rows = rows.withColumn("top", F.when(F.size("runs") > 0, longest))
+    told = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    length, period = -F.col("top.length"), F.col("top.period")
+    return rows.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("top.start").alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2(told, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words",
+    )
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerleaf.llm.whitening import whiten
+
+    return whiten(_table(spark, sf_dir, "embeddings"), components=16)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_token_output, op2_simhash_dedup, op3_secret_scan, op4_embedding_dedup, op5_sentencepiece, op6_best_fit_packing, op7_quality_classifier, op8_nearest_neighbours, op9_substring_dedup, op10_lm_scoring)
+        for f in (op1_token_output, op2_simhash_dedup, op3_secret_scan, op4_embedding_dedup, op5_sentencepiece, op6_best_fit_packing, op7_quality_classifier, op8_nearest_neighbours, op9_substring_dedup, op10_lm_scoring, op11_benchmark_decontamination, op12_periodic_runs, op13_embedding_whitening)
     }
 
 

@@ -29,15 +29,15 @@ def _remove(spark: SparkSession, path: str) -> None:
 _TABLES: list[str] = []
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
+def staged(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder, with the writer's ``options``, and read it back.
 
     A lost executor then costs a read, not the work before it, and joins on
     the result see the table's true size.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(**{"compression": "zstd"} | (options or {})).parquet(path)
     _TABLES.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path

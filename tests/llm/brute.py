@@ -137,3 +137,79 @@ def interpolated(rows, modulus=10, rounds=200):
                 known = (share / share.sum(axis=1, keepdims=True)).mean(axis=0)
         weights[b] = known
     return [sum(math.log10(weights[bucket(one[before])] @ np.array(estimate(before, x, 0))) for before, x in zip([None, *w], w)) for _, w in own]
+
+
+def runs(w, exponent=4, least=6):
+    """(start, length, period) of all maximal runs, by trying every period from the smallest up."""
+    out = {}
+    for q in range(1, len(w) // exponent + 1):
+        i = 0
+        while i + q < len(w):
+            j = i
+            while j + q < len(w) and w[j] == w[j + q]:
+                j += 1
+            if j > i and j + q - i >= max(least, exponent * q):
+                out.setdefault((i, j + q - i), q)
+            i = j + 1
+    return sorted((s, n, q) for (s, n), q in out.items())
+
+
+def collapsed(w, found):
+    gone = {i for s, n, q in found for i in range(s + q, s + n)}
+    return " ".join(x for i, x in enumerate(w) if i not in gone)
+
+
+def planted(doc_id, text):
+    """The words of a text, those of a tenth of the documents with a period written into their end."""
+    w, h = words(text), zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not w:
+        return w
+    n, g = len(w), h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+
+ITEM_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def item_words(text):
+    return ITEM_WORD.findall((text or "").translate(LOWER))
+
+
+def windows(items, window=10):
+    """{window: ids of the items that hold it, as strings}."""
+    out = collections.defaultdict(set)
+    for item, text in items:
+        w = item_words(text)
+        for i in range(max(len(w) - window + 1, min(len(w), 1))):
+            out[tuple(w[i : i + window])] |= set() if item is None else {str(item)}
+    return out
+
+
+def leaks(texts, items, window=10):
+    """(words, words hit, sorted items) of each text."""
+    wanted, out = windows(items, window), []
+    for t in texts:
+        w, hit, held = item_words(t), set(), set()
+        for k in {len(x) for x in wanted}:
+            for i in range(len(w) - k + 1):
+                if tuple(w[i : i + k]) in wanted:
+                    hit |= set(range(i, i + k))
+                    held |= wanted[tuple(w[i : i + k])]
+        out.append((len(w), len(hit), sorted(held)))
+    return out
+
+
+def near_ranges(text, items, window, slack):
+    """(start, end) of the stretches of alignments, none exact, that have each word of a window within ``slack`` of its place."""
+    w, out = item_words(text), set()
+    for x in windows(items, window):
+        good = [a for a in range(-len(x) - slack, len(w) + slack) if all(any(0 <= p < len(w) and w[p] == y for p in range(a + i - slack, a + i + slack + 1)) for i, y in enumerate(x))]
+        exact = {a for a in good if a >= 0 and tuple(w[a : a + len(x)]) == x}
+        while good:
+            run = [good.pop(0)]
+            while good and good[0] == run[-1] + 1:
+                run.append(good.pop(0))
+            if not exact & set(run):
+                out.add((max(run[0], 0), min(run[-1] + len(x), len(w))))
+    return sorted(out)
