@@ -13,7 +13,7 @@ from ledgerleaf.llm.packing import pack_documents
 from ledgerleaf.llm.quality import quality_scores
 from ledgerleaf.llm.secrets import redact, secret_spans
 from ledgerleaf.llm.simhash import simhash_dedup
-from ledgerleaf.llm.staging import mark, settled, staged
+from ledgerleaf.llm.staging import scope, settled, staged
 from ledgerleaf.llm.substring import substring_dedup
 
 
@@ -56,12 +56,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     decides ties. Null, empty and wordless texts are one group; very long texts
     are read whole; an empty table gives none. Columns of any name pass through.
     """
-    since = mark()
-    rows = _keyed(docs)
-    groups = simhash_dedup(rows, id_col="key", ngram=5, similarity=0.8)
-    first = F.min(F.struct(F.col("row.doc_id").isNull().alias("missing"), F.col("row.doc_id").alias("doc_id"), "key")).alias("first")
-    kept = rows.join(groups.hint("merge"), "key").groupBy("component_id").agg(first).select(F.col("first.key").alias("key"))
-    return settled(_restored(rows.join(kept.hint("merge"), "key", "left_semi"), docs), "unique", since)
+    with scope() as own:
+        rows = _keyed(docs)
+        groups = simhash_dedup(rows, id_col="key", ngram=5, similarity=0.8)
+        first = F.min(F.struct(F.col("row.doc_id").isNull().alias("missing"), F.col("row.doc_id").alias("doc_id"), "key")).alias("first")
+        kept = rows.join(groups.hint("merge"), "key").groupBy("component_id").agg(first).select(F.col("first.key").alias("key"))
+        return settled(_restored(rows.join(kept.hint("merge"), "key", "left_semi"), docs), "unique", own)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,12 +71,12 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     a row key, and each copy loses what it shares. Very long texts are read
     whole; an empty table gives none. Columns of any name pass through.
     """
-    since = mark()
-    rows = _keyed(docs)
-    cut = substring_dedup(rows, window=35, id_col="key", unique=True).where("kept is not null").select("key", "kept")
-    out = rows.join(cut.hint("merge"), "key", "left").where("kept is null or kept <> ''")
-    out = out.select("row", "kept", F.coalesce("kept", "text").alias("text"))
-    return settled(_restored(out, docs, F.col("kept").isNotNull()), "passages", since)
+    with scope() as own:
+        rows = _keyed(docs)
+        cut = substring_dedup(rows, window=35, id_col="key", unique=True).where("kept is not null").select("key", "kept")
+        out = rows.join(cut.hint("merge"), "key", "left").where("kept is null or kept <> ''")
+        out = out.select("row", "kept", F.coalesce("kept", "text").alias("text"))
+        return settled(_restored(out, docs, F.col("kept").isNotNull()), "passages", own)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

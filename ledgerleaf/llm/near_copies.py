@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ledgerleaf.llm import bytewords as bw
 from ledgerleaf.llm.components import connected_components, forest
-from ledgerleaf.llm.staging import drop, free_shuffles, mark, settled, staged
+from ledgerleaf.llm.staging import drop, free_shuffles, scope, settled, staged
 
 _U = np.uint64
 #: Bits of a fingerprint and of a segment, and the segments.
@@ -202,7 +202,14 @@ def near_copies(docs: DataFrame, id_col: str, text_col: str = "text", ngram: int
     ``threshold`` are linked. Null, empty and wordless texts have the empty
     set and link with each other only; an empty table gives none.
     """
-    texts, since = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), mark()
+    with scope() as own:
+        texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+        return settled(_components(texts, id_col, ngram, threshold, block), "components", own)
+
+
+def _components(texts: DataFrame, id_col: str, ngram: int, threshold: float, block: int) -> DataFrame:
+    """``near_copies`` of (id, text)."""
+    spark = texts.sparkSession
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bw.slices(batches, "text"):
@@ -221,9 +228,9 @@ def near_copies(docs: DataFrame, id_col: str, text_col: str = "text", ngram: int
     classes = staged(sketches.groupBy("digest").agg(F.min("id").alias("node"), sample).select("digest", "node", "x.*"), "classes")
     digests = staged(sketches.select("id", "digest"), "digests")
     drop(sketches)
-    free_shuffles(docs.sparkSession)
+    free_shuffles(spark)
     met = meetings(classes)
-    free_shuffles(docs.sparkSession)
+    free_shuffles(spark)
     coarse = connected_components(met, "a", "b").join(classes.select("node", "size").hint("merge"), "node")
     coarse = staged(coarse.select("node", F.col("root").alias("meeting"), "size"), "meetings")
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("size") / SHINGLES)).cast("int").alias("blocks")
@@ -252,5 +259,4 @@ def near_copies(docs: DataFrame, id_col: str, text_col: str = "text", ngram: int
         again = again.withColumn("one", F.explode(F.when(F.col("part") == F.col("main"), F.array("mine")).otherwise(everywhere)))
         roots = staged(connected_components(found.union(staged(links(again), "near_again")), "a", "b"), "near_roots")
     named = classes.select("digest", "node").join(roots.hint("merge"), "node", "left").select("digest", F.coalesce("root", "node").alias("component_id"))
-    out = digests.join(named.hint("merge"), "digest").select(F.col("id").alias(id_col), "component_id")
-    return settled(out, "components", since)
+    return digests.join(named.hint("merge"), "digest").select(F.col("id").alias(id_col), "component_id")

@@ -196,7 +196,7 @@ def near_links(distinct: DataFrame, bits: int = 4, block: int = BLOCK, segments:
     return dealt.mapInArrow(pairs, "a long, b long")
 
 
-def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 5, bits: int = 4, segments: int | None = None, similarity: float | None = None) -> DataFrame:
+def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 4, bits: int = 4, segments: int | None = None, similarity: float | None = None) -> DataFrame:
     """One row per row of ``docs``: its id, fingerprint (16 hex digits) and component_id.
 
     Texts are lower-cased (A-Z) and cut into words; fingerprints that differ

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import contextvars
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,8 +28,22 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-#: Folders of the tables staged so far that were not deleted, in order.
-_TABLES: list[str] = []
+#: The paths of the tables staged in the innermost open ``scope`` of this thread.
+_SCOPE: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scope", default=None)
+
+
+@contextlib.contextmanager
+def scope() -> Iterator[list[str]]:
+    """Gathers what this thread stages inside, for ``settled``; what is left at the end belongs to the scope around, if any."""
+    own: list[str] = []
+    outer = _SCOPE.get()
+    token = _SCOPE.set(own)
+    try:
+        yield own
+    finally:
+        _SCOPE.reset(token)
+        if outer is not None:
+            outer.extend(own)
 
 
 def staged(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
@@ -38,7 +55,9 @@ def staged(df: DataFrame, name: str, options: dict[str, str] | None = None) -> D
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.options(**{"compression": "zstd"} | (options or {})).parquet(path)
-    _TABLES.append(path)
+    own = _SCOPE.get()
+    if own is not None:
+        own.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
     return out
@@ -47,20 +66,18 @@ def staged(df: DataFrame, name: str, options: dict[str, str] | None = None) -> D
 def drop(table: DataFrame) -> None:
     """Delete a staged table that nothing reads any more."""
     _remove(table.sparkSession, table._staged_path)
-    _TABLES.remove(table._staged_path)
-
-
-def mark() -> int:
-    """A place in the order of staged tables, for ``settled``."""
-    return len(_TABLES)
+    own = _SCOPE.get()
+    if own is not None and table._staged_path in own:
+        own.remove(table._staged_path)
 
 
-def settled(df: DataFrame, name: str, since: int) -> DataFrame:
-    """``staged``, after which the tables staged since ``since`` are deleted, as only ``df`` read them. For one thread."""
+def settled(df: DataFrame, name: str, own: list[str]) -> DataFrame:
+    """``staged``, after which the other tables of the scope ``own`` are deleted, as only ``df`` read them."""
     out = staged(df, name)
-    for path in _TABLES[since:-1]:
-        _remove(df.sparkSession, path)
-    del _TABLES[since:-1]
+    for path in own:
+        if path != out._staged_path:
+            _remove(df.sparkSession, path)
+    own[:] = [out._staged_path]
     free_shuffles(df.sparkSession)
     return out
 

@@ -119,6 +119,7 @@ def repeated_spans(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     text is null where there are no repeats and kept_sha256 is set there
     instead, so that clean texts are not written again.
     """
+    seed = min(seed, window)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), (F.lit(0).cast("long") if unique else F.xxhash64(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
     room = window - seed

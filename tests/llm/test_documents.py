@@ -109,6 +109,20 @@ def test_substring(docs, none):
     assert substring_dedup(none).count() == 0
 
 
+@pytest.mark.parametrize("window", [5, 10, 12, 35])
+def test_substring_windows_of_every_size(spark, window):
+    """Windows shorter than the usual seed are their own seed."""
+    from ledgerleaf.llm.substring import substring_dedup
+
+    rng = random.Random(window)
+    passage = [f"p{i}" for i in range(2 * window)]
+    texts = [[rng.choice("abcdefgh") for _ in range(rng.randrange(60))] for _ in range(40)]
+    texts = [" ".join(t if i % 3 else [*t, *passage[i % window :], "end"]) for i, t in enumerate(texts)]
+    got = substring_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), window=window)
+    want = [(i, *x) for i, x in enumerate(brute.repeats(texts, window))]
+    same(got.select("doc_id", "n_words", "n_removed", "kept_sha256").collect(), want)
+
+
 @pytest.mark.parametrize("hot", [8192, 3])
 def test_substring_against_brute_force_on_random_texts(spark, hot):
     """With ``hot`` at 3, most anchors take the way of the hot ones."""
