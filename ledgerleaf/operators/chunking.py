@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerleaf.operators.embed import pool_slice
+from ledgerleaf.operators.locate import page_at
+
 NONE = "cast(array() as array<struct<start:int,stop:int>>)"
 
 
@@ -65,7 +70,7 @@ def chunk_adaptive(docs: DataFrame, small: int = 16000, overlap: int = 0) -> Dat
     out = _fold(docs, size, 0.5, rule)
     if overlap:
         whole = docs.select("doc_id", F.col("text").alias("_whole"))
-        out = out.join(whole, "doc_id").withColumn("start", F.greatest(F.lit(0), F.col("start") - overlap)).withColumn("text", F.expr("substring(_whole, start + 1, end - start)")).drop("_whole")
+        out = out.join(whole.hint("merge"), "doc_id").withColumn("start", F.greatest(F.lit(0), F.col("start") - overlap)).withColumn("text", F.expr("substring(_whole, start + 1, end - start)")).drop("_whole")
     return out
 
 
@@ -116,7 +121,8 @@ def pack_paragraphs(docs: DataFrame, limit: int = 1000) -> DataFrame:
 
 def section_chunks(sections: DataFrame, pages: DataFrame) -> DataFrame:
     """Each section's pages as one chunk, with priority from importance."""
-    own = sections.join(pages, "doc_id").where(F.col("page_number").between(F.col("page_start"), F.col("page_end")))
+    span = F.explode(F.sequence("page_start", "page_end"))
+    own = sections.where("page_start <= page_end").withColumn("page_number", span).join(pages.hint("merge"), ["doc_id", "page_number"])
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "text"))), lambda p: p["text"]), "\n\n")
     priority = F.when(F.col("importance") == "critical", "critical").when(F.col("importance") == "high", "high").otherwise("medium")
     return own.groupBy("doc_id", "section_type", "importance").agg(text.alias("text"), F.count(F.lit(1)).alias("n_pages")).select("doc_id", "section_type", priority.alias("priority"), "n_pages", "text")
@@ -124,15 +130,13 @@ def section_chunks(sections: DataFrame, pages: DataFrame) -> DataFrame:
 
 def entity_chunks(entities: DataFrame, pages: DataFrame, level: str) -> DataFrame:
     """Account or dispute chunks: a header of known fields and the entity's pages; disputed ones are critical. Needs page_numbers, header and disputed."""
-    own = entities.withColumn("page_number", F.explode("page_numbers")).join(pages, ["doc_id", "page_number"])
+    own = entities.withColumn("page_number", F.explode("page_numbers")).join(pages.hint("merge"), ["doc_id", "page_number"])
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "text"))), lambda p: p["text"]), "\n")
     return own.groupBy("doc_id", "entity_id", "header", "disputed").agg(text.alias("body")).select("doc_id", "entity_id", F.lit(level).alias("level"), F.when(F.col("disputed"), "critical").otherwise("high").alias("priority"), F.concat_ws("\n", "header", "body").alias("text"))
 
 
 def hierarchical_chunks(**levels: DataFrame) -> DataFrame:
     """All levels' chunks (doc_id, text, and page_number where the level has pages) numbered through in a document: levels in the order given, pages in order."""
-    from functools import reduce
-
     page = lambda df: F.col("page_number") if "page_number" in df.columns else F.lit(0)
     tagged = [df.select("doc_id", F.lit(i).alias("level_no"), F.lit(name).alias("level"), "text", page(df).alias("place")) for i, (name, df) in enumerate(levels.items())]
     both = reduce(lambda a, b: a.unionByName(b), tagged)
@@ -148,13 +152,16 @@ def remaining_text(docs: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def find_sections(docs: DataFrame, patterns: list[tuple[str, str]], max_len: int = 2000) -> DataFrame:
-    """Every hit of a section word starts a section, up to ``max_len`` or the nearest later hit over 100 characters on."""
+    """Every hit of a section word starts a section, up to ``max_len`` or the nearest later hit over 100 characters on.
+
+    A hit is a row of its place alone. The hit that ends it is looked for in a range frame, which holds no more than the hits in ``max_len`` characters.
+    """
     named = lambda kind: lambda at: F.struct(at.alias("start"), F.lit(kind).alias("section_type"))
-    hits = F.array_sort(F.concat(*[F.transform(offsets(F.col("text"), p, len(p)), named(kind)) for kind, p in patterns]))
-    own = docs.select("doc_id", "text", hits.alias("hits")).select("doc_id", "text", "hits", F.explode("hits").alias("h"))
-    later = F.array_min(F.transform(F.filter("hits", lambda x: x["start"] > F.col("h.start") + 100), lambda x: x["start"]))
-    end = F.least(F.col("h.start") + max_len, F.length("text"), later)
-    return own.select("doc_id", "h.section_type", "h.start", end.alias("end"))
+    hits = F.concat(*[F.transform(offsets(F.col("text"), p, len(p)), named(kind)) for kind, p in patterns])
+    own = docs.select("doc_id", F.length("text").alias("n"), F.explode(hits).alias("h")).select("doc_id", "n", "h.*")
+    frame = Window.partitionBy("doc_id").orderBy("start").rangeBetween(101, max_len)
+    end = F.least(F.col("start") + max_len, F.col("n"), F.min("start").over(frame))
+    return own.select("doc_id", "section_type", "start", end.alias("end"))
 
 
 def batch_pages(pages: DataFrame, n: int = 10, context: int = 2, head: int = 500) -> DataFrame:
@@ -164,10 +171,43 @@ def batch_pages(pages: DataFrame, n: int = 10, context: int = 2, head: int = 500
     joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", c))), lambda p: p[c]), "\n")
     main = own.groupBy("doc_id", "batch").agg(F.min("page_number").alias("first_page"), F.count(F.lit(1)).alias("n_pages"))
     before = own.where(F.col("at") % n >= n - context).select("doc_id", (F.col("batch") + 1).alias("batch"), "page_number", F.substring("text", 1, head).alias("head")).groupBy("doc_id", "batch").agg(joined("head").alias("context"))
-    return main.join(before, ["doc_id", "batch"], "left").withColumn("context", F.coalesce("context", F.lit("")))
-
-
-def summary_text(pages: DataFrame, first: int = 10, head: int = 500, cut: int = 8000) -> DataFrame:
-    own = pages.where(F.col("page_number") <= first)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_number", F.substring("text", 1, head).alias("t")))), lambda p: F.concat(F.lit("Page "), p["page_number"].cast("string"), F.lit(": "), p["t"])), "\n")
-    return own.groupBy("doc_id").agg(F.substring(text, 1, cut).alias("summary"))
+    return main.join(before.hint("merge"), ["doc_id", "batch"], "left").withColumn("context", F.coalesce("context", F.lit("")))
+
+
+def summary_text(pages: DataFrame, first: int = 10, head: int = 500, cut: int = 8000, tables: DataFrame | None = None, regions: DataFrame | None = None, rows: int = 3) -> DataFrame:
+    """Page heads, then the class and first rows of each table and the content of regions of high importance, as one text of at most ``cut`` characters.
+
+    ``tables`` has doc_id, table_type and content (rows on lines); ``regions`` has doc_id, page_number, id, type, importance and content.
+    """
+    page = pages.where(F.col("page_number") <= first).select("doc_id", F.lit(0).alias("part"), F.col("page_number").cast("string").alias("at"), F.col("page_number").alias("n"), F.concat(F.lit("Page "), F.col("page_number").cast("string"), F.lit(": "), F.substring("text", 1, head)).alias("t"))
+    parts = page
+    if tables is not None:
+        top = F.array_join(F.slice(F.split("content", "\n"), 1, rows), "\n")
+        parts = parts.union(tables.select("doc_id", F.lit(1), F.col("table_type"), F.lit(0), F.concat(F.lit("Table ("), F.col("table_type"), F.lit("): "), top)))
+    if regions is not None:
+        own = regions.where("importance in ('high', 'critical') and page_number <= " + str(first))
+        parts = parts.union(own.select("doc_id", F.lit(2), F.col("id"), F.col("page_number"), F.concat(F.lit("Region ("), F.col("type"), F.lit("): "), F.substring("content", 1, head))))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "n", "at", "t"))), lambda p: p["t"]), "\n")
+    return parts.groupBy("doc_id").agg(F.substring(text, 1, cut).alias("summary"))
+
+
+def late_chunks(chunks: DataFrame, vectors: DataFrame, pages: DataFrame, table_words: list[str], starts: list[str]) -> DataFrame:
+    """Chunks with the slice of their document's vector, the pages they lie on and what context they keep.
+
+    Needs doc_id, chunk_index, start, end and text; ``vectors`` has doc_id, total and doc_vector, ``pages`` doc_id, page_number and start, the place of
+    each page in the text. A chunk's first and last page come from one as-of join. Flags: has_table (a word of
+    ``table_words``), starts_section (begins with one of ``starts``), continues (the one before ends in mid-sentence).
+    """
+    key = F.col("chunk_index").cast("long")
+    edges = chunks.select("doc_id", (2 * key).alias("offset_id"), F.col("start").alias("offset")).union(chunks.select("doc_id", 2 * key + 1, F.greatest(F.col("end") - 1, F.col("start"))))
+    at = page_at(edges, pages).withColumn("chunk_index", F.expr("cast(offset_id div 2 as int)"))
+    at = at.groupBy("doc_id", "chunk_index").agg(F.min("page_number").alias("first_page"), F.max("page_number").alias("last_page"))
+    low = F.lower("text")
+    any_of = lambda tests: F.coalesce(reduce(lambda x, y: x | y, tests, F.lit(False)), F.lit(False))
+    before = F.lag(F.rtrim("text")).over(Window.partitionBy("doc_id").orderBy("chunk_index"))
+    flagged = chunks.withColumns({
+        "has_table": any_of([F.contains(low, F.lit(w)) for w in table_words]), "starts_section": any_of([F.startswith(F.ltrim(low), F.lit(w)) for w in starts]),
+        "continues": before.isNotNull() & ~before.rlike("[.!?]$"),
+    })
+    pooled = pool_slice(flagged.join(vectors.hint("merge"), "doc_id"))
+    return pooled.join(at.hint("merge"), ["doc_id", "chunk_index"]).withColumn("page_numbers", F.sequence("first_page", "last_page")).drop("first_page", "last_page", "doc_vector", "total")

@@ -59,10 +59,10 @@ def call_model(chunks: DataFrame, respond: Callable[[pd.Series], pd.Series]) ->
 
 def contextualize(chunks: DataFrame, neighbours: DataFrame, k: int = 3, head: int = 100) -> DataFrame:
     """Chunk texts with their document, type, pages and the heads of up to ``k`` neighbours before them."""
-    near = neighbours.join(chunks.select(F.col("chunk_id").alias("b"), F.substring("content", 1, head).alias("head")), "b").where(F.col("rank") <= k)
+    near = neighbours.join(chunks.select(F.col("chunk_id").alias("b"), F.substring("content", 1, head).alias("head")).hint("merge"), "b").where(F.col("rank") <= k)
     near = near.groupBy(F.col("a").alias("chunk_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "head"))), lambda x: x["head"]), "\n").alias("near"))
     text = F.concat_ws("\n", F.concat(F.lit("Document: "), F.col("doc_id").cast("string")), F.concat(F.lit("Type: "), F.col("semantic_type")), F.concat(F.lit("Pages: "), F.array_join(F.transform("page_numbers", lambda p: p.cast("string")), ", ")), F.concat(F.lit("Related: "), F.col("near")), "content")
-    return chunks.join(near, "chunk_id", "left").select("chunk_id", text.alias("contextual_text"))
+    return chunks.join(near.hint("merge"), "chunk_id", "left").select("chunk_id", text.alias("contextual_text"))
 
 
 def processing_metrics(pages: DataFrame, chunks: DataFrame) -> DataFrame:

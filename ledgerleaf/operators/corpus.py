@@ -143,7 +143,7 @@ def accounts_from_tables(page_tables: DataFrame) -> DataFrame:
     """Four account columns from table rows after a document's first (the header); missing cells are Unknown."""
     cell = lambda i: F.coalesce(F.when(F.get("cells", F.lit(i)) != "", F.get("cells", F.lit(i))), F.lit("Unknown"))
     header = page_tables.groupBy("doc_id").agg(F.min("line_no").alias("header_no"))
-    return page_tables.join(header, "doc_id").where("line_no > header_no").select("doc_id", "line_no", cell(0).alias("creditor_name"), cell(1).alias("account_number"), cell(2).alias("account_type"), cell(3).alias("status"))
+    return page_tables.join(header.hint("merge"), "doc_id").where("line_no > header_no").select("doc_id", "line_no", cell(0).alias("creditor_name"), cell(1).alias("account_number"), cell(2).alias("account_type"), cell(3).alias("status"))
 
 
 def table_to_text(page_tables: DataFrame) -> DataFrame:

@@ -43,7 +43,7 @@ def missing_months(payments: DataFrame) -> DataFrame:
     seen = payments.select("account_id", month.alias("month")).distinct()
     span = seen.groupBy("account_id").agg(F.min("month").alias("a"), F.max("month").alias("b"))
     every = span.select("account_id", F.explode(F.sequence("a", "b", F.expr("interval 1 month"))).alias("month"))
-    return every.join(seen, ["account_id", "month"], "left_anti")
+    return every.join(seen.hint("merge"), ["account_id", "month"], "left_anti")
 
 
 def utilization_issues(accounts: DataFrame) -> DataFrame:

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerleaf.functions import vectors as vec
 from ledgerleaf.operators.issues import mapped
+from ledgerleaf.sources.shared import written
 
 #: Weights by priority and by semantic type.
 PRIORITY = {"critical": 0.9, "high": 0.8, "medium": 0.6, "low": 0.4}
@@ -40,16 +47,71 @@ def pool(chunks: DataFrame, strategy: str) -> DataFrame:
     return chunks.withColumn("pooled", F.element_at(F.transform(F.array(w), lambda x: vec.weighted(a, b, x)), 1))
 
 
-def similar_pairs(chunks: DataFrame, threshold: float = 0.8, block: str = "doc_id") -> DataFrame:
-    """Pairs of one block whose cosine exceeds the threshold. A block is one document's chunks."""
-    a = chunks.select(F.col(block), F.col("chunk_id").alias("a"), F.col("embedding").alias("va"))
-    b = chunks.select(F.col(block), F.col("chunk_id").alias("b"), F.col("embedding").alias("vb"))
-    return a.join(b, block).where("a < b").withColumn("similarity", vec.cosine(F.col("va"), F.col("vb"))).where(F.col("similarity") > threshold).select(block, "a", "b", "similarity")
-
-
-def nearest(chunks: DataFrame, k: int = 5, block: str = "doc_id") -> DataFrame:
-    """The k nearest chunks of each chunk in its block."""
-    pairs = similar_pairs(chunks, -2.0, block)
+def lsh_plan(threshold: float, recall: float, rows: float, most: int = 512) -> tuple[int, int]:
+    """(bits, tables) of random hyperplanes that find a pair at ``threshold`` with probability ``recall`` in blocks of about ``rows`` rows at the least cost.
+
+    Two vectors at an angle t agree in a bit with probability 1 - t/pi; a table looks up a row and meets a share of
+    2**-bits of unrelated ones. Pairs above the threshold are found with a higher probability.
+    """
+    agree = 1 - math.acos(threshold) / math.pi
+    best = (math.inf, 1, 1)
+    for bits in range(1, 31):
+        tables = math.ceil(math.log(1 - recall) / math.log(1 - agree**bits)) if agree < 1 else 1
+        if tables <= most:
+            best = min(best, (tables * (8 + rows / 2**bits), bits, tables))
+    return best[1:]
+
+
+def lsh_index(chunks: DataFrame, bits: int, tables: int, block: str = "doc_id", seed: int = 42) -> DataFrame:
+    """(block, chunk_id, dims, key): for each chunk and table, the sides of ``bits`` random hyperplanes on which its vector lies.
+
+    Vectors that are null, empty or zero, or hold null or non-finite entries, are in no table. The dense product runs in numpy on Arrow batches.
+    """
+    kinds = {c: chunks.schema[c].dataType.simpleString() for c in (block, "chunk_id")}
+
+    def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes: dict[int, np.ndarray] = {}
+        weight = 1 << np.arange(bits, dtype=np.int64)
+        for batch in batches:
+            vectors, size = batch.column("v"), pc.fill_null(pc.list_value_length(batch.column("v")), 0).to_numpy(zero_copy_only=False)
+            for d in np.unique(size[size > 0]).tolist():
+                at = np.flatnonzero(size == d)
+                x = pc.list_flatten(vectors.take(pa.array(at))).to_numpy(zero_copy_only=False).astype(float).reshape(len(at), d)
+                fine = np.isfinite(x).all(axis=1) & (x != 0).any(axis=1)
+                at, x = at[fine], x[fine]
+                if d not in planes:
+                    planes = {d: np.random.default_rng((seed, d)).normal(size=(d, bits * tables))}
+                key = ((x @ planes[d]) > 0).reshape(len(at), tables, bits) @ weight + (np.arange(tables, dtype=np.int64) << 32)
+                rows = pa.array(np.repeat(at, tables))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.full(len(rows), d, np.int32)), pa.array(key.ravel())], [block, "chunk_id", "dims", "key"])
+
+    return chunks.select(block, "chunk_id", F.col("embedding").cast("array<double>").alias("v")).mapInArrow(sides, f"{block} {kinds[block]}, chunk_id {kinds['chunk_id']}, dims int, key long")
+
+
+def similar_pairs(chunks: DataFrame, threshold: float = 0.8, block: str = "doc_id", exact: bool = False, recall: float = 0.999) -> DataFrame:
+    """Pairs of one block whose cosine exceeds the threshold. A block is one document's chunks.
+
+    Candidates share a key of the hyperplane index (``lsh_index``) and are then compared exactly, so every row is
+    right and a pair is missed with a probability of 1 - ``recall`` at most, far less above the threshold. Keys
+    divide a hot block among tasks. ``exact`` compares all pairs of a block instead, which thresholds near or below zero need.
+    """
+    if exact or threshold <= 0:
+        a = chunks.select(F.col(block), F.col("chunk_id").alias("a"), F.col("embedding").alias("va"))
+        b = chunks.select(F.col(block), F.col("chunk_id").alias("b"), F.col("embedding").alias("vb"))
+        met = a.join(b.hint("merge"), block).where("a < b")
+    else:
+        n = chunks.agg((F.count(F.lit(1)) / F.greatest(F.approx_count_distinct(block), F.lit(1))).alias("n")).first().n
+        keys = written(lsh_index(chunks, *lsh_plan(threshold, recall, n), block), "lsh")
+        a, b = (keys.withColumnRenamed("chunk_id", side) for side in "ab")
+        pairs = a.join(b.hint("merge"), [block, "dims", "key"]).where("a < b").select(block, "a", "b").distinct()
+        vector = lambda side: chunks.select(F.col("chunk_id").alias(side), F.col("embedding").alias(f"v{side}"))
+        met = pairs.join(vector("a").hint("merge"), "a").join(vector("b").hint("merge"), "b")
+    return met.withColumn("similarity", vec.cosine(F.col("va"), F.col("vb"))).where(F.col("similarity") > threshold).select(block, "a", "b", "similarity")
+
+
+def nearest(chunks: DataFrame, k: int = 5, block: str = "doc_id", threshold: float | None = None, recall: float = 0.999) -> DataFrame:
+    """The k nearest chunks of each chunk in its block: of those whose cosine exceeds ``threshold``, by the hyperplane index, or of all, by comparing all."""
+    pairs = similar_pairs(chunks, -2.0, block, exact=True) if threshold is None else similar_pairs(chunks, threshold, block, recall=recall)
     both = pairs.select(block, "a", "b", "similarity").union(pairs.select(block, F.col("b"), F.col("a"), "similarity"))
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("similarity"), "b"))
     return both.withColumn("rank", rank).where(F.col("rank") <= k)
@@ -60,4 +122,4 @@ def embed_once(chunks: DataFrame, cache: DataFrame, embed) -> tuple[DataFrame, D
     keyed = chunks.withColumn("key", F.sha2("text", 256))
     new = keyed.groupBy("key").agg(F.first("text").alias("text")).join(cache.select("key"), "key", "left_anti")
     grown = cache.select("key", "embedding").unionByName(embed(new).select("key", "embedding"))
-    return keyed.join(grown, "key", "left"), grown
+    return keyed.join(grown.hint("merge"), "key", "left"), grown

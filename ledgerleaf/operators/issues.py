@@ -112,7 +112,7 @@ def valid_coordinates(issues: DataFrame) -> tuple[DataFrame, DataFrame]:
 def pixels_to_points(issues: DataFrame, meta: DataFrame, strict: bool = False) -> DataFrame:
     """Boxes in points by their page's resolution. Issues of pages without metadata go, or with ``strict`` raise when read."""
     scale = F.lit(72.0) / F.coalesce("dpi", F.lit(300))
-    own = issues.join(meta.select("doc_id", "page_number", "dpi"), ["doc_id", "page_number"], "left" if strict else "inner")
+    own = issues.join(meta.select("doc_id", "page_number", "dpi").hint("merge"), ["doc_id", "page_number"], "left" if strict else "inner")
     if strict:
         own = own.withColumn("dpi", F.when(F.col("dpi").isNull(), F.raise_error(F.lit("page without metadata"))).otherwise(F.col("dpi")))
     return own.withColumns({c: F.col(c) * scale for c in ("x", "y", "width", "height")})

@@ -2,30 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerleaf.functions.text import normalize_anchor
+from ledgerleaf.sources.shared import written
 
 
 def bounding_box(rects: DataFrame, keys: list[str]) -> DataFrame:
     return rects.groupBy(*keys).agg(F.min("x").alias("x"), F.min("y").alias("y"), (F.max(F.col("x") + F.col("width")) - F.min("x")).alias("width"), (F.max(F.col("y") + F.col("height")) - F.min("y")).alias("height"))
 
 
+def of_documents(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of documents that ``wanted`` has. Where rows are exploded from a document, the optimizer asks this of the document."""
+    return rows.join(wanted.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
+
+
 def token_hits(issues: DataFrame, tokens: DataFrame, cell: float = 100.0) -> DataFrame:
     """Number of tokens that each issue's box strictly meets.
 
     Boxes and tokens meet by (document, page, vertical band), so a dense page
     is compared band by band; a pair is counted in the first band they share.
+    Tokens of documents without issues are not looked at, and a token is put
+    into bands only once it is known that its document has any.
     """
+    issues = written(issues, "issues")
     bands = lambda y, h: F.sequence(F.floor(F.col(y) / cell).cast("int"), F.floor((F.col(y) + F.col(h)) / cell).cast("int"))
     left = issues.select("id", "doc_id", "page_number", *[F.col(c).alias(f"i{c}") for c in ("x", "y", "width", "height")])
     left = left.withColumn("band", F.explode(bands("iy", "iheight")))
-    right = tokens.withColumn("band", F.explode(bands("y", "height")))
+    right = of_documents(tokens.select("doc_id", "page_number", "x", "y", "width", "height"), issues).withColumn("band", F.explode(bands("y", "height")))
     first = F.greatest(F.floor(F.col("iy") / cell), F.floor(F.col("y") / cell)).cast("int")
     meets = (F.col("ix") < F.col("x") + F.col("width")) & (F.col("x") < F.col("ix") + F.col("iwidth")) & (F.col("iy") < F.col("y") + F.col("height")) & (F.col("y") < F.col("iy") + F.col("iheight"))
-    hits = left.join(right.select("doc_id", "page_number", "band", "x", "y", "width", "height").hint("merge"), ["doc_id", "page_number", "band"]).where(meets & (F.col("band") == first)).groupBy("id").agg(F.count(F.lit(1)).alias("token_count"))
-    return issues.join(hits, "id", "left").withColumn("token_count", F.coalesce("token_count", F.lit(0)))
+    hits = left.join(right.hint("merge"), ["doc_id", "page_number", "band"]).where(meets & (F.col("band") == first)).groupBy("id").agg(F.count(F.lit(1)).alias("token_count"))
+    return issues.join(hits.hint("merge"), "id", "left").withColumn("token_count", F.coalesce("token_count", F.lit(0)))
 
 
 def gate(issues: DataFrame) -> DataFrame:
@@ -53,25 +62,71 @@ def match_phrase(issues: DataFrame, tokens: DataFrame) -> DataFrame:
     return runs.where("n = k").select("id", "doc_id", "line_no", "token_idx", "x", "y", (F.col("end") - F.col("x")).alias("width"), "height")
 
 
-def first_holding(wants: DataFrame, found: DataFrame, text: str, order: list[str], blind: bool = False) -> DataFrame:
+def pieces(rows: DataFrame, text: str, size: str) -> DataFrame:
+    """Each piece of ``text`` of ``size`` characters as a row with column piece; an empty text has one of size 0."""
+    at = F.explode(F.sequence(F.lit(1), F.greatest(F.length(text) - F.col(size) + 1, F.lit(1)))).alias("_at")
+    own = rows.where(F.col(size) <= F.length(text)).select("*", at)
+    return own.withColumn("piece", F.substring(F.col(text), F.col("_at"), F.col(size))).drop("_at")
+
+
+def piece_masks(asked: DataFrame, words: int = 64) -> DataFrame:
+    """(doc_id, masks): for each size, which hashes of pieces a document asks for, as bits of ``words`` longs. Needs doc_id, size and piece."""
+    h = F.pmod(F.xxhash64("piece"), F.lit(64 * words)).cast("int")
+    bits = asked.select("doc_id", "size", h.alias("h")).groupBy("doc_id", "size", F.expr("h div 64").alias("word"))
+    bits = bits.agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.expr("h % 64"))).alias("bits"))
+    held = F.map_from_entries(F.collect_list(F.struct("word", "bits")))
+    mask = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(words - 1).cast("bigint")), lambda i: F.coalesce(F.try_element_at("held", i), F.lit(0).cast("long")))
+    each = bits.groupBy("doc_id", "size").agg(held.alias("held")).select("doc_id", F.struct("size", mask.alias("mask")).alias("m"))
+    return each.groupBy("doc_id").agg(F.collect_list("m").alias("masks"))
+
+
+def first_holding(wants: DataFrame, found: DataFrame, text: str, order: list[str], blind: bool = False, q: int = 6) -> DataFrame:
     """For each row of ``wants`` (id, doc_id, want) the first row of ``found`` in its document whose ``text`` holds it; others drop.
 
-    Wanted texts and found texts are each told apart once in a document
-    before they meet, so repeats of either do not multiply.
+    An inverted index of pieces of ``q`` characters: a wanted text meets only
+    the found texts that hold its rarest piece in the document, and is then
+    looked for in them. A wanted text shorter than ``q`` is its own piece, so
+    texts are cut into the lengths that their document asks for; the empty
+    one stands in the empty piece of every text. A piece whose hash the document does not ask for is
+    not indexed. Where ``wants`` has a page_number that is not null, only
+    that page, which ``found`` then names, is searched.
     """
     low = F.lower if blind else F.col
-    own = wants.select("id", "doc_id", low("want").alias("want"))
+    hint = ["page_number"] if "page_number" in wants.columns else []
+    own = written(wants.select("id", "doc_id", low("want").alias("want"), *hint), "wants")
     rest = [c for c in found.columns if c not in ("doc_id", text)]
-    texts = found.groupBy("doc_id", low(text).alias("_text")).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("t"))
-    met = own.select("doc_id", "want").distinct().join(texts.hint("merge"), "doc_id").where(F.contains("_text", "want"))
-    first = met.groupBy("doc_id", "want").agg(F.min_by("t", F.struct(*[f"t.{c}" for c in order])).alias("t"))
-    return own.join(first.hint("merge"), ["doc_id", "want"]).select("id", *[f"t.{c}" for c in rest])
-
-
-def match_token(issues: DataFrame, tokens: DataFrame) -> DataFrame:
-    """The first token of the document that holds the anchor, case-blind; issues without one drop."""
-    wants = issues.select("id", "doc_id", F.col("anchor_text").alias("want"))
-    return first_holding(wants, tokens.select("doc_id", "str", "line_no", "token_idx", "x", "y"), "str", ["line_no", "token_idx"], blind=True)
+    keys = own.select("doc_id", "want", *hint).distinct()
+    asked = pieces(keys.withColumn("size", F.least(F.length("want"), F.lit(q))), "want", "size")
+    masks = piece_masks(asked.select("doc_id", "size", "piece"))
+    row = F.struct(*[F.col(c) for c in [*order, *[c for c in rest if c not in order]]]).alias("t")
+    texts = of_documents(found, own).select("doc_id", low(text).alias("_text"), row).join(masks.hint("merge"), "doc_id")
+    texts = texts.select("doc_id", "_text", "t", F.explode("masks").alias("m")).select("doc_id", "_text", "t", F.col("m.size").alias("size"), F.col("m.mask").alias("mask"))
+    h = F.pmod(F.xxhash64("piece"), 64 * F.size("mask")).cast("int")
+    known = F.call_function("getbit", F.element_at("mask", (F.floor(h / 64) + 1).cast("int")), h % 64) == 1
+    postings = written(pieces(texts, "_text", "size").where(known).select("doc_id", "piece", "_text", "t"), "postings")
+    counts = postings.groupBy("doc_id", "piece").agg(F.count(F.lit(1)).alias("n"))
+    # a piece that no text of the document holds ends the search
+    rarest = asked.join(counts.hint("merge"), ["doc_id", "piece"], "left").groupBy("doc_id", "want", *hint).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("r"))
+    rarest = rarest.where("r.n > 0").select("doc_id", "want", *hint, F.col("r.piece").alias("piece"))
+    met = rarest.join(postings.hint("merge"), ["doc_id", "piece"]).where(F.contains("_text", "want"))
+    if hint:
+        met = met.where(F.col("page_number").isNull() | (F.col("t.page_number") == F.col("page_number")))
+    first = met.groupBy("doc_id", "want", *hint).agg(F.min("t").alias("t"))
+    first = first.select(F.col("doc_id").alias("_doc"), F.col("want").alias("_want"), *[F.col(c).alias(f"_{c}") for c in hint], "t")
+    same = (F.col("doc_id") == F.col("_doc")) & (F.col("want") == F.col("_want"))
+    for c in hint:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return own.join(first.hint("merge"), same).select("id", *[f"t.{c}" for c in rest])
+
+
+def match_token(issues: DataFrame, tokens: DataFrame, page_hint: bool = False) -> DataFrame:
+    """The first token of the document that holds the anchor, case-blind; issues without one drop.
+
+    With ``page_hint``, an issue whose page_number is not null looks at that page's tokens only.
+    """
+    page = ["page_number"] if page_hint else []
+    wants = issues.select("id", "doc_id", F.col("anchor_text").alias("want"), *page)
+    return first_holding(wants, tokens.select("doc_id", "str", "line_no", "token_idx", "x", "y", *page), "str", ["line_no", "token_idx"], blind=True)
 
 
 def match_line(issues: DataFrame, lines: DataFrame) -> DataFrame:
@@ -131,19 +186,26 @@ def group_rows(tokens: DataFrame, tol: float = 5.0) -> DataFrame:
 
 
 def group_lines(tokens: DataFrame, tol: float = 5.0) -> DataFrame:
-    """Lines of a page: tokens by y, each joining the first line whose running mean is within ``tol``, or opening one; lines are numbered from 0."""
-    own = F.array_sort(F.collect_list(F.struct("y", "token_id")))
-    start = F.expr("struct(cast(array() as array<struct<total:double,n:int>>) as lines, cast(array() as array<struct<token_id:bigint,line:int>>) as out)")
+    """Lines of a page: tokens by y, each joining the first line whose running mean is within ``tol``, or opening one; lines are numbered from 0.
 
-    def step(acc, t):
-        at = F.array_position(F.transform(acc["lines"], lambda r: F.abs(r["total"] / r["n"] - t["y"]) <= tol), True).cast("int") - 1
-        joined = F.transform(acc["lines"], lambda r, i: F.when(i == at, F.struct((r["total"] + t["y"]).alias("total"), (r["n"] + 1).alias("n"))).otherwise(r))
-        lines = F.when(at >= 0, joined).otherwise(F.concat(acc["lines"], F.array(F.struct(t["y"].alias("total"), F.lit(1).alias("n")))))
-        line = F.when(at >= 0, at).otherwise(F.size(acc["lines"]))
-        return F.struct(lines.alias("lines"), F.concat(acc["out"], F.array(F.struct(t["token_id"].alias("token_id"), line.alias("line")))).alias("out"))
+    Tokens come by rising y, so a line that one of them misses is never met again: only the latest line can
+    take the next token, and the fold holds its sum and count. Tokens of equal y stay together and are folded once.
+    """
+    heights = tokens.groupBy("doc_id", "page_number", "y").agg(F.collect_list("token_id").alias("ids"))
+    own = F.array_sort(F.collect_list(F.struct("y", "ids")))
+    start = F.expr("struct(0D as total, 0L as n, -1 as line, cast(array() as array<int>) as out)")
 
-    folded = tokens.groupBy("doc_id", "page_number").agg(F.aggregate(own, start, step, lambda acc: acc["out"]).alias("rows"))
-    return folded.select("doc_id", "page_number", F.explode("rows").alias("r")).select("doc_id", "page_number", "r.token_id", "r.line")
+    def step(acc, t):
+        k = F.size(t["ids"]).cast("long")
+        joins = (acc["n"] > 0) & (F.abs(acc["total"] / acc["n"] - t["y"]) <= tol)
+        line = F.when(joins, acc["line"]).otherwise(acc["line"] + 1)
+        total, n = F.when(joins, acc["total"]).otherwise(0.0) + t["y"] * k, F.when(joins, acc["n"]).otherwise(0) + k
+        return F.struct(total.alias("total"), n.alias("n"), line.alias("line"), F.concat(acc["out"], F.array(line)).alias("out"))
+
+    paged = heights.groupBy("doc_id", "page_number").agg(own.alias("own"))
+    line_of = F.aggregate("own", start, step, lambda acc: acc["out"])
+    each = paged.select("doc_id", "page_number", F.explode(F.arrays_zip(F.col("own"), line_of.alias("line"))).alias("r"))
+    return each.select("doc_id", "page_number", F.explode("r.own.ids").alias("token_id"), F.col("r.line").alias("line"))
 
 
 def table_runs(rows: DataFrame, least_cells: int = 3, least_rows: int = 2) -> DataFrame:

@@ -10,11 +10,11 @@ from ledgerleaf.operators.issues import mapped
 
 def pages_in_sections(sections: DataFrame, pages: DataFrame) -> DataFrame:
     own = sections.withColumn("page_number", F.explode(F.sequence("page_start", "page_end")))
-    return own.join(pages.select("doc_id", "page_number"), ["doc_id", "page_number"]).select("doc_id", "section_type", "page_number")
+    return own.join(pages.select("doc_id", "page_number").hint("merge"), ["doc_id", "page_number"]).select("doc_id", "section_type", "page_number")
 
 
 def pages_of(entities: DataFrame, pages: DataFrame) -> DataFrame:
-    return entities.withColumn("page_number", F.explode("page_numbers")).join(pages, ["doc_id", "page_number"])
+    return entities.withColumn("page_number", F.explode("page_numbers")).join(pages.hint("merge"), ["doc_id", "page_number"])
 
 
 def near_pairs(chunks: DataFrame, window: int = 5, same_type: bool = False) -> DataFrame:
@@ -28,7 +28,7 @@ def near_pairs(chunks: DataFrame, window: int = 5, same_type: bool = False) -> D
     right = each.select("doc_id", "bucket", F.col("chunk_id").alias("b"), F.col("p").alias("pb"), F.col("semantic_type").alias("tb"))
     ok = (F.col("a") < F.col("b")) & (F.abs(F.col("pa") - F.col("pb")) <= window)
     ok = ok & (F.col("ta") == F.col("tb")) if same_type else ok
-    return left.join(right, ["doc_id", "bucket"]).where(ok).groupBy("doc_id", "a", "b").agg(F.min(F.abs(F.col("pa") - F.col("pb"))).alias("distance"))
+    return left.join(right.hint("merge"), ["doc_id", "bucket"]).where(ok).groupBy("doc_id", "a", "b").agg(F.min(F.abs(F.col("pa") - F.col("pb"))).alias("distance"))
 
 
 def identifier_pairs(chunks: DataFrame, pattern: str, left_type: str = "account_data", right_type: str = "dispute_info") -> DataFrame:
@@ -36,20 +36,20 @@ def identifier_pairs(chunks: DataFrame, pattern: str, left_type: str = "account_
     ids = chunks.select("doc_id", "chunk_id", "semantic_type", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(pattern), F.lit(1)))).alias("identifier"))
     a = ids.where(F.col("semantic_type") == left_type).select("doc_id", "identifier", F.col("chunk_id").alias("a"))
     b = ids.where(F.col("semantic_type") == right_type).select("doc_id", "identifier", F.col("chunk_id").alias("b"))
-    return a.join(b, ["doc_id", "identifier"]).groupBy("doc_id", "a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    return a.join(b.hint("merge"), ["doc_id", "identifier"]).groupBy("doc_id", "a", "b").agg(F.count(F.lit(1)).alias("shared"))
 
 
 def relationships(edges: DataFrame, chunks: DataFrame) -> DataFrame:
     """Edges typed by their chunks' semantic types."""
     ends = lambda side: chunks.select(F.col("chunk_id").alias(side), F.col("semantic_type").alias(f"t{side}"))
-    own = edges.join(ends("a"), "a").join(ends("b"), "b")
+    own = edges.join(ends("a").hint("merge"), "a").join(ends("b").hint("merge"), "b")
     kind = F.when((F.col("ta") == "account_data") & (F.col("tb") == "dispute_info"), "account_dispute_link").when((F.col("ta") == "account_data") & (F.col("tb") == "payment_history"), "account_payment_link").otherwise("contextual_relationship")
     return own.select(F.concat_ws("-", F.lit("rel"), F.col("a").cast("string"), F.col("b").cast("string")).alias("id"), kind.alias("type"), F.concat_ws(" -> ", "ta", "tb").alias("relationship"), F.lit(0.8).alias("confidence"))
 
 
 def sections_of_chunk(chunks: DataFrame, sections: DataFrame) -> DataFrame:
     own = sections.withColumn("p", F.explode(F.sequence("page_start", "page_end"))).select("doc_id", "p", "section_type")
-    return chunks.select("doc_id", "chunk_id", F.explode("page_numbers").alias("p")).join(own, ["doc_id", "p"]).select("doc_id", "chunk_id", "section_type").distinct()
+    return chunks.select("doc_id", "chunk_id", F.explode("page_numbers").alias("p")).join(own.hint("merge"), ["doc_id", "p"]).select("doc_id", "chunk_id", "section_type").distinct()
 
 
 def neighbours(chunks: DataFrame, window: int = 2, k: int = 3) -> DataFrame:
@@ -79,7 +79,7 @@ def cross_page_links(issues: DataFrame) -> DataFrame:
     """Issues that name related ids, linked where the pages differ. Needs related_ids."""
     a = issues.select("doc_id", F.col("id").alias("source_id"), F.col("page_number").alias("pa"), F.col("category").alias("category_a"), F.col("description").alias("description_a"), F.explode("related_ids").alias("target_id"))
     b = issues.select(F.col("id").alias("target_id"), F.col("page_number").alias("pb"), F.col("category").alias("category_b"), F.col("description").alias("description_b"))
-    return link_type(a.join(b, "target_id").where("pa <> pb")).select("doc_id", "source_id", "target_id", "link_type", "relationship")
+    return link_type(a.join(b.hint("merge"), "target_id").where("pa <> pb")).select("doc_id", "source_id", "target_id", "link_type", "relationship")
 
 
 def has_image(pages: DataFrame, meta: DataFrame) -> DataFrame:
@@ -95,15 +95,15 @@ def decode_status(payments: DataFrame, legend: dict[str, str], default: str = "u
 def restore_fields(located: DataFrame, issues: DataFrame) -> DataFrame:
     """Category and severity of located issues from the originals, with defaults."""
     own = issues.select("id", "category", "severity")
-    return located.join(own, "id", "left").withColumns({"category": F.coalesce("category", F.lit("other")), "severity": F.coalesce("severity", F.lit("medium"))})
+    return located.join(own.hint("merge"), "id", "left").withColumns({"category": F.coalesce("category", F.lit("other")), "severity": F.coalesce("severity", F.lit("medium"))})
 
 
 def check_alignment(issues: DataFrame, regions: DataFrame) -> DataFrame:
     """Per document, how many issues meet a region of their page (touching counts)."""
     r = regions.select("doc_id", "page_number", F.col("x").alias("rx"), F.col("y").alias("ry"), F.col("width").alias("rw"), F.col("height").alias("rh"))
     touch = (F.col("x") <= F.col("rx") + F.col("rw")) & (F.col("rx") <= F.col("x") + F.col("width")) & (F.col("y") <= F.col("ry") + F.col("rh")) & (F.col("ry") <= F.col("y") + F.col("height"))
-    met = issues.join(r, (issues.doc_id == r.doc_id) & (issues.page_number == r.page_number) & touch, "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("matched"))
-    return issues.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total")).join(met, "doc_id", "left").withColumn("matched", F.coalesce("matched", F.lit(0)))
+    met = issues.join(r.hint("merge"), (issues.doc_id == r.doc_id) & (issues.page_number == r.page_number) & touch, "left_semi").groupBy("doc_id").agg(F.count(F.lit(1)).alias("matched"))
+    return issues.groupBy("doc_id").agg(F.count(F.lit(1)).alias("total")).join(met.hint("merge"), "doc_id", "left").withColumn("matched", F.coalesce("matched", F.lit(0)))
 
 
 def contradictions(mentions: DataFrame) -> DataFrame:

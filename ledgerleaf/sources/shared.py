@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
 
@@ -19,3 +21,25 @@ def shared_dir(spark: SparkSession) -> str:
     if "dir" not in _OWN:
         _OWN["dir"] = tempfile.mkdtemp(prefix="ledgerleaf-")
     return "file://" + _OWN["dir"]
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted with the application."""
+    path = f"{shared_dir(spark)}/ledgerleaf-{name}-{uuid.uuid4().hex}"
+    atexit.register(remove, spark, path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the JVM is gone already
+        pass
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: what several branches of a plan read is then worked out once, and its size is known."""
+    path = new_folder(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

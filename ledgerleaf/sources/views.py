@@ -21,7 +21,20 @@ RULES = [
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows, "doc_id") if name == "documents" else rows
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` dealt out by ``key`` to all cores, if their files are so small that Spark would read them in fewer tasks than there are cores; else as they are."""
+    spark = rows.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = 0
+    for name in rows.inputFiles()[:cores]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        size += path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getLen()
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return rows.repartition(cores, key) if size < cores * split else rows
 
 
 def read_pages(spark: SparkSession, paths: str | list[str], fmt: str = "parquet") -> DataFrame:
@@ -39,25 +52,27 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
-def placed_words(line: Column, block: int = 64) -> Column:
-    """Array of (p, s): the words of a line and the offset of each, the length of the line before it.
+def placed_words(lines: DataFrame, piece: int = 32) -> DataFrame:
+    """The words of ``line`` between single spaces, empty ones too, beside the other columns: token_idx, str and the offset p of each.
 
-    Offsets are summed within blocks of words and over blocks, as appending to one array copies it each time.
+    A line is cut into pieces of ``piece`` words, whose offsets are summed; inside a piece, a word's offset is that of the
+    space before it, so work stays linear in the line. No lambda runs for a word.
     """
-    words = F.split(line, " ")
-    blocks = F.transform(F.sequence(F.lit(1), F.size(words), F.lit(block)), lambda i: F.slice(words, i, block))
-    length = lambda ws: F.aggregate(ws, F.lit(0), lambda n, w: n + F.length(w) + 1)
+    keys = [c for c in lines.columns if c != "line"]
+    pieces = F.regexp_extract_all("line", F.lit(f"(?s)(?:[^ ]*+ ){{{piece}}}|.+"), F.lit(0))
     none = F.expr("cast(array() as array<int>)")
-    start = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), none.alias("out")), lambda acc, b: F.struct((acc["at"] + length(b)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
-    inside = lambda b, at: F.aggregate(b, F.struct(at.alias("at"), none.alias("out")), lambda acc, w: F.struct((acc["at"] + F.length(w) + 1).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
-    offsets = F.flatten(F.zip_with(blocks, start, inside))
-    return F.zip_with(offsets, words, lambda p, w: F.struct(p.alias("p"), w.alias("s")))
+    before = F.aggregate("pieces", F.struct(F.lit(0).alias("at"), none.alias("out")), lambda acc, c: F.struct((acc["at"] + F.length(c)).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+    cut = lines.select(*keys, pieces.alias("pieces")).select(*keys, F.posexplode(F.arrays_zip("pieces", before.alias("before"))).alias("piece", "c"))
+    cut = cut.select(*keys, "piece", F.col("c.pieces").alias("text"), F.col("c.before").alias("before"))
+    each = cut.select(*keys, "piece", "text", "before", F.posexplode(F.split("text", " ")).alias("i", "str")).where(F.col("i") < piece)
+    within = F.when(F.col("i") == 0, 0).otherwise(F.length(F.call_function("substring_index", F.col("text"), F.lit(" "), F.col("i"))) + 1)
+    return each.select(*keys, (F.col("piece") * piece + F.col("i")).alias("token_idx"), "str", (F.col("before") + within).alias("p"))
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of lines at estimated places; the offset of a word is the length of the line before it."""
-    each = lines(spark, sf_dir).select("doc_id", "line_no", F.posexplode(placed_words(F.col("line"))).alias("token_idx", "t")).where(F.length(F.trim("t.s")) > 0)
-    return each.select("doc_id", (F.col("line_no") / 40).cast("int").alias("page0"), "line_no", "token_idx", F.col("t.s").alias("str"), (50.0 + 8 * F.col("t.p")).alias("x"), (50.0 + 15 * F.col("line_no")).cast("double").alias("y"), (8.0 * F.length("t.s")).alias("width"), F.lit(15.0).alias("height"))
+    each = placed_words(lines(spark, sf_dir)).where(F.length(F.trim("str")) > 0)
+    return each.select("doc_id", (F.col("line_no") / 40).cast("int").alias("page0"), "line_no", "token_idx", "str", (50.0 + 8 * F.col("p")).alias("x"), (50.0 + 15 * F.col("line_no")).cast("double").alias("y"), (8.0 * F.length("str")).alias("width"), F.lit(15.0).alias("height"))
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,15 +80,17 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines(spark, sf_dir).select("doc_id", F.explode(F.split("line", " ")).alias("str")).where(F.length(F.trim("str")) > 0)
 
 
-def rule_structs() -> Column:
+def rule_hits(line: Column) -> Column:
+    """Array of the hits of every rule on a line, each with its rule's fields, its number among the rule's hits and its text."""
     names = ["rule_id", "error_type", "pattern", "type", "category", "severity"]
-    return F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, rule, strict=True)]) for rule in RULES])
+    told = lambda rule: [F.lit(v).alias(n) for n, v in zip(names, rule, strict=True)]
+    found = lambda rule: F.transform(F.regexp_extract_all(line, F.lit(rule[2]), F.lit(0)), lambda hit, i: F.struct(F.struct(*told(rule)).alias("r"), i.alias("hit_no"), hit.alias("hit")))
+    return F.concat(*[found(rule) for rule in RULES])
 
 
 def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rule hits on lines as issues with boxes; ``seq`` orders them within a document."""
-    each = lines(spark, sf_dir).select("doc_id", "line_no", "line", F.explode(rule_structs()).alias("r"))
-    hits = each.select("doc_id", "line_no", "line", "r", F.posexplode(F.expr("regexp_extract_all(line, r.pattern, 0)")).alias("hit_no", "hit"))
+    hits = lines(spark, sf_dir).select("doc_id", "line_no", "line", F.explode(rule_hits(F.col("line"))).alias("h")).select("doc_id", "line_no", "line", "h.*")
     return hits.select(
         F.concat_ws("-", F.col("doc_id").cast("string"), F.col("line_no").cast("string"), F.col("r.rule_id").cast("string"), F.col("hit_no").cast("string")).alias("id"),
         "doc_id", F.col("r.type").alias("type"), F.col("r.category").alias("category"), F.concat(F.col("r.error_type"), F.lit(" found: "), F.col("hit")).alias("description"), F.col("r.severity").alias("severity"),

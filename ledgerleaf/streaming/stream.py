@@ -1,54 +1,110 @@
 """Streams over the same tables: running counts, costs, deduplication, status changes, progress.
 
-Each function takes a streaming DataFrame and returns one; ``run_available``
-drives it over what there is and returns the final state as a batch table.
-Aggregates over event time carry a watermark, so that their state is bounded.
+Each ``stream_`` function takes a streaming DataFrame and returns one, save
+``status_feed``, which drives its own. ``run_available`` and ``run_updates``
+drive one over what there is, a file a batch if need be, and return the sink
+as a batch table. State is bounded: aggregates are kept by window of event
+time behind a watermark, deduplication has a watermark, page heads have a
+timer, and last statuses expire.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
+import json
+import threading
+import time
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ledgerleaf.sources.shared import shared_dir
-
+from ledgerleaf.sources.shared import new_folder, remove
 
 def read_stream(spark: SparkSession, path: str, files: int = 1000) -> DataFrame:
-    """A file stream with the schema of the batch table at ``path`` (a file or a folder of Parquet)."""
+    """A file stream with the schema of the batch table at ``path`` (a file or a folder of Parquet), ``files`` of them a batch."""
     schema = spark.read.parquet(path).schema
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(f"{path}*" if path.endswith(".parquet") else path)
 
 
-def run_available(stream: DataFrame, mode: str) -> DataFrame:
-    """Process what is available and return the sink's rows: all of them in append mode, the last state in complete mode."""
-    spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/ledgerleaf-stream-{uuid.uuid4().hex}"
+def in_files(rows: DataFrame, part: Column, parts: int) -> str:
+    """The folder of ``rows`` as one file for each of 0 to ``parts`` - 1, written in that order, which a file stream then follows."""
+    path = new_folder(rows.sparkSession, "feed")
+    for n in range(parts):
+        rows.where(part == n).coalesce(1).write.mode("append").parquet(path)
+        time.sleep(0.02)  # a stream takes files by their time
+    return path
+
+
+def run_available(stream: DataFrame, mode: str, timers: bool = False) -> DataFrame:
+    """Process what is available and return the sink's rows: all of them in append mode, the last state in complete mode.
+
+    A stream with ``timers`` on processing time would run batches without data for ever; these are left out.
+    """
+    base = new_folder(stream.sparkSession, "stream")
     out = f"{base}/out"
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={number}")
 
-    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    _drive(stream, mode, write, f"{base}/state", not timers)
+    return stream.sparkSession.read.schema(stream.schema).parquet(out).select(*stream.columns)
+
+
+def _drive(stream: DataFrame, mode: str, write: Callable[[DataFrame, int], None], state: str, idle_batches: bool = True) -> None:
+    conf, name = stream.sparkSession.conf, "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = conf.get(name)
+    conf.set(name, str(idle_batches).lower())
+    try:  # a query takes the session's settings as it starts
+        query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start()
+    finally:
+        conf.set(name, before)
     query.awaitTermination()
-    rows = spark.read.schema(stream.schema).parquet(out)
-    return rows.select(*stream.columns)
 
 
-def stream_counts(stream: DataFrame, keys: list[str]) -> DataFrame:
-    """Running counts by key; a partial result after each batch."""
-    return stream.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+def run_updates(stream: DataFrame) -> DataFrame:
+    """Every state of every key that changed, with the batch that wrote it and ``is_partial``, which only the last batch of all clears."""
+    spark = stream.sparkSession
+    base = new_folder(spark, "stream")
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+
+    _drive(stream, "update", write, f"{base}/state")
+    rows = spark.read.schema(f"{_ddl(stream)}, batch long").parquet(f"{base}/out")
+    last = rows.agg(F.max("batch")).first()[0]
+    return rows.withColumn("is_partial", F.col("batch") < F.lit(last))
+
+
+def _ddl(stream: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema)
+
+
+def final_state(states: DataFrame, keys: list[str]) -> DataFrame:
+    """The last state of each key; as no batch follows, it is not partial."""
+    rest = [c for c in states.columns if c not in (*keys, "batch", "is_partial")]
+    last = states.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("s"))
+    return last.select(*keys, "s.*", F.lit(False).alias("is_partial"))
+
+
+def windowed(stream: DataFrame, window: str, lateness: str) -> DataFrame:
+    """``stream`` with the window of event time of each row, behind a watermark."""
+    return stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness).withColumn("w", F.window("ts", window))
 
 
-def stream_cost(stream: DataFrame, rates: tuple[float, float, float], window: str = "1 day", lateness: str = "1 hour") -> DataFrame:
-    """Cost by document and window of event time."""
+def stream_counts(stream: DataFrame, keys: list[str], window: str = "1 day", lateness: str = "1 hour") -> DataFrame:
+    """Running counts by key and window of event time; a partial result after each batch. Needs ts."""
+    return windowed(stream, window, lateness).groupBy("w", *keys).agg(F.count(F.lit(1)).alias("n"))
+
+
+def stream_cost(stream: DataFrame, rates: tuple[float, float, float], window: str = "1 day", lateness: str = "1 hour", limit: float | None = None) -> DataFrame:
+    """Cost by document and window of event time, and whether it exceeds ``limit`` (never, where there is none)."""
     cost = (F.col("input_tokens") * rates[0] + F.col("output_tokens") * rates[1] + F.col("image_tokens") * rates[2]) / 1000000
-    own = stream.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
-    return own.groupBy("doc_id", F.window("ts", window).alias("w")).agg(F.sum(cost).alias("cost"), F.count(F.lit(1)).alias("n")).select("doc_id", F.col("w.start").alias("start"), "cost", "n")
+    summed = windowed(stream, window, lateness).groupBy("doc_id", "w").agg(F.sum(cost).alias("cost"), F.count(F.lit(1)).alias("n"))
+    over = F.lit(False) if limit is None else F.col("cost") > limit
+    return summed.select("doc_id", F.col("w.start").alias("start"), "cost", "n", over.alias("over_budget"))
 
 
 def stream_dedup(stream: DataFrame, keys: list[str], lateness: str = "40 days") -> DataFrame:
@@ -57,37 +113,109 @@ def stream_dedup(stream: DataFrame, keys: list[str], lateness: str = "40 days")
     return own.dropDuplicatesWithinWatermark(keys).select(*keys)
 
 
-def stream_status(stream: DataFrame) -> DataFrame:
-    """Status changes of each source: state holds the last status; rows of a batch are taken in order of time and id."""
-
-    def changes(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        before = rows["status"].shift(1)
-        before.iloc[0] = last
-        state.update((rows["status"].iloc[-1],))
-        out = rows[(before != rows["status"]).to_numpy()]
-        yield out[["source", "event_id", "status"]]
+def stream_progress(stream: DataFrame, window: str = "1 day", lateness: str = "1 hour") -> DataFrame:
+    """The latest stage of each document in each window of event time, with its time and id."""
+    at = F.struct("ts", "event_id")
+    return windowed(stream, window, lateness).groupBy("doc_id", "w").agg(F.max_by("stage", at).alias("stage"), F.max(at).alias("at"), F.count(F.lit(1)).alias("n_events"))
 
-    return stream.groupBy("source").applyInPandasWithState(changes, "source long, event_id long, status string", "status string", "append", GroupStateTimeout.NoTimeout)
 
+def status_feed(stream: DataFrame, keep: str = "INTERVAL 60 DAYS") -> DataFrame:
+    """Status changes of each source (source, event_id, status), from a stream of these and ts whose batches follow in time.
 
-def stream_context(stream: DataFrame, context: int = 2, head: int = 500) -> DataFrame:
-    """Each page with the heads of the pages before it in its document; state holds the last ``context`` heads. Pages of a batch are taken in order."""
+    A batch's rows are compared by ``lag``, which Spark sorts and spills, so that a hot source is no
+    one task's memory; only the last status of each source passes from batch to batch, as a table with a row a source.
+    A status that nothing follows for ``keep`` of event time is forgotten; the next one then counts as new.
+    """
+    spark = stream.sparkSession
+    base = new_folder(spark, "status")
+    schema = spark.createDataFrame([], "source long, ts timestamp, event_id long, status string").schema
 
+    def write(batch: DataFrame, number: int) -> None:
+        # a batch that is run again reads the state of the batch before it, so it writes the same
+        before = spark.read.schema(schema).parquet(f"{base}/state/{number - 1}") if number else spark.createDataFrame([], schema)
+        both = batch.select("source", "ts", "event_id", "status", F.lit(True).alias("new")).union(before.withColumn("new", F.lit(False)))
+        w = Window.partitionBy("source").orderBy("new", "ts", "event_id")
+        told = both.withColumns({"was": F.lag("status").over(w), "last_ts": F.lag("ts").over(w)})
+        fresh = F.col("was").isNull() | (F.col("was") != F.col("status")) | (F.col("ts") > F.col("last_ts") + F.expr(keep))
+        told.where(F.col("new") & fresh).select("source", "event_id", "status").write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+        last = both.groupBy("source").agg(F.max_by(F.struct("ts", "event_id", "status"), F.struct("new", "ts", "event_id")).alias("s")).select("source", "s.*")
+        now = batch.agg(F.max("ts").alias("now"))
+        alive = last.join(F.broadcast(now)).where(F.col("now").isNull() | (F.col("ts") + F.expr(keep) >= F.col("now"))).drop("now")
+        alive.write.mode("overwrite").parquet(f"{base}/state/{number}")
+        if number > 1:
+            remove(spark, f"{base}/state/{number - 2}")
+
+    _drive(stream, "append", write, f"{base}/checkpoint")
+    return spark.read.schema("source long, event_id long, status string").parquet(f"{base}/out").select("source", "event_id", "status")
+
+
+def stream_context(stream: DataFrame, context: int = 2, head: int = 500, live_ms: int = 3_600_000) -> DataFrame:
+    """Each page with the heads of the pages before it in its document; pages of a batch are taken in order, batches as they come.
+
+    State is a document's last ``context`` heads and when they came. It counts for ``live_ms``, and a
+    timer removes it then, if the document has no page in that time. Of a batch's pages a task holds the heads, never the texts.
+    """
     def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        heads = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values("page_number")
+        if state.hasTimedOut:
+            state.remove()
+            return
+        now = state.getCurrentProcessingTimeMs()
+        heads, came = state.get if state.exists else ([], now)
+        heads = list(heads) if now - came <= live_ms else []
+        cut = pd.concat([b[["page_number", "head"]] for b in batches]).sort_values("page_number", kind="stable")
         before = []
-        for text in rows["text"].fillna(""):
+        for text in cut["head"]:
             before.append("\n".join(heads))
-            heads = [*heads, text[:head]][-context:]
-        state.update((heads,))
-        yield rows.assign(context=before)[["doc_id", "page_number", "context"]]
+            heads = [*heads, text][-context:]
+        state.update((heads, now))
+        state.setTimeoutDuration(live_ms)
+        yield pd.DataFrame({"doc_id": key[0], "page_number": cut["page_number"].to_numpy(), "context": before})
+
+    own = stream.select("doc_id", "page_number", F.coalesce(F.substring("text", 1, head), F.lit("")).alias("head")).groupBy("doc_id")
+    return own.applyInPandasWithState(follow, "doc_id long, page_number int, context string", "heads array<string>, came long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+class ProgressTable(StreamingQueryListener):
+    """Writes a line of JSON for each batch of each query of a session: batch, rows in, milliseconds, rows of state.
+
+    ``with ProgressTable(spark) as progress:`` follows what runs inside; ``progress.table()`` is the table.
+    """
+
+    SCHEMA = "run string, batch long, input_rows long, duration_ms long, state_rows long"
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.path = spark, new_folder(spark, "progress")
+        self.open, self.idle = 0, threading.Condition()
+
+    def __enter__(self) -> ProgressTable:
+        self.spark.streams.addListener(self)
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        with self.idle:  # events come after the query has ended
+            self.idle.wait_for(lambda: not self.open, timeout=60)
+        self.spark.streams.removeListener(self)
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        with self.idle:
+            self.open += 1
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        p = event.progress
+        row = {"run": str(p.runId), "batch": p.batchId, "input_rows": p.numInputRows, "duration_ms": p.batchDuration, "state_rows": sum(s.numRowsTotal for s in p.stateOperators)}
+        jvm = self.spark._jvm
+        at = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{p.runId}-{p.batchId}.json")
+        out = at.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(at, True)
+        out.write(bytearray((json.dumps(row) + "\n").encode()))
+        out.close()
 
-    return stream.groupBy("doc_id").applyInPandasWithState(follow, "doc_id long, page_number int, context string", "heads array<string>", "append", GroupStateTimeout.NoTimeout)
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
 
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        with self.idle:
+            self.open -= 1
+            self.idle.notify_all()
 
-def stream_progress(stream: DataFrame) -> DataFrame:
-    """The latest stage of each document."""
-    return stream.groupBy("doc_id").agg(F.max_by("stage", F.struct("ts", "event_id")).alias("stage"), F.count(F.lit(1)).alias("n_events"))
+    def table(self) -> DataFrame:
+        return self.spark.read.schema(self.SCHEMA).json(self.path)

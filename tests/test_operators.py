@@ -123,13 +123,18 @@ def test_every_pattern_class_is_found_without_regard_to_case(spark):
 
 def test_offsets_of_a_long_line_are_the_lengths_before(spark):
     words = [("ab" * (i % 4)) for i in range(1000)]
-    line = spark.createDataFrame([(" ".join(words),), ("",), (None,)], "line string")
-    got = [r.w for r in line.select(views.placed_words(F.col("line")).alias("w")).collect()]
-    at = 0
-    for word, placed in zip(words, got[0], strict=True):
-        assert (placed.p, placed.s) == (at, word)
-        at += len(word) + 1
-    assert [(w.p, w.s) for w in got[1]] == [(0, "")] and not got[2]
+    lines = spark.createDataFrame([(1, " ".join(words)), (2, ""), (3, None), (4, " a  b "), (5, " ".join(words[:32])), (6, " ".join(words[:32]) + " ")], "n int, line string")
+    got = views.placed_words(lines).collect()
+    for n, line in [(1, words), (4, ["", "a", "", "b", ""]), (5, words[:32]), (6, [*words[:32], ""])]:
+        at = 0
+        own = sorted((r.token_idx, r.p, r.str) for r in got if r.n == n)
+        for i, word in enumerate(line):
+            if i < len(own):
+                assert own[i] == (i, at, word)
+            at += len(word) + 1
+        # a line that ends behind a full piece has no empty last word
+        assert len(own) == len(line) - (n == 6)
+    assert not [r for r in got if r.n in (2, 3)]
 
 
 def test_first_holding_takes_the_first_place_of_repeated_texts(spark):
@@ -157,3 +162,41 @@ def test_stale_items_by_reason(spark):
     items = spark.sql("select 1 as id, date'2010-01-01' as opened, true as negative, date'2012-01-01' as closed_on, date'2020-01-01' as inquired_on union all select 2, date'2010-01-01', false, null, null")
     assert [(r.id, r.reason) for r in detect.stale_items(items, "2021-06-01").collect()] == [(1, "old_negative")]
     assert {r.reason for r in detect.stale_items(items, "2023-06-01").collect()} == {"old_negative", "old_closed", "old_inquiry"}
+
+
+@pytest.mark.parametrize("q", [1, 3, 6])
+def test_first_holding_is_a_search_of_every_text(spark, q):
+    import random
+
+    rng = random.Random(q)
+    word = lambda: "".join(rng.choice("aAbB") for _ in range(rng.randrange(0, 12)))
+    found = [(rng.randrange(3), word(), n, rng.randrange(1, 4)) for n in range(150)]
+    wants = [(i, rng.randrange(4), word()[: rng.randrange(8)], rng.choice([None, 1, 2, 9])) for i in range(120)]
+    texts = spark.createDataFrame(found, "doc_id int, s string, n int, page_number int")
+    own = spark.createDataFrame(wants, "id int, doc_id int, want string, page_number int")
+    for blind in (False, True):
+        low = str.lower if blind else str
+        for hinted in (False, True):
+            got = locate.first_holding(own if hinted else own.drop("page_number"), texts, "s", ["n"], blind, q)
+            want = {}
+            for i, d, w, page in wants:
+                own_rows = [n for e, s, n, p in found if d == e and low(w) in low(s) and (not hinted or page in (None, p))]
+                if own_rows:
+                    want[i] = min(own_rows)
+            assert {r.id: r.n for r in got.collect()} == want
+
+
+def test_lines_of_a_dense_page(spark):
+    """A page of 6,000 tokens on 3,000 lines, and random heights, against the plain fold over all lines."""
+    import random
+
+    rng = random.Random(1)
+    page = [(1, 1, i, 20.0 * (i // 2)) for i in range(6000)]
+    loose = [(2, 1, i, rng.random() * 300) for i in range(400)]
+    got = {(r.doc_id, r.token_id): r.line for r in locate.group_lines(spark.createDataFrame(page + loose, "doc_id int, page_number int, token_id long, y double")).collect()}
+    assert all(got[1, i] == i // 2 for i in range(6000))
+    lines = []
+    for y, i in sorted((y, i) for _, _, i, y in loose):
+        at = next((k for k, (total, n) in enumerate(lines) if abs(total / n - y) <= 5), len(lines))
+        lines[at:] = [(lines[at][0] + y, lines[at][1] + 1), *lines[at + 1 :]] if at < len(lines) else [(y, 1)]
+        assert got[2, i] == at
