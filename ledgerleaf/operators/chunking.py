@@ -135,6 +135,12 @@ def entity_chunks(entities: DataFrame, pages: DataFrame, level: str) -> DataFram
     return own.groupBy("doc_id", "entity_id", "header", "disputed").agg(text.alias("body")).select("doc_id", "entity_id", F.lit(level).alias("level"), F.when(F.col("disputed"), "critical").otherwise("high").alias("priority"), F.concat_ws("\n", "header", "body").alias("text"))
 
 
+def complex_pages_only(chunks: DataFrame, pages: DataFrame, most_tables: int = 2) -> DataFrame:
+    """Table and region chunks of pages that need them: very complex ones, or with over ``most_tables`` tables. ``pages`` has doc_id, page_number, complexity and n_tables."""
+    hard = pages.where((F.col("complexity") == "very_complex") | (F.col("n_tables") > most_tables)).select("doc_id", "page_number").distinct()
+    return chunks.join(hard.hint("merge"), ["doc_id", "page_number"], "left_semi")
+
+
 def hierarchical_chunks(**levels: DataFrame) -> DataFrame:
     """All levels' chunks (doc_id, text, and page_number where the level has pages) numbered through in a document: levels in the order given, pages in order."""
     page = lambda df: F.col("page_number") if "page_number" in df.columns else F.lit(0)
@@ -199,7 +205,8 @@ def late_chunks(chunks: DataFrame, vectors: DataFrame, pages: DataFrame, table_w
     ``table_words``), starts_section (begins with one of ``starts``), continues (the one before ends in mid-sentence).
     """
     key = F.col("chunk_index").cast("long")
-    edges = chunks.select("doc_id", (2 * key).alias("offset_id"), F.col("start").alias("offset")).union(chunks.select("doc_id", 2 * key + 1, F.greatest(F.col("end") - 1, F.col("start"))))
+    ends = F.array(F.struct((2 * key).alias("offset_id"), F.col("start").alias("offset")), F.struct((2 * key + 1).alias("offset_id"), F.greatest(F.col("end") - 1, F.col("start")).alias("offset")))
+    edges = chunks.select("doc_id", F.explode(ends).alias("e")).select("doc_id", "e.*")
     at = page_at(edges, pages).withColumn("chunk_index", F.expr("cast(offset_id div 2 as int)"))
     at = at.groupBy("doc_id", "chunk_index").agg(F.min("page_number").alias("first_page"), F.max("page_number").alias("last_page"))
     low = F.lower("text")
@@ -207,7 +214,7 @@ def late_chunks(chunks: DataFrame, vectors: DataFrame, pages: DataFrame, table_w
     before = F.lag(F.rtrim("text")).over(Window.partitionBy("doc_id").orderBy("chunk_index"))
     flagged = chunks.withColumns({
         "has_table": any_of([F.contains(low, F.lit(w)) for w in table_words]), "starts_section": any_of([F.startswith(F.ltrim(low), F.lit(w)) for w in starts]),
-        "continues": before.isNotNull() & ~before.rlike("[.!?]$"),
+        "continues": before.isNotNull() & ~F.substring(before, -1, 1).isin(".", "!", "?"),
     })
     pooled = pool_slice(flagged.join(vectors.hint("merge"), "doc_id"))
     return pooled.join(at.hint("merge"), ["doc_id", "chunk_index"]).withColumn("page_numbers", F.sequence("first_page", "last_page")).drop("first_page", "last_page", "doc_vector", "total")

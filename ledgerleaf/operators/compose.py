@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerleaf.functions import text as t
@@ -58,10 +58,12 @@ def call_model(chunks: DataFrame, respond: Callable[[pd.Series], pd.Series]) ->
 
 
 def contextualize(chunks: DataFrame, neighbours: DataFrame, k: int = 3, head: int = 100) -> DataFrame:
-    """Chunk texts with their document, type, pages and the heads of up to ``k`` neighbours before them."""
+    """Chunk texts with their document (its title, if there is one), section, type, priority, pages and the heads of up to ``k`` neighbours before them; title, section_type and priority may be absent or null."""
     near = neighbours.join(chunks.select(F.col("chunk_id").alias("b"), F.substring("content", 1, head).alias("head")).hint("merge"), "b").where(F.col("rank") <= k)
     near = near.groupBy(F.col("a").alias("chunk_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "head"))), lambda x: x["head"]), "\n").alias("near"))
-    text = F.concat_ws("\n", F.concat(F.lit("Document: "), F.col("doc_id").cast("string")), F.concat(F.lit("Type: "), F.col("semantic_type")), F.concat(F.lit("Pages: "), F.array_join(F.transform("page_numbers", lambda p: p.cast("string")), ", ")), F.concat(F.lit("Related: "), F.col("near")), "content")
+    given = lambda c: F.col(c) if c in chunks.columns else F.lit(None).cast("string")
+    said = lambda label, value: F.concat(F.lit(f"{label}: "), value)
+    text = F.concat_ws("\n", said("Document", F.coalesce(given("title"), F.col("doc_id").cast("string"))), said("Section", given("section_type")), said("Type", F.col("semantic_type")), said("Priority", given("priority")), F.concat(F.lit("Pages: "), F.array_join(F.transform("page_numbers", lambda p: p.cast("string")), ", ")), F.concat(F.lit("Related: "), F.col("near")), "content")
     return chunks.join(near.hint("merge"), "chunk_id", "left").select("chunk_id", text.alias("contextual_text"))
 
 
@@ -150,7 +152,17 @@ def observed(df: DataFrame, name: str, **metrics: Column) -> tuple[DataFrame, Ob
     return df.observe(watch, F.count(F.lit(1)).alias("rows"), *[m.alias(n) for n, m in metrics.items()]), watch
 
 
-def write_artifacts(frames: dict[str, DataFrame], path: str, key: str = "document_id") -> None:
-    """Each table as Parquet under its name, partitioned by document."""
+def write_artifacts(frames: dict[str, DataFrame], path: str, key: str = "document_id", buckets: int = 64) -> None:
+    """Each table as Parquet under its name, in ``buckets`` folders by the hash of its document, so that a document is found in one of them and folders do not grow with the documents."""
     for name, df in frames.items():
-        df.write.partitionBy(key).parquet(f"{path}/{name}")
+        bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+        df.withColumn("bucket", bucket).repartition(buckets, "bucket").write.partitionBy("bucket").parquet(f"{path}/{name}")
+
+
+def read_artifact(spark: SparkSession, path: str, name: str, key: str | None = None, value: object = None, buckets: int = 64) -> DataFrame:
+    """An artifact table; with ``key`` and ``value``, that document's rows alone, from its folder."""
+    rows = spark.read.parquet(f"{path}/{name}")
+    if key is not None:
+        own = F.lit(value).cast(rows.schema[key].dataType)
+        rows = rows.where((F.col("bucket") == F.pmod(F.xxhash64(own), F.lit(buckets)).cast("int")) & (F.col(key) == own))
+    return rows.drop("bucket")

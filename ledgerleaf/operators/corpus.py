@@ -151,3 +151,15 @@ def table_to_text(page_tables: DataFrame) -> DataFrame:
     own = F.array_sort(F.collect_list(F.struct("line_no", F.array_join("cells", " | ").alias("row"))))
     rows = F.transform(own, lambda x: x["row"])
     return page_tables.groupBy("doc_id").agg(F.concat(F.lit("Headers: "), F.element_at(rows, 1), F.when(F.size(rows) > 1, F.concat(F.lit("\n"), F.array_join(F.slice(rows, F.lit(2), F.size(rows)), "\n"))).otherwise("")).alias("content"))
+
+
+#: A document's properties as its file names them, and as columns.
+METADATA = {"Title": "title", "Author": "author", "Subject": "subject", "Creator": "creator", "Producer": "producer", "CreationDate": "creation_date", "ModDate": "modification_date"}
+
+
+def doc_metadata(docs: DataFrame) -> DataFrame:
+    """The seven properties of each document from its map ``info``: five texts and two times; what is absent or no time is null. Times as 2024-01-31T12:00:00 or D:20240131120000."""
+    value = lambda key: F.col("info")[key]
+    digits = lambda key: F.substring(F.regexp_replace(value(key), "[^0-9]", ""), 1, 14)
+    time = lambda key: F.try_to_timestamp(digits(key), F.lit("yyyyMMddHHmmss")).cast("timestamp_ntz")
+    return docs.select("doc_id", *[(time(key) if name.endswith("_date") else value(key)).alias(name) for key, name in METADATA.items()])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,3 +99,57 @@ def check_extraction(docs: DataFrame, schema: str, count_col: str, list_col: str
     broken = F.when(F.col("p").isNull() | F.col(f"p.{list_col}").isNull(), F.lit("missing_list"))
     wrong = F.when(F.col(f"p.{count_col}") != F.size(f"p.{list_col}"), F.lit("count_mismatch"))
     return own.select("id", F.explode(F.array_compact(F.array(broken, wrong))).alias("violation"))
+
+
+@dataclass(frozen=True)
+class ExtractionSpec:
+    """What an extracted document has to look like: its keys, the shape of its accounts, and what must agree."""
+
+    #: The names and sizes of the extraction format.
+    keys: tuple[str, ...] = ("reportConfirmationDetails", "personalInformation", "summary", "creditAccountsSummary", "otherItemsSummary", "accounts", "collections", "inquiries")
+    histories: tuple[str, ...] = ("balanceHistory", "scheduledPaymentHistory", "actualPaymentHistory", "creditLimitHistory", "amountPastDueHistory", "activityDesignatorHistory")
+    months: tuple[str, ...] = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+    years: int = 3
+    codes: int = 36
+    order: tuple[str, ...] = ("Revolving", "Mortgage", "Installment", "Other", "Total")
+    #: (holder, list, count): the count a holder states for one of its lists.
+    counts: tuple[tuple[str, str, str], ...] = (("otherItemsSummary", "inquiries", "inquiryCount"), ("otherItemsSummary", "publicRecords", "publicRecordCount"), ("collections", "collections", "collectionCount"))
+    #: At most four digits of an identifier may be seen.
+    masked: str = "^[^0-9]*[0-9]{0,4}$"
+
+
+def check_conformance(docs: DataFrame, spec: ExtractionSpec = ExtractionSpec()) -> DataFrame:
+    """(id, violation, path): one row for each way in which a document's JSON is not as ``spec`` says. Needs id and json.
+
+    Violations: invalid_json, missing_key, extra_key, wrong_order (of account types), count_mismatch, history_shape
+    (not ``years`` rows of a year and twelve months), code_count and unmasked_id. Values are read as maps of raw JSON, so that unknown keys are seen.
+    """
+    listed = lambda values: F.array(*[F.lit(v) for v in values])
+    say = lambda kind, path: F.struct(F.lit(kind).alias("violation"), path.alias("path"))
+    raw, rows = "map<string,string>", "array<map<string,string>>"
+    own = docs.select("id", F.from_json("json", raw).alias("top"))
+    fine = own.where(F.col("top").isNotNull())
+    keys = F.map_keys("top")
+    lost = F.transform(F.array_except(listed(spec.keys), keys), lambda k: say("missing_key", F.concat(F.lit("$."), k)))
+    more = F.transform(F.array_except(keys, listed(spec.keys)), lambda k: say("extra_key", F.concat(F.lit("$."), k)))
+    kinds = F.transform(F.from_json(F.col("top")["creditAccountsSummary"], rows), lambda x: x["accountType"])
+    single = [F.when(F.coalesce(kinds != listed(spec.order), F.array_contains(keys, "creditAccountsSummary")), say("wrong_order", F.lit("$.creditAccountsSummary")))]
+    for holder, items, count in spec.counts:
+        held = F.from_json(F.col("top")[holder], raw)
+        size = F.coalesce(F.size(F.from_json(held[items], "array<string>")), F.lit(0))
+        single.append(F.when(held.isNotNull() & ~held[count].try_cast("int").eqNullSafe(size), say("count_mismatch", F.lit(f"$.{holder}.{count}"))))
+    ssn = F.from_json(F.col("top")["personalInformation"], raw)["socialSecurityNumber"]
+    single.append(F.when(~ssn.rlike(spec.masked), say("unmasked_id", F.lit("$.personalInformation.socialSecurityNumber"))))
+    whole = fine.select("id", F.explode(F.concat(lost, more, F.array_compact(F.array(*single)))).alias("v"))
+    each = fine.select("id", F.posexplode(F.from_json(F.col("top")["accounts"], rows)).alias("at", "account"))
+    place = lambda key: F.concat(F.lit("$.accounts["), F.col("at").cast("string"), F.lit(f"].{key}"))
+    inner = [F.when(~F.coalesce(F.col("account")["accountNumber"], F.lit("")).rlike(spec.masked), say("unmasked_id", place("accountNumber")))]
+    inner.append(F.when(F.coalesce(F.size(F.from_json(F.col("account")["paymentHistory"], "array<string>")), F.lit(-1)) != spec.codes, say("code_count", place("paymentHistory"))))
+    row_keys = F.array_sort(listed(("year", *spec.months)))
+    for name in spec.histories:
+        years = F.from_json(F.col("account")[name], rows)
+        good = (F.size(years) == spec.years) & F.forall(years, lambda y: F.array_sort(F.map_keys(y)) == row_keys)
+        inner.append(F.when(~F.coalesce(good, F.lit(False)), say("history_shape", place(name))))
+    accounts = each.select("id", F.explode(F.array_compact(F.array(*inner))).alias("v"))
+    broken = own.where(F.col("top").isNull()).select("id", say("invalid_json", F.lit("$")).alias("v"))
+    return broken.union(whole).union(accounts).select("id", "v.violation", "v.path")

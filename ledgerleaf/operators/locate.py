@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerleaf.functions.text import normalize_anchor
+from ledgerleaf.operators.corpus import classify_table
 from ledgerleaf.sources.shared import written
 
 
@@ -214,3 +215,33 @@ def table_runs(rows: DataFrame, least_cells: int = 3, least_rows: int = 2) -> Da
     flag = F.col("n_cells") >= least_cells
     grouped = rows.withColumn("run", F.sum(F.when(flag, 0).otherwise(1)).over(w)).where(flag)
     return grouped.groupBy("doc_id", "run").agg(F.count(F.lit(1)).alias("n_rows"), F.min("row_no").alias("header_row"), F.max("row_no").alias("last_row")).where(F.col("n_rows") >= least_rows).drop("run")
+
+
+def detect_tables(tokens: DataFrame, gap: float = 20.0, tol: float = 5.0, least_cells: int = 3, least_rows: int = 2) -> DataFrame:
+    """The tables of pages: doc_id, page_number, header_y, n_rows, n_columns, header, cells and table_type.
+
+    Tokens become rows by their y (``group_rows``); in a row, a distance of over ``gap`` from the furthest end so far begins a cell.
+    Maximal runs of rows with enough cells are tables, the first row being the header. Columns are the
+    sessions of a table's sorted cell edges: one begins where no cell of any row reaches within ``gap``. Needs doc_id, page_number, token_id, x, y, width and str.
+    """
+    page = ["doc_id", "page_number"]
+    rows = tokens.join(group_rows(tokens, tol).hint("merge"), [*page, "token_id"]).withColumn("end", F.col("x") + F.col("width"))
+
+    def sessions(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy("x", "end")
+        far = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+        return df.withColumn("_new", F.when(far.isNull() | (F.col("x") - far > gap), 1).otherwise(0)).withColumn(name, F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1).drop("_new")
+
+    row = [*page, "row_y"]
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "token_id", "str"))), lambda t: t["str"]), " ")
+    cells = sessions(rows, row, "cell").groupBy(*row, "cell").agg(text.alias("text"), F.min("x").alias("x"), F.max("end").alias("end"))
+    line = Window.partitionBy(*page).orderBy("row_y")
+    sized = cells.groupBy(*row).agg(F.array_sort(F.collect_list(F.struct("cell", "text", "x", "end"))).alias("cells"))
+    few = F.sum(F.when(F.size("cells") >= least_cells, 0).otherwise(1)).over(line)
+    runs = sized.withColumn("run", few).where(F.size("cells") >= least_cells)
+    table = [*page, "run"]
+    edges = sessions(runs.select(*table, F.explode("cells").alias("c")).select(*table, "c.x", "c.end"), table, "column").groupBy(*table).agg((F.max("column") + 1).cast("int").alias("n_columns"))
+    found = runs.groupBy(*table).agg(F.array_sort(F.collect_list(F.struct("row_y", F.transform("cells", lambda c: c["text"]).alias("texts")))).alias("rows")).where(F.size("rows") >= least_rows)
+    out = found.join(edges.hint("merge"), table).withColumn("cells", F.flatten(F.transform("rows", lambda r: r["texts"])))
+    first = F.element_at("rows", 1)
+    return classify_table(out).select(*page, first["row_y"].alias("header_y"), F.size("rows").alias("n_rows"), "n_columns", first["texts"].alias("header"), "cells", "table_type")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,11 +24,11 @@ RULES = [
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(rows, "doc_id") if name == "documents" else rows
+    return spread(rows) if name == "documents" else rows
 
 
-def spread(rows: DataFrame, key: str) -> DataFrame:
-    """``rows`` dealt out by ``key`` to all cores, if their files are so small that Spark would read them in fewer tasks than there are cores; else as they are."""
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt out to all cores, if their files are so small that Spark would read them in fewer tasks than there are cores; else as they are."""
     spark = rows.sparkSession
     cores = spark.sparkContext.defaultParallelism
     size = 0
@@ -34,12 +36,26 @@ def spread(rows: DataFrame, key: str) -> DataFrame:
         path = spark._jvm.org.apache.hadoop.fs.Path(name)
         size += path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).getLen()
     split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    return rows.repartition(cores, key) if size < cores * split else rows
+    return rows.repartition(cores) if size < cores * split else rows
 
 
 def read_pages(spark: SparkSession, paths: str | list[str], fmt: str = "parquet") -> DataFrame:
-    """A page corpus from one path or many, with the file each row came from. Parquet or JSON lines."""
-    return spark.read.schema(PAGES).format(fmt).load(paths).select("*", F.col("_metadata.file_path").alias("source_file"))
+    """A page corpus from one path or many, globs too, with the file each row came from. Parquet, or JSON lines, CSV and XML.
+
+    A row that cannot be read stays, with nulls in its fields and its text in ``bad_record``, which is null in all others.
+    """
+    reader = spark.read.format(fmt)
+    if fmt in ("parquet", "orc"):
+        rows = reader.schema(PAGES).load(paths).withColumn("bad_record", F.lit(None).cast("string"))
+    else:
+        schema = T.StructType([*PAGES.fields, T.StructField("bad_record", T.StringType())])
+        rows = reader.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "bad_record").load(paths)
+    return rows.select(*PAGES.names, "bad_record", F.col("_metadata.file_path").alias("source_file"))
+
+
+def read_corpus(spark: SparkSession, sources: dict[str, list[str]]) -> DataFrame:
+    """The pages of several formats' paths as one corpus (``read_pages`` of each)."""
+    return reduce(DataFrame.unionByName, [read_pages(spark, paths, fmt) for fmt, paths in sources.items()])
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:

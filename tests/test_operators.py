@@ -200,3 +200,53 @@ def test_lines_of_a_dense_page(spark):
         at = next((k for k, (total, n) in enumerate(lines) if abs(total / n - y) <= 5), len(lines))
         lines[at:] = [(lines[at][0] + y, lines[at][1] + 1), *lines[at + 1 :]] if at < len(lines) else [(y, 1)]
         assert got[2, i] == at
+
+
+def test_hyperplane_index_finds_pairs_above_the_threshold(spark):
+    """Of pairs at a cosine of about the threshold, 0.95 at least are found; every row found is right; the exact way finds all."""
+    import numpy as np
+
+    from ledgerleaf.operators import embed
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(150):
+        x = rng.normal(size=32)
+        y = rng.normal(size=32)
+        y -= x * (x @ y) / (x @ x)
+        c = rng.uniform(0.8, 0.9)
+        near = c * x / np.linalg.norm(x) + np.sqrt(1 - c * c) * y / np.linalg.norm(y)
+        rows += [(2 * i, i % 2, x.tolist()), (2 * i + 1, i % 2, near.tolist())]
+    rows += [(900, 0, None), (901, 0, []), (902, 0, [0.0] * 32), (903, 0, [float("nan")] * 32), (904, 0, [1.0, 2.0]), (905, 0, [1.0, 2.0])]
+    chunks = spark.createDataFrame(rows, "chunk_id long, doc_id int, embedding array<double>")
+    exact = {(r.a, r.b) for r in embed.similar_pairs(chunks.where("chunk_id < 900 or chunk_id > 903"), 0.8, exact=True).collect()}
+    found = [(r.a, r.b) for r in embed.similar_pairs(chunks, 0.8, recall=0.999).collect()]
+    assert len(found) == len(set(found)) and set(found) <= exact and (904, 905) in exact and len(exact) >= 140
+    assert len(found) >= 0.95 * len(exact)
+    bits, tables = embed.lsh_plan(0.8, 0.999, 1e6)
+    agree = (1 - np.arccos(0.8) / np.pi) ** bits
+    assert 1 - (1 - agree) ** tables >= 0.999 and tables / 2**bits < 0.05
+
+
+def test_conformance_of_broken_and_odd_documents(spark):
+    from ledgerleaf.operators import detect
+
+    rows = [(1, None), (2, "{"), (3, "[]"), (4, "{}"), (5, '{"collections": {"collections": ["a"], "collectionCount": "one"}, "accounts": [{}]}')]
+    got = {}
+    for r in detect.check_conformance(spark.createDataFrame(rows, "id int, json string")).collect():
+        got.setdefault(r.id, set()).add((r.violation, r.path))
+    assert got[1] == got[2] == {("invalid_json", "$")}
+    assert got[4] == {("missing_key", f"$.{k}") for k in detect.ExtractionSpec().keys}
+    assert ("count_mismatch", "$.collections.collectionCount") in got[5] and ("code_count", "$.accounts[0].paymentHistory") in got[5]
+    assert sum(v == "history_shape" for v, _ in got[5]) == 6 and ("unmasked_id", "$.accounts[0].accountNumber") not in got[5]
+
+
+def test_an_artifact_is_read_from_one_folder(spark, tmp_path):
+    from ledgerleaf.operators import compose
+
+    rows = spark.createDataFrame([(i, f"t{i}") for i in range(300)], "document_id long, t string")
+    compose.write_artifacts({"x": rows}, f"file://{tmp_path}", buckets=8)
+    assert len([p for p in (tmp_path / "x").iterdir() if p.name.startswith("bucket=")]) == 8
+    own = compose.read_artifact(spark, f"file://{tmp_path}", "x", "document_id", 7, buckets=8)
+    assert [tuple(r) for r in own.collect()] == [(7, "t7")] and len(own.inputFiles()) >= 1
+    assert compose.read_artifact(spark, f"file://{tmp_path}", "x").count() == 300
