@@ -4,19 +4,19 @@ Seeds: of the hashes of all runs of ``SEED`` words, the least in each window
 is an anchor, so two equal windows hold the same anchors at the same places.
 Documents are joined on anchors; those that occur once end here.
 
-Extend: what is left meets by anchor. Each occurrence carries the words on
-both sides as far as a window reaches. For every place of the anchor in a
-window, the occurrences are sorted by the window's words and each is compared,
-word by word, with its neighbour; the places that match are the match's
-extension to either side. The union of all of them, merged where they
-overlap, is the set of maximal repeats over the length threshold. Work follows
-the number of occurrences, not of pairs. An anchor with more than ``HOT``
-occurrences does not fit a task; there, windows are told apart by hash. Those
-that occur more than ``HOT`` times are found by partial sums, are few, and mark
-their occurrences where they stand; all others are dealt by hash and counted.
-
-Words are compared by 32-bit codes, so a window by 32 bits a word; hashes of
-64 bits only sort, and decide on hot anchors.
+Extend: each occurrence of a shared anchor is extended both ways over the
+windows whose least seed it is: a stretch of words. Equal stretches meet
+first; a stretch that occurs again is settled as a whole. Of those that occur
+once the reach of the match is found window by window, against one of each
+group of equal stretches and all single ones. The union of what matches,
+merged where it overlaps, is the set of maximal repeats over the length
+threshold.
+
+Only whether a stretch or window occurs again matters, so copies that meet in
+one task are settled there, and one row stands for them in the shuffle. A key
+of any number of copies so costs a task one row for each ``CHUNK`` rows of
+others, and there is one way for all of them. Stretches and windows are told
+apart by 128 bits of hash.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerleaf.llm import bytewords as bw
@@ -35,10 +35,9 @@ from ledgerleaf.llm.staging import drop, free_shuffles, staged
 _U = np.uint64
 #: Words of a seed: long enough that chance repeats are rare, short enough that anchors are few.
 SEED = 14
-#: Occurrences of an anchor that are extended in one task; anchors, and windows, looked up by broadcast as hot ones, at most.
-HOT, MOST_HOT = 8192, 100_000
-#: Occurrences that a task extends at a time, about.
+#: Rows among which a task looks for copies at a time.
 CHUNK = 50_000
+_KEYED = pa.schema([("m_row", pa.int64()), ("start", pa.int32()), ("end", pa.int32()), ("k1", pa.int64()), ("k2", pa.int64()), ("n", pa.int8()), ("inner", pa.binary())])
 
 
 def _anchors(values: np.ndarray, first: np.ndarray, window: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,47 +69,98 @@ def _hashed(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return data, start, end, first, bw.hash_spans(data, start, end)
 
 
-def extend(codes: np.ndarray, h: np.ndarray, left: np.ndarray, right: np.ndarray, window: int, seed: int) -> np.ndarray:
-    """For each occurrence of an anchor, at which places of a window that holds it the window occurs again: (occurrences, window - seed + 1).
+def _stretches(values: np.ndarray, first: np.ndarray, marks: pa.Array, window: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first window, number of windows) of each run of windows in one row that have the same least seed, if that is in the row's ``marks``."""
+    whole = _inside(first, window, len(values))
+    if not whole.any():
+        return (np.zeros(0, np.int64),) * 3
+    width = window - seed + 1
+    at = np.flatnonzero(whole)
+    least = bw.sliding(bw.hash_runs(values, seed), width, True)[at]
+    row = np.searchsorted(first, at, side="right") - 1
+    pair = lambda r, x: bw.mix(x + bw.MULTIPLIER * r.astype(np.uint64))
+    size = np.where(marks.is_valid().to_numpy(zero_copy_only=False), marks.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), 0)
+    hit = np.isin(pair(row, least), pair(np.repeat(np.arange(len(size)), size), marks.flatten().to_numpy().view(np.uint64)))
+    at, least, row = at[hit], least[hit], row[hit]
+    new = np.append(True, (np.diff(at) != 1) | (np.diff(row) != 0) | (least[1:] != least[:-1])) if len(at) else np.zeros(0, bool)
+    place = np.arange(len(at)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+    begin = np.flatnonzero(place % width == 0)  # equal seeds in a row would make a stretch of any length
+    return row[begin], at[begin], np.diff(np.append(begin, len(at)))
+
+
+def _stretch_keys(hashes: np.ndarray, at: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """A hash of ``m`` consecutive window hashes from each place of ``at`` on."""
+    total = np.zeros(len(hashes) + 1, np.uint64)
+    np.cumsum(hashes * bw.powers(bw.MULTIPLIER, len(hashes)), dtype=np.uint64, out=total[1:])
+    return bw.mix((total[at + m] - total[at]) * bw.powers(bw.INVERSE, len(hashes) + 1)[at] + m.astype(np.uint64))
+
+
+def _keyed(row: pa.Array, start: np.ndarray, end: np.ndarray, k1: np.ndarray, k2: np.ndarray, n: np.ndarray, inner: pa.Array | None = None) -> pa.RecordBatch:
+    ints = [pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(n.astype(np.int8))]
+    return pa.RecordBatch.from_arrays([row, *ints, inner if inner is not None else pa.nulls(len(start), pa.binary())], schema=_KEYED)
 
-    ``codes`` holds the words around each anchor, ``left`` and ``right`` how
-    many of those belong to the row.
+
+def _told(rows: pa.Table) -> tuple[pa.Table, pa.Table]:
+    """(spans that occur again, one row for each key in order): n is the number of copies, at most 2; a row with n of 2 stands for rows that are settled.
+
+    Rows without a key are spans that were settled before, and pass.
     """
-    key, inside = _window_keys(codes, h, left, right, window, seed)
-    room = window - seed
-    out = np.zeros(key.shape, bool)
-    for o in range(room + 1):
-        own = np.flatnonzero(inside[:, o])
-        order = np.argsort(key[own, o], kind="stable")
-        own = own[order]
-        near = np.flatnonzero(key[own[1:], o] == key[own[:-1], o])
-        a, b = own[near], own[near + 1]
-        words = slice(room - o, room - o + window)
-        same = (h[a] == h[b]) & (codes[a, words] == codes[b, words]).all(axis=1)
-        out[a[same], o] = out[b[same], o] = True
-    return out
-
-
-def _window_keys(codes: np.ndarray, h: np.ndarray, left: np.ndarray, right: np.ndarray, window: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of the window that holds the anchor at each place, does that window lie inside its row?): (occurrences, window - seed + 1) each."""
-    room = window - seed
-    total = np.zeros((len(codes), codes.shape[1] + 1), np.uint64)
-    np.cumsum(codes * bw.powers(bw.MULTIPLIER, codes.shape[1])[None, :], axis=1, dtype=np.uint64, out=total[:, 1:])
-    place = np.arange(room + 1)
-    # a window's sum starts at the power of its place, so equal windows have equal sums at equal places only; the place is hashed with them
-    key = bw.mix(total[:, room - place + window] - total[:, room - place] + (h * bw.MULTIPLIER)[:, None] + bw.mix(place.astype(np.uint64))[None, :])
-    return key, (place[None, :] <= left[:, None]) & (room - place[None, :] <= right[:, None])
-
-
-def _intervals(places: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(occurrence, start, end) of each run of matching places: the words that those windows cover."""
-    edge = np.diff(np.pad(places.astype(np.int8), ((0, 0), (1, 1))), axis=1)
-    who, low = np.nonzero(edge == 1)
-    _, high = np.nonzero(edge == -1)
-    return who, at[who] - high + 1, at[who] - low + window
-
-
-def repeated_spans(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, hot: int = HOT, unique: bool = False) -> DataFrame:
+    done = rows.filter(rows.column("k1").is_null())
+    rows = rows.filter(rows.column("k1").is_valid()).combine_chunks()
+    if not rows.num_rows:
+        return done, rows
+    k1, k2, n = (rows.column(c).to_numpy() for c in ("k1", "k2", "n"))
+    order = np.lexsort((k2, k1))
+    new = np.append(True, (np.diff(k1[order]) != 0) | (np.diff(k2[order]) != 0))
+    total = np.add.reduceat(n[order].astype(np.int64), np.flatnonzero(new))
+    again = order[(n[order] == 1) & (total[np.cumsum(new) - 1] > 1)]
+    spans = rows.select(["m_row", "start", "end"]).take(pa.array(again))
+    for name in ("k1", "k2", "n", "inner"):
+        spans = spans.append_column(_KEYED.field(name), pa.nulls(len(again), _KEYED.field(name).type))
+    one = rows.take(pa.array(order[new])).set_column(5, _KEYED.field("n"), pa.array(np.minimum(total, 2).astype(np.int8)))
+    return pa.concat_tables([done, spans]), one
+
+
+def _combined(parts: Iterator[pa.RecordBatch], chunk: int) -> Iterator[pa.RecordBatch]:
+    """Before a shuffle: settles the copies that meet among ``chunk`` rows, and leaves one row for them."""
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += part.num_rows
+        if size >= chunk:
+            done, rest = _told(pa.Table.from_batches(held, _KEYED))
+            yield from done.to_batches()
+            held, size = rest.to_batches(), rest.num_rows
+            if 2 * size > chunk:
+                yield from held
+                held, size = [], 0
+    if held:
+        for table in _told(pa.Table.from_batches(held, _KEYED)):
+            yield from table.to_batches()
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, pa.Table]]:
+    """After a shuffle, rows in the order of their keys: (spans that occur again, one row for each key), the last key held back until it is whole."""
+    last = _KEYED.empty_table()
+    for batch in batches:
+        done, rest = _told(pa.concat_tables([last, pa.Table.from_batches([batch]).cast(_KEYED)]))
+        last = rest.slice(max(rest.num_rows - 1, 0))
+        yield done, rest.slice(0, max(rest.num_rows - 1, 0))
+    yield _KEYED.empty_table(), last
+
+
+def _windows(stretches: pa.Table, window: int) -> pa.RecordBatch:
+    """A row for each window of each stretch."""
+    inner = stretches.column("inner").to_pylist()
+    m = np.array([len(x) // 16 for x in inner], np.int64)
+    keys = np.frombuffer(b"".join(inner), np.uint64).reshape(-1, 2)
+    which = np.repeat(np.arange(len(m)), m)
+    start = stretches.column("start").to_numpy()[which] + np.arange(len(which)) - np.repeat(np.cumsum(m) - m, m)
+    row, n = stretches.column("m_row").to_numpy()[which], stretches.column("n").to_numpy()[which]
+    return _keyed(pa.array(row), start, start + window, np.ascontiguousarray(keys[:, 0]), np.ascontiguousarray(keys[:, 1]), n)
+
+
+def repeated_spans(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, chunk: int = CHUNK, unique: bool = False) -> DataFrame:
     """One row per row of ``docs``: id, text_hash, text, n_words and repeats, (start, end) word ranges that may overlap.
 
     A word range belongs to a repeat if a window of ``window`` words that
@@ -122,7 +172,6 @@ def repeated_spans(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     seed = min(seed, window)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), (F.lit(0).cast("long") if unique else F.xxhash64(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
-    room = window - seed
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bw.slices(batches, "text"):
@@ -145,110 +194,68 @@ def repeated_spans(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     def context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bw.slices(batches, "text"):
             data, start, end, first, values = _hashed(batch.column("text"))
-            marks = batch.column("marks")
-            size = np.where(marks.is_valid().to_numpy(zero_copy_only=False), marks.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), 0)
-            at, h = _anchors(values, first, window, seed)
-            row = np.searchsorted(first, at, side="right") - 1
-            pair = lambda r, x: bw.mix(x + bw.MULTIPLIER * r.astype(np.uint64))
-            hit = np.isin(pair(row, h), pair(np.repeat(np.arange(len(size)), size), marks.flatten().to_numpy().view(np.uint64)))
-            at, h, row = at[hit], h[hit], row[hit]
-            left, right = np.minimum(at - first[row], room), np.minimum(first[row + 1] - at - seed, room)
-            code = np.pad((values >> _U(32)).astype(np.uint32), room)
-            around = np.lib.stride_tricks.sliding_window_view(code, window + room)[at] if len(at) else np.zeros((0, window + room), np.uint32)
-            width = 4 * (window + room)
-            around = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.arange(0, width * (len(at) + 1), width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(around).tobytes())])
+            row, at, m = _stretches(values, first, batch.column("marks"), window, seed)
             cut = np.searchsorted(row, np.arange(len(first)))
-            listed = lambda x: pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), x)  # noqa: B023, E731
+            listed = lambda x: pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(x.astype(np.int32)))  # noqa: B023, E731
             busy = cut[1:] > cut[:-1]
             text, s, e = bw.normalised(data, start, end)
             plain = [None if b else hashlib.sha256(text[s[i] : e[j - 1]] if j > i else b"").hexdigest() for b, i, j in zip(busy.tolist(), first[:-1].tolist(), first[1:].tolist(), strict=True)]
             texts = batch.column("text").take(pa.array(np.arange(len(busy)), mask=~busy))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("text_hash"), texts, pa.array(np.diff(first)), pa.array(plain, pa.string()),
-                 listed(pa.array((at - first[row]).astype(np.int32))), listed(pa.array(left.astype(np.int8))), listed(pa.array(right.astype(np.int8))), listed(pa.array(h.view(np.int64))), listed(around)],
-                ["id", "text_hash", "text", "n_words", "kept_sha256", "place", "left", "right", "h", "words"],
-            )
+                [batch.column("id"), batch.column("text_hash"), texts, pa.array(np.diff(first)), pa.array(plain, pa.string()), listed(at - first[row]), listed(m)],
+                ["id", "text_hash", "text", "n_words", "kept_sha256", "at", "m"],
+            )
 
     same = F.col("id").eqNullSafe(F.col("m_id")) & (F.col("text_hash") == F.col("m_hash"))
     joined = rows.join(marks.hint("merge"), same, "left").select("id", "text_hash", "text", "marks")
-    ext = joined.mapInArrow(context, f"id {kind}, text_hash long, text string, n_words long, kept_sha256 string, place array<int>, left array<byte>, right array<byte>, h array<long>, words array<binary>")
-    # once written, a row has a number of its own, which occurrences carry in place of id and hash
+    ext = joined.mapInArrow(context, f"id {kind}, text_hash long, text string, n_words long, kept_sha256 string, at array<int>, m array<int>")
+    # once written, a row has a number of its own, which stretches carry in place of id and hash
     ext = staged(ext.withColumn("row", F.monotonically_increasing_id()), "contexts")
     drop(found)
     drop(shared)
     free_shuffles(docs.sparkSession)
-    zipped = F.explode(F.arrays_zip("place", "left", "right", "h", "words")).alias("x")
-    each = ext.where(F.size("place") > 0).select("row", zipped).select("row", "x.*")
-    counts = each.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    total = ext.agg(F.coalesce(F.sum(F.size("place")), F.lit(0))).first()[0]
-    large = staged(counts.where(F.col("n") > max(hot, total // MOST_HOT)).select("h", F.lit(True).alias("hot")), "hot_anchors")
-    each = each.join(F.broadcast(large), "h", "left")
-
-    def matches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        size = 0
-
-        def work(final: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, size
-            table = pa.Table.from_batches(held).combine_chunks()
-            h = table.column("h").to_numpy()
-            cut = len(h) if final else int(np.searchsorted(h, h[-1]))
-            held, size = table.slice(cut).to_batches(), len(h) - cut
-            if cut:
-                table = table.slice(0, cut)
-                row, place, left, right = (table.column(c).to_numpy() for c in ("row", "place", "left", "right"))
-                codes = np.frombuffer(b"".join(table.column("words").to_pylist()), np.uint32).reshape(cut, window + room)
-                who, start, end = _intervals(extend(codes, h[:cut].view(np.uint64), left, right, window, seed), place, window)
-                if len(who):
-                    yield pa.RecordBatch.from_arrays([pa.array(row[who]), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], ["m_row", "start", "end"])
-
-        for batch in batches:
-            if batch.num_rows:
-                held.append(batch)
-                size += batch.num_rows
-            if size >= CHUNK:
-                yield from work(False)
-        if held:
-            yield from work(True)
-
-    dealt = each.where("hot is null").select("h", "row", "place", "left", "right", "words").repartition("h").sortWithinPartitions("h")
-    hits = staged(dealt.mapInArrow(matches, "m_row long, start int, end int"), "matches")
-    free_shuffles(docs.sparkSession)
-    if large.head(1):
-        hot_ones = each.where("hot").select("h", "row", "place", "left", "right", "words")
-
-        def keyed(batches: Iterator[pa.RecordBatch], full: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-            """Without ``full``, the hash of each window over an anchor; else spans of the windows in ``full``, and the other windows with their hash."""
-            for batch in batches:
-                for low in range(0, batch.num_rows, CHUNK):
-                    part = batch.slice(low, CHUNK)
-                    h, row, place, left, right = (part.column(c).to_numpy() for c in ("h", "row", "place", "left", "right"))
-                    codes = np.frombuffer(b"".join(part.column("words").to_pylist()), np.uint32).reshape(len(h), window + room)
-                    key, inside = _window_keys(codes, h.view(np.uint64), left, right, window, seed)
-                    if full is None:
-                        yield pa.RecordBatch.from_arrays([pa.array(key[inside].view(np.int64))], ["w"])
-                        continue
-                    known = inside & np.isin(key, full)
-                    who, start, end = _intervals(known, place, window)
-                    r, o = np.nonzero(inside & ~known)
-                    begin = place[r] - o
-                    both = (np.concatenate([row[who], row[r]]), np.concatenate([start, begin]).astype(np.int32), np.concatenate([end, begin + window]).astype(np.int32))
-                    w = np.concatenate([np.zeros(len(who), np.int64), key[r, o].view(np.int64)])
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, both), pa.array(w, mask=np.arange(len(w)) < len(who))], ["m_row", "start", "end", "w"])
-
-        often = hot_ones.mapInArrow(lambda b: keyed(b, None), "w long").groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-        often = often.where(F.col("n") > max(hot, (room + 1) * total // MOST_HOT)).select("w").toPandas()["w"]
-        full = np.sort(often.to_numpy(np.int64).view(np.uint64))
-        spans = staged(hot_ones.mapInArrow(lambda b: keyed(b, full), "m_row long, start int, end int, w long"), "hot_spans")
-        free_shuffles(docs.sparkSession)
-        rest = spans.where("w is not null").withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("w"))).where("n > 1")
-        hits = hits.union(spans.where("w is null").drop("w")).union(rest.select("m_row", "start", "end"))
-    hits = hits.groupBy("m_row").agg(F.collect_set(F.struct("start", "end")).alias("repeats"))
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[pa.RecordBatch]:
+            for batch in bw.slices(batches, "text"):
+                _, _, _, first, values = _hashed(batch.column("text"))
+                one, two = bw.hash_runs(values, window), bw.hash_runs(bw.mix(values ^ bw.MULTIPLIER), window)
+                count = batch.column("at").value_lengths().to_numpy()
+                at, m = (batch.column(c).flatten().to_numpy().astype(np.int64) for c in ("at", "m"))
+                place = at + np.repeat(first[:-1], count)
+                inside, begin = bw.spans(place, place + m)
+                pairs = np.ascontiguousarray(np.stack([one[inside], two[inside]], axis=1))
+                inner = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((16 * np.append(begin, len(inside))).astype(np.int32)), pa.py_buffer(pairs)])
+                row = batch.column("row").take(pa.array(np.repeat(np.arange(len(count)), count)))
+                yield _keyed(row, at, at + m - 1 + window, _stretch_keys(one, place, m), _stretch_keys(two, place, m), np.ones(len(at)), inner)
+
+        return _combined(each(), chunk)
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[pa.RecordBatch]:
+            for done, rest in _gathered(batches):
+                yield from done.to_batches()
+                for low in range(0, rest.num_rows, 4096):
+                    yield _windows(rest.slice(low, 4096), window)
+
+        return _combined(each(), chunk)
+
+    def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for done, _ in _gathered(batches):
+            yield from done.select(["m_row", "start", "end"]).to_batches()
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition(F.coalesce("k1", "m_row")).sortWithinPartitions("k1", "k2")
+
+    kinds = "m_row long, start int, end int, k1 long, k2 long, n byte, inner binary"
+    hits = ext.where(F.size("at") > 0).select("row", "text", "at", "m").mapInArrow(stretches, kinds)
+    hits = dealt(dealt(hits).mapInArrow(windows, kinds)).mapInArrow(settled, "m_row long, start int, end int")
+    hits = hits.groupBy("m_row").agg(F.collect_list(F.struct("start", "end")).alias("repeats"))
     base = ext.select("row", "id", "text_hash", "text", "n_words", "kept_sha256")
     return base.join(hits.hint("merge"), F.col("row") == F.col("m_row"), "left").select("id", "text_hash", "text", "n_words", "kept_sha256", "repeats")
 
 
-def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, hot: int = HOT, unique: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, chunk: int = CHUNK, unique: bool = False) -> DataFrame:
     """Remove every word covered by a repeated window: id, n_words, n_removed, kept_sha256, spans and kept.
 
     kept holds the words left, joined by one space, where any were removed,
@@ -273,7 +280,7 @@ def substring_dedup(docs: DataFrame, window: int = 35, id_col: str = "doc_id", t
                 ["id", "text_hash", "n_words", "n_removed", "kept_sha256", "spans", "kept"],
             )
 
-    rows = repeated_spans(docs, window, id_col, text_col, seed, hot, unique)
+    rows = repeated_spans(docs, window, id_col, text_col, seed, chunk, unique)
     out = rows.mapInArrow(remove, f"id {kind}, text_hash long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:int,end:int>>, kept string")
     return out.withColumnRenamed("id", id_col)
 

@@ -123,9 +123,9 @@ def test_substring_windows_of_every_size(spark, window):
     same(got.select("doc_id", "n_words", "n_removed", "kept_sha256").collect(), want)
 
 
-@pytest.mark.parametrize("hot", [8192, 3])
-def test_substring_against_brute_force_on_random_texts(spark, hot):
-    """With ``hot`` at 3, most anchors take the way of the hot ones."""
+@pytest.mark.parametrize("chunk", [50_000, 3])
+def test_substring_against_brute_force_on_random_texts(spark, chunk):
+    """With ``chunk`` at 3, copies hardly meet before the shuffles."""
     from ledgerleaf.llm.substring import substring_dedup
 
     rng = random.Random(1)
@@ -134,10 +134,22 @@ def test_substring_against_brute_force_on_random_texts(spark, hot):
         base = rng.choice(texts)[1].split() if texts and rng.random() < 0.6 else []
         cut = rng.randrange(len(base)) if base else 0
         texts.append((i, " ".join([*(rng.choice("abc") for _ in range(rng.randrange(30))), *base[cut : cut + rng.randrange(1, 80)], *(rng.choice("abcdefgh") for _ in range(rng.randrange(60)))])))
-    got = substring_dedup(spark.createDataFrame(texts, "doc_id long, text string"), window=12, seed=4, hot=hot)
+    got = substring_dedup(spark.createDataFrame(texts, "doc_id long, text string"), window=12, seed=4, chunk=chunk)
     same(got.select("doc_id", "n_words", "n_removed", "kept_sha256").collect(), [(d, *w) for (d, _), w in zip(texts, brute.repeats([t for _, t in texts], 12), strict=True)])
 
 
+def test_substring_of_a_passage_in_every_text(spark):
+    """Its stretches end in other words in each text, so only single windows match there; some texts are copies."""
+    from ledgerleaf.llm.substring import substring_dedup
+
+    rng = random.Random(3)
+    passage = [f"p{i}" for i in range(40)]
+    texts = [" ".join([*(f"a{rng.randrange(10**6)}" for _ in range(rng.randrange(30))), *passage[rng.randrange(4) :], *(f"b{rng.randrange(10**6)}" for _ in range(rng.randrange(30)))]) for _ in range(400)]
+    texts += [rng.choice(texts) for _ in range(60)] + [" ".join(["again"] * n) for n in (34, 35, 36, 36, 900)]
+    got = substring_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(13), chunk=100)
+    same(got.select("doc_id", "n_words", "n_removed", "kept_sha256").collect(), [(i, *w) for i, w in enumerate(brute.repeats(texts))])
+
+
 def test_secrets(docs, none):
     from ledgerleaf.llm.secrets import redact, secret_spans
 
