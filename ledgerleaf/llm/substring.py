@@ -15,8 +15,8 @@ threshold.
 Only whether a stretch or window occurs again matters, so copies that meet in
 one task are settled there, and one row stands for them in the shuffle. A key
 of any number of copies so costs a task one row for each ``CHUNK`` rows of
-others, and there is one way for all of them. Stretches and windows are told
-apart by 128 bits of hash.
+others, and there is one way for all of them. Only what shares an anchor is
+compared, by 64 bits of hash beside the anchor's own.
 """
 
 from __future__ import annotations
@@ -69,11 +69,11 @@ def _hashed(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return data, start, end, first, bw.hash_spans(data, start, end)
 
 
-def _stretches(values: np.ndarray, first: np.ndarray, marks: pa.Array, window: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first window, number of windows) of each run of windows in one row that have the same least seed, if that is in the row's ``marks``."""
+def _stretches(values: np.ndarray, first: np.ndarray, marks: pa.Array, window: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first window, number of windows, seed) of each run of windows in one row that have the same least seed, if that is in the row's ``marks``."""
     whole = _inside(first, window, len(values))
     if not whole.any():
-        return (np.zeros(0, np.int64),) * 3
+        return *(np.zeros(0, np.int64),) * 3, np.zeros(0, np.uint64)
     width = window - seed + 1
     at = np.flatnonzero(whole)
     least = bw.sliding(bw.hash_runs(values, seed), width, True)[at]
@@ -85,7 +85,7 @@ def _stretches(values: np.ndarray, first: np.ndarray, marks: pa.Array, window: i
     new = np.append(True, (np.diff(at) != 1) | (np.diff(row) != 0) | (least[1:] != least[:-1])) if len(at) else np.zeros(0, bool)
     place = np.arange(len(at)) - np.flatnonzero(new)[np.cumsum(new) - 1]
     begin = np.flatnonzero(place % width == 0)  # equal seeds in a row would make a stretch of any length
-    return row[begin], at[begin], np.diff(np.append(begin, len(at)))
+    return row[begin], at[begin], np.diff(np.append(begin, len(at))), least[begin]
 
 
 def _stretch_keys(hashes: np.ndarray, at: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -152,12 +152,11 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, pa.
 def _windows(stretches: pa.Table, window: int) -> pa.RecordBatch:
     """A row for each window of each stretch."""
     inner = stretches.column("inner").to_pylist()
-    m = np.array([len(x) // 16 for x in inner], np.int64)
-    keys = np.frombuffer(b"".join(inner), np.uint64).reshape(-1, 2)
+    m = np.array([len(x) // 8 for x in inner], np.int64)
     which = np.repeat(np.arange(len(m)), m)
     start = stretches.column("start").to_numpy()[which] + np.arange(len(which)) - np.repeat(np.cumsum(m) - m, m)
-    row, n = stretches.column("m_row").to_numpy()[which], stretches.column("n").to_numpy()[which]
-    return _keyed(pa.array(row), start, start + window, np.ascontiguousarray(keys[:, 0]), np.ascontiguousarray(keys[:, 1]), n)
+    row, seed, n = (stretches.column(c).to_numpy()[which] for c in ("m_row", "k2", "n"))
+    return _keyed(pa.array(row), start, start + window, np.frombuffer(b"".join(inner), np.uint64), seed, n)
 
 
 def repeated_spans(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, chunk: int = CHUNK, unique: bool = False) -> DataFrame:
@@ -194,21 +193,21 @@ def repeated_spans(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     def context(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bw.slices(batches, "text"):
             data, start, end, first, values = _hashed(batch.column("text"))
-            row, at, m = _stretches(values, first, batch.column("marks"), window, seed)
+            row, at, m, h = _stretches(values, first, batch.column("marks"), window, seed)
             cut = np.searchsorted(row, np.arange(len(first)))
-            listed = lambda x: pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(x.astype(np.int32)))  # noqa: B023, E731
+            listed = lambda x: pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(x))  # noqa: B023, E731
             busy = cut[1:] > cut[:-1]
             text, s, e = bw.normalised(data, start, end)
             plain = [None if b else hashlib.sha256(text[s[i] : e[j - 1]] if j > i else b"").hexdigest() for b, i, j in zip(busy.tolist(), first[:-1].tolist(), first[1:].tolist(), strict=True)]
             texts = batch.column("text").take(pa.array(np.arange(len(busy)), mask=~busy))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), batch.column("text_hash"), texts, pa.array(np.diff(first)), pa.array(plain, pa.string()), listed(at - first[row]), listed(m)],
-                ["id", "text_hash", "text", "n_words", "kept_sha256", "at", "m"],
+                [batch.column("id"), batch.column("text_hash"), texts, pa.array(np.diff(first)), pa.array(plain, pa.string()), listed((at - first[row]).astype(np.int32)), listed(m.astype(np.int32)), listed(h.view(np.int64))],
+                ["id", "text_hash", "text", "n_words", "kept_sha256", "at", "m", "h"],
             )
 
     same = F.col("id").eqNullSafe(F.col("m_id")) & (F.col("text_hash") == F.col("m_hash"))
     joined = rows.join(marks.hint("merge"), same, "left").select("id", "text_hash", "text", "marks")
-    ext = joined.mapInArrow(context, f"id {kind}, text_hash long, text string, n_words long, kept_sha256 string, at array<int>, m array<int>")
+    ext = joined.mapInArrow(context, f"id {kind}, text_hash long, text string, n_words long, kept_sha256 string, at array<int>, m array<int>, h array<long>")
     # once written, a row has a number of its own, which stretches carry in place of id and hash
     ext = staged(ext.withColumn("row", F.monotonically_increasing_id()), "contexts")
     drop(found)
@@ -219,15 +218,14 @@ def repeated_spans(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
         def each() -> Iterator[pa.RecordBatch]:
             for batch in bw.slices(batches, "text"):
                 _, _, _, first, values = _hashed(batch.column("text"))
-                one, two = bw.hash_runs(values, window), bw.hash_runs(bw.mix(values ^ bw.MULTIPLIER), window)
+                hashes = bw.hash_runs(values, window)
                 count = batch.column("at").value_lengths().to_numpy()
                 at, m = (batch.column(c).flatten().to_numpy().astype(np.int64) for c in ("at", "m"))
                 place = at + np.repeat(first[:-1], count)
                 inside, begin = bw.spans(place, place + m)
-                pairs = np.ascontiguousarray(np.stack([one[inside], two[inside]], axis=1))
-                inner = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((16 * np.append(begin, len(inside))).astype(np.int32)), pa.py_buffer(pairs)])
+                inner = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer((8 * np.append(begin, len(inside))).astype(np.int32)), pa.py_buffer(hashes[inside])])
                 row = batch.column("row").take(pa.array(np.repeat(np.arange(len(count)), count)))
-                yield _keyed(row, at, at + m - 1 + window, _stretch_keys(one, place, m), _stretch_keys(two, place, m), np.ones(len(at)), inner)
+                yield _keyed(row, at, at + m - 1 + window, _stretch_keys(hashes, place, m), batch.column("h").flatten().to_numpy(), np.ones(len(at)), inner)
 
         return _combined(each(), chunk)
 
@@ -248,8 +246,9 @@ def repeated_spans(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
         return rows.repartition(F.coalesce("k1", "m_row")).sortWithinPartitions("k1", "k2")
 
     kinds = "m_row long, start int, end int, k1 long, k2 long, n byte, inner binary"
-    hits = ext.where(F.size("at") > 0).select("row", "text", "at", "m").mapInArrow(stretches, kinds)
-    hits = dealt(dealt(hits).mapInArrow(windows, kinds)).mapInArrow(settled, "m_row long, start int, end int")
+    hits = ext.where(F.size("at") > 0).select("row", "text", "at", "m", "h").mapInArrow(stretches, kinds)
+    hits = staged(dealt(dealt(hits).mapInArrow(windows, kinds)).mapInArrow(settled, "m_row long, start int, end int"), "matches")
+    free_shuffles(docs.sparkSession)
     hits = hits.groupBy("m_row").agg(F.collect_list(F.struct("start", "end")).alias("repeats"))
     base = ext.select("row", "id", "text_hash", "text", "n_words", "kept_sha256")
     return base.join(hits.hint("merge"), F.col("row") == F.col("m_row"), "left").select("id", "text_hash", "text", "n_words", "kept_sha256", "repeats")
