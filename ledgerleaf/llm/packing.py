@@ -205,7 +205,9 @@ def pack(pieces: DataFrame, size: int, keys: list[str], length_col: str = "lengt
 
     Groups are dealt by a hash of the keys, which must tell rows apart. After
     a round, sequences filled to over 1 - ``waste`` stay; the rest are packed
-    again in groups of the same size, until one group holds them all.
+    again in groups of the same size, until one group holds them all, hardly a
+    sequence got full (over nine tenths of the pieces are left), or 16 rounds
+    are over; then all stay as the round packed them. No piece is left out.
     Rows of null or non-positive length are not packed and return nulls; an
     empty table gives none. Ties are broken by the keys' order.
     """

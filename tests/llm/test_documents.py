@@ -274,3 +274,21 @@ def test_quality(spark, docs, none):
     edge = quality_scores(docs, labels, keep=["text", "id", "x"])
     assert edge.count() == len(TEXTS) and quality_scores(none, labels).count() == 0
     assert quality_scores(docs, labels.where("false")).where("predicted = 1").count() == len(TEXTS)
+
+
+def test_packing_again_over_many_groups(spark):
+    """Every piece is placed once, without gaps, and 14 groups need hardly more sequences than their sum of lengths."""
+    from ledgerleaf.llm.packing import pack
+
+    rng = random.Random(5)
+    lengths = [min(2048, int(rng.expovariate(1 / 500)) + 1) for _ in range(4000)]
+    df = spark.createDataFrame(list(enumerate(lengths)), "k long, length long")
+    rows = pack(df, 2048, ["k"], group=300).collect()
+    assert sorted((r.k, r.length) for r in rows) == list(enumerate(lengths))
+    own = {}
+    for r in rows:
+        own.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in own.values():
+        places.sort()
+        assert [o for o, _ in places] == [sum(n for _, n in places[:i]) for i in range(len(places))] and sum(n for _, n in places) <= 2048
+    assert len(own) <= 1.01 * -(-sum(lengths) // 2048)

@@ -118,3 +118,24 @@ def test_ties_go_to_the_smaller_id(spark):
             want = nearest(rows, 20)
             assert got == sorted(w for w in want if asked is None or w[0] == asked)
     assert [w[2] for w in nearest(flat, 20) if w[0] == 1000] == list(range(20))
+
+
+@pytest.mark.parametrize("factor", [1.0, 0.2])
+def test_links_across_many_lists(spark, monkeypatch, factor):
+    """Some 40 inverted lists: at factor 1 every link is found, at 0.2 nine tenths at least, and none below the threshold."""
+    from ledgerleaf.llm import pq_dedup
+
+    monkeypatch.setattr(pq_dedup, "PER_LIST", 50)
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.normal(size=(500, 8)), 4, axis=0)
+    x += 0.25 * rng.normal(size=x.shape)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.93
+    np.fill_diagonal(near, False)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int").repartition(3)
+    got = {r.vec_id: r for r in pq_dedup.embedding_dedup(df, threshold=0.93, probe_factor=factor).collect()}
+    found, want = np.array([got[i].n_links for i in range(len(x))]), near.sum(1)
+    assert (found <= want).all() and found.sum() >= (1 if factor == 1 else 0.9) * want.sum() > 0
+    if factor == 1:
+        label = brute.components(len(x), lambda i, j: near[i, j])
+        assert [got[i].component_id for i in range(len(x))] == list(label)
