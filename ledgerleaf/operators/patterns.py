@@ -21,11 +21,31 @@ CONFIDENCE = 0.95
 DISPUTES = ["consumer disputes this account", "disputed", "under investigation", "dispute"]
 
 
-def detect_patterns(lines: DataFrame, rules: dict[str, list[str]] = PATTERNS, confidence: float = CONFIDENCE) -> DataFrame:
+def rules_of(table: DataFrame, analysis: str | None = None, most: int = 1000) -> dict[str, list[str]]:
+    """The rules of one analysis, or of all, as classes with their patterns, from a table with columns analysis, error_type and pattern.
+
+    Classes and their patterns are in alphabetical order; equal rules count once, rows with a null class or pattern not at all.
+    Rules become one expression, so there may be at most ``most`` of them: a larger table raises ValueError, as does an
+    analysis without rules.
+    """
+    own = table.where("error_type is not null and pattern is not null")
+    own = own if analysis is None else own.where(F.col("analysis") == analysis)
+    found = own.select("error_type", "pattern").distinct().limit(most + 1).collect()
+    if not found or len(found) > most:
+        raise ValueError(f"analysis {analysis!r} has {'no rules' if not found else f'more than {most} rules'}")
+    out: dict[str, list[str]] = {}
+    for name, pattern in sorted(map(tuple, found)):
+        out.setdefault(name, []).append(pattern)
+    return out
+
+
+def detect_patterns(lines: DataFrame, rules: dict[str, list[str]] | DataFrame = PATTERNS, confidence: float = CONFIDENCE, analysis: str | None = None) -> DataFrame:
     """One row per hit of each pattern of each class in a line: class, pass number, pattern number, hit number and text.
 
-    Lines that no pattern meets go before the patterns are applied one by one.
+    ``rules`` may be a table, of which ``analysis`` names the part to apply (``rules_of``). Lines that no pattern meets go
+    before the patterns are applied one by one.
     """
+    rules = rules_of(rules, analysis) if isinstance(rules, DataFrame) else rules
     every = "(?i)" + "|".join(f"(?:{p})" for patterns in rules.values() for p in patterns)
     known = [F.struct(F.lit(n).alias("pass_no"), F.lit(name).alias("error_type"), F.lit(k).alias("pattern_no"), F.lit(f"(?i){p}").alias("pattern")) for n, (name, patterns) in enumerate(rules.items(), 1) for k, p in enumerate(patterns)]
     each = lines.where(F.col("line").rlike(every)).select("doc_id", "line_no", "line", F.explode(F.array(*known)).alias("r"))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerleaf.functions import vectors as vec
 from ledgerleaf.operators import chunking as c
+from ledgerleaf.operators import config
 from ledgerleaf.operators import corpus, embed, locate
 from ledgerleaf.plans import sql_views as v
 from ledgerleaf.plans.corpus_plans import FULL
@@ -59,6 +60,12 @@ def _(spark, d):
     return c.chunk_adaptive(docs(spark, d), 500)
 
 
+@query("x2_configured_chunks", ADAPTIVE)
+def _(spark, d):
+    own = config.override(config.AuditConfig(), {"chunk": {"method": "adaptive", "small": 500}})
+    return config.chunk(docs(spark, d), own.chunk)
+
+
 def packed(div: str) -> str:
     return f"""WITH RECURSIVE {v.PAGES}, p AS (SELECT doc_id, page_number, CAST({div} + CASE WHEN page_number % 3 = 0 THEN 120 ELSE 0 END AS INTEGER) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY page_number) AS i FROM v_pages),
  fold AS (SELECT doc_id, page_number, n, i, 0 AS chunk, n AS total FROM p WHERE i = 1 UNION ALL

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ledgerleaf.operators import compose, detect, issues, locate, patterns
+from ledgerleaf.operators import compose, config, detect, issues, locate, patterns
 from ledgerleaf.operators.issues import SEVERITY_SCORE
 from ledgerleaf.plans import sql_views as v
 from ledgerleaf.plans.sql_views import q
@@ -60,6 +60,29 @@ def _(spark, d):
     return hits(spark, d).groupBy("error_type", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
+BY_TABLE = """v_rules AS (SELECT DISTINCT lang AS error_type, '(^|[^A-Za-z])' || lang || '([^A-Za-z]|$)' AS pattern FROM documents),
+ v_told AS (SELECT doc_id, line_no, error_type, regexp_extract_all(line, '(?i)' || pattern) AS hits FROM v_lines, v_rules)"""
+
+
+@query("x1_rules_by_analysis", q("""SELECT doc_id, line_no, error_type, CAST(i - 1 AS INTEGER) AS hit_no, hits[i] AS hit
+ FROM v_told, unnest(range(1, len(hits) + 1)) AS t(i)""", v.LINES, BY_TABLE))
+def _(spark, d):
+    names = views.table(spark, d, "documents").select(F.col("lang").alias("error_type"))
+    mentions = names.select(F.lit("mentions").alias("analysis"), "error_type", F.concat(F.lit("(^|[^A-Za-z])"), "error_type", F.lit("([^A-Za-z]|$)")).alias("pattern"))
+    whole = names.select(F.lit("whole_lines").alias("analysis"), "error_type", F.concat(F.lit("^"), "error_type", F.lit("$")).alias("pattern"))
+    hits = patterns.detect_patterns(views.lines(spark, d), mentions.union(whole), analysis="mentions")
+    return hits.select("doc_id", "line_no", "error_type", "hit_no", "hit")
+
+
+@query("x2_configured_audit", q("""SELECT doc_id, line_no, error_type, hit, severity, CAST(rank AS INTEGER) AS rank FROM (
+ SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY severity DESC, line_no, pass_no, pattern_no, hit_no) AS rank FROM (
+  SELECT *, lag(line_no) OVER (PARTITION BY doc_id, error_type, hit ORDER BY line_no, pass_no, pattern_no, hit_no) AS before FROM v_hits WHERE severity >= 2)
+ WHERE before IS NULL OR line_no - before > 3) WHERE rank <= 20""", v.LINES, HITS))
+def _(spark, d):
+    own = config.override(config.AuditConfig(), {"detect": {"rules": OWN_RULES, "least_severity": 2}, "findings": {"gap": 3, "top": 20}})
+    return config.audit_lines(views.lines(spark, d), own).select("doc_id", "line_no", "error_type", "hit", "severity", "rank")
+
+
 NOTATIONS = [*patterns.DISPUTES, "license", "error"]
 
 

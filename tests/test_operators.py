@@ -250,3 +250,65 @@ def test_an_artifact_is_read_from_one_folder(spark, tmp_path):
     own = compose.read_artifact(spark, f"file://{tmp_path}", "x", "document_id", 7, buckets=8)
     assert [tuple(r) for r in own.collect()] == [(7, "t7")] and len(own.inputFiles()) >= 1
     assert compose.read_artifact(spark, f"file://{tmp_path}", "x").count() == 300
+
+
+#: For each pattern of the library, in its order, a text that it meets and one that it must not meet by itself.
+MET = {
+    "collection": [("sent to collection.", "recollections"), ("a collection agency", "agency of collection"), ("Portfolio recovery", "portfolio for recovery"), ("CAVALRY PORTFOLIO", "cavalry"), ("debt buyer", "buyer of debt")],
+    "charge_off": [("charge-off", "charge it off"), ("charged off", "charged, off"), ("WRITTEN OFF", "written of")],
+    "late_payment": [("90 days past due", "91 days past due"), ("180 Day late", "18 days late"), ("past_due", "past its due")],
+    "truncated_account": [("XXXX-1234", "XXX-1234"), ("...5678", "..5678")],
+    "high_utilization": [("95% utilization", "75% utilization"), ("over-limit", "over the limit"), ("maxed out", "maxed it out")],
+    "derogatory": [("Derogatory", "derogate"), ("delinquent", "delinquency"), ("default", "defaul"), ("repossession", "possession"), ("foreclosure", "closure"), ("bankruptcy", "bankrupt")],
+}
+
+
+def test_each_pattern_of_the_library(spark):
+    from ledgerleaf.operators import patterns
+
+    assert {k: len(v) for k, v in MET.items()} == {k: len(v) for k, v in patterns.PATTERNS.items()}
+    told = [(name, k, yes, no) for name, pairs in MET.items() for k, (yes, no) in enumerate(pairs)]
+    lines = spark.createDataFrame([(i * 2 + j, 0, t) for i, (_, _, *both) in enumerate(told) for j, t in enumerate(both)], "doc_id long, line_no int, line string")
+    found = {(r.doc_id, r.error_type, r.pattern_no) for r in patterns.detect_patterns(lines).collect()}
+    for i, (name, k, yes, no) in enumerate(told):
+        assert (2 * i, name, k) in found, yes
+        assert (2 * i + 1, name, k) not in found, no
+
+
+def test_rules_of_a_table(spark):
+    from ledgerleaf.operators import patterns
+
+    table = spark.createDataFrame([("a", "late", "late"), ("a", "late", "late"), ("a", "paid", "paid|settled"), ("a", None, "x"), ("a", "none", None), ("b", "any", "\\w+")], "analysis string, error_type string, pattern string")
+    assert patterns.rules_of(table, "a") == {"late": ["late"], "paid": ["paid|settled"]}
+    assert set(patterns.rules_of(table)) == {"late", "paid", "any"}
+    lines = spark.createDataFrame([(1, 0, "Settled late, late"), (2, 0, ""), (3, 0, None)], "doc_id long, line_no int, line string")
+    got = sorted((r.doc_id, r.error_type, r.hit_no, r.hit) for r in patterns.detect_patterns(lines, table, analysis="a").collect())
+    assert got == [(1, "late", 0, "late"), (1, "late", 1, "late"), (1, "paid", 0, "Settled")]
+    for wrong in (lambda: patterns.rules_of(table, "c"), lambda: patterns.rules_of(table, most=2)):
+        with pytest.raises(ValueError, match="rules"):
+            wrong()
+
+
+def test_partial_overrides():
+    from ledgerleaf.operators import config
+
+    base = config.AuditConfig()
+    own = config.override(base, {"chunk": {"size": 10}, "findings": config.FindingsConfig(top=3)})
+    assert (own.chunk.size, own.chunk.method, own.findings.top, own.pool) == (10, "natural", 3, base.pool) and base == config.AuditConfig()
+    assert config.override(base, {}) == base
+    with pytest.raises(TypeError, match="has no sizes"):
+        config.override(base, {"chunk": {"sizes": 1}})
+    with pytest.raises(AttributeError):
+        own.chunk.size = 5
+
+
+def test_audit_of_lines_by_configuration(spark):
+    """Repeats within the gap go, a run of repeats keeps its first, the severest come first, top holds for each document."""
+    from ledgerleaf.operators import config
+
+    lines = ["default", "default", "30 days late", "default", "", "", "", "default", "collection default"]
+    df = spark.createDataFrame([(d, n, t) for d in (1, 2) for n, t in enumerate(lines)], "doc_id long, line_no int, line string")
+    every = config.audit_lines(df, config.override(config.AuditConfig(), {"findings": {"gap": 2}})).where("doc_id = 1").orderBy("rank").collect()
+    assert [(r.line_no, r.error_type) for r in every] == [(8, "collection"), (0, "derogatory"), (7, "derogatory"), (2, "late_payment")]
+    few = config.audit_lines(df, config.override(config.AuditConfig(), {"findings": {"gap": 2, "top": 2}, "detect": {"least_severity": 4}})).collect()
+    assert sorted((r.doc_id, r["rank"], r.line_no) for r in few) == [(1, 1, 8), (1, 2, 0), (2, 1, 8), (2, 2, 0)]
