@@ -52,7 +52,8 @@ def chunk_natural(docs: DataFrame, size: int = 6000) -> DataFrame:
 
     def rule(at, full):
         p, s, n = _last(F.col("_pp"), full), _last(F.col("_st"), full), _last(F.col("_nl"), full)
-        return F.when(p > at + size * 0.6, p + 2).when(s > at + size * 0.7, s + 2).when(n > at + size * 0.8, n + 1).otherwise(full)
+        past = lambda place, tenths: (place - at) * 10 > size * tenths  # noqa: E731  whole numbers: 700 * 0.7 is below 490 in doubles
+        return F.when(past(p, 6), p + 2).when(past(s, 7), s + 2).when(past(n, 8), n + 1).otherwise(full)
 
     out = _fold(docs, F.lit(size), 0.6, rule)
     return out.withColumn("text", F.regexp_replace("text", "^\\s+|\\s+$", "")).where(F.length("text") > 0)

@@ -350,3 +350,10 @@ def test_all_pairs_and_nearest_of_copies_and_odd_vectors(spark, monkeypatch, til
             got.setdefault(r.a, []).append((r.b, r.similarity))
             assert r.rank == len(got[r.a])
         assert got == {a: x for a, x in want.items() if x}
+
+
+def test_a_sentence_at_exactly_its_share_is_not_past_it(spark):
+    """700 * 0.7 is 489.99999999999994 in doubles; a sentence that ends its chunk at 490 of 700 does not break it."""
+    text = "a" * 490 + ". " + "b" * 400
+    got = [(r.start, r.end) for r in chunking.chunk_natural(spark.createDataFrame([(1, text)], "doc_id int, text string"), 700).orderBy("chunk_index").collect()]
+    assert got == [(0, 700), (700, 892)]
