@@ -71,9 +71,11 @@ def _(spark, d):
 
 LIMIT = 0.02
 T3 = f"""
-SELECT doc_id, CAST(date_trunc('day', ts) AS VARCHAR)[1:10] AS day, round(sum(cost), 8) AS cost, count(*) AS n, sum(cost) > {LIMIT} AS over_budget
-FROM (SELECT *, (input_tokens * 1.25 + output_tokens * 10.0 + image_tokens * 2.0) / 1000000 AS cost FROM v_calls)
-GROUP BY 1, 2
+SELECT doc_id, CAST(day AS VARCHAR)[1:10] AS day, round(cost, 8) AS cost, n, cost > {LIMIT} AS over_budget
+FROM (
+  SELECT doc_id, date_trunc('day', ts) AS day, CAST(sum(input_tokens) * 1.25 + sum(output_tokens) * 10.0 + sum(image_tokens) * 2.0 AS DOUBLE) / 1000000 AS cost, count(*) AS n
+  FROM v_calls GROUP BY 1, 2
+)
 """
 
 
