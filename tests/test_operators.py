@@ -357,3 +357,41 @@ def test_a_sentence_at_exactly_its_share_is_not_past_it(spark):
     text = "a" * 490 + ". " + "b" * 400
     got = [(r.start, r.end) for r in chunking.chunk_natural(spark.createDataFrame([(1, text)], "doc_id int, text string"), 700).orderBy("chunk_index").collect()]
     assert got == [(0, 700), (700, 892)]
+
+
+def test_rows_of_a_dense_page_are_those_of_a_plain_loop(spark):
+    """Sixty thousand tokens of one page, of heights that come back, on which a fold over tokens takes minutes."""
+    import random
+
+    random.seed(4)
+    tokens = [(1, n, float(random.randrange(0, 400)) / 2) for n in range(60_000)]
+    opened, want = [], {}
+    for _, n, y in tokens:
+        near = next((r for r in opened if abs(r - y) <= 5), None)
+        if near is None:
+            opened.append(y)
+        want[n] = y if near is None else near
+    frame = spark.createDataFrame(tokens, "page_number int, token_id long, y double").withColumn("doc_id", F.lit(1))
+    assert {r.token_id: r.row_y for r in locate.group_rows(frame).collect()} == want
+
+
+def test_flattened_pages_are_not_shuffled(spark):
+    from tests.conftest import SMALL
+
+    plan = views.page_spans(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "Sort" not in plan
+
+
+def test_documents_are_parsed_once_for_all_rules(spark):
+    """However many rules and branches there are, a document's JSON is asked for once."""
+    from ledgerleaf.operators import detect
+
+    asked = spark.sparkContext.accumulator(0)
+
+    def told(k):
+        asked.add(1)
+        return "{}" if k else "{"
+
+    json = F.udf(told).asNondeterministic()("id")
+    rows = spark.range(2, numPartitions=1).select("id", json.alias("json"))
+    assert detect.check_conformance(rows).count() == 9 and asked.value == 2
