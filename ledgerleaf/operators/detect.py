@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerleaf.sources.shared import written
+
 
 def short_lines(lines: DataFrame, words: list[str], limit: int, others: list[str] | None = None) -> DataFrame:
     """Trimmed lines under ``limit`` characters that hold any of ``words`` (and any of ``others``)."""
@@ -127,7 +129,8 @@ def check_conformance(docs: DataFrame, spec: ExtractionSpec = ExtractionSpec())
     listed = lambda values: F.array(*[F.lit(v) for v in values])
     say = lambda kind, path: F.struct(F.lit(kind).alias("violation"), path.alias("path"))
     raw, rows = "map<string,string>", "array<map<string,string>>"
-    own = docs.select("id", F.from_json("json", raw).alias("top"))
+    # what several branches or rules read is parsed once: written, or held as the row of an array of one
+    own = written(docs.select("id", F.from_json("json", raw).alias("top")), "parsed")
     fine = own.where(F.col("top").isNotNull())
     keys = F.map_keys("top")
     lost = F.transform(F.array_except(listed(spec.keys), keys), lambda k: say("missing_key", F.concat(F.lit("$."), k)))
@@ -145,9 +148,10 @@ def check_conformance(docs: DataFrame, spec: ExtractionSpec = ExtractionSpec())
     place = lambda key: F.concat(F.lit("$.accounts["), F.col("at").cast("string"), F.lit(f"].{key}"))
     inner = [F.when(~F.coalesce(F.col("account")["accountNumber"], F.lit("")).rlike(spec.masked), say("unmasked_id", place("accountNumber")))]
     inner.append(F.when(F.coalesce(F.size(F.from_json(F.col("account")["paymentHistory"], "array<string>")), F.lit(-1)) != spec.codes, say("code_count", place("paymentHistory"))))
-    row_keys = F.array_sort(listed(("year", *spec.months)))
+    each = each.select("id", "at", "account", F.explode(F.array(F.struct(*[F.from_json(F.col("account")[name], rows).alias(name) for name in spec.histories]))).alias("held"))
+    row_keys = listed(sorted(("year", *spec.months)))
     for name in spec.histories:
-        years = F.from_json(F.col("account")[name], rows)
+        years = F.col("held")[name]
         good = (F.size(years) == spec.years) & F.forall(years, lambda y: F.array_sort(F.map_keys(y)) == row_keys)
         inner.append(F.when(~F.coalesce(good, F.lit(False)), say("history_shape", place(name))))
     accounts = each.select("id", F.explode(F.array_compact(F.array(*inner))).alias("v"))

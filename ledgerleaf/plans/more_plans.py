@@ -273,7 +273,7 @@ def _(spark, d):
         "inquiries": F.when(k != 2, F.struct(F.lit(0).alias("n"))), "notes": F.when(k == 1, F.struct(F.lit("x").alias("n"))),
     }
     whole = text(F.struct(*[c.alias(n) for n, c in parts.items()]))
-    own = views.table(spark, d, "customer")  # a row of some bytes becomes a document of some thousand
+    own = views.spread(views.table(spark, d, "customer"))  # a row of some bytes becomes a document of some thousand
     rows = own.select(F.col("c_custkey").alias("id"), F.when(k == 0, F.substring(whole, 1, 40)).otherwise(whole).alias("json"))
     return detect.check_conformance(rows)
 
