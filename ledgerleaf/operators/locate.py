@@ -172,18 +172,18 @@ def page_at(offsets: DataFrame, starts: DataFrame) -> DataFrame:
 def group_rows(tokens: DataFrame, tol: float = 5.0) -> DataFrame:
     """Rows of a page: each token, in order, joins the first row whose first y is within ``tol``, or opens one; a row is named by that y.
 
-    An ordered fold over a page's tokens; a page bounds the group.
+    Tokens of equal y are of one row, that of the first of them, as later rows come after it. So the fold runs over a page's distinct
+    heights in the order of their first tokens and holds the rows it opened, which are over ``tol`` apart. A page bounds the group.
     """
-    own = F.array_sort(F.collect_list(F.struct("token_id", "y")))
-    start = F.expr("struct(cast(array() as array<double>) as rows, cast(array() as array<struct<token_id:bigint,row_y:double>>) as out)")
-
-    def step(acc, t):
-        near = F.get(F.filter(acc["rows"], lambda r: F.abs(r - t["y"]) <= tol), F.lit(0))
-        rows = F.when(near.isNull(), F.concat(acc["rows"], F.array(t["y"]))).otherwise(acc["rows"])
-        return F.struct(rows.alias("rows"), F.concat(acc["out"], F.array(F.struct(t["token_id"].alias("token_id"), F.coalesce(near, t["y"]).alias("row_y")))).alias("out"))
-
-    folded = tokens.groupBy("doc_id", "page_number").agg(F.aggregate(own, start, step, lambda acc: acc["out"]).alias("rows"))
-    return folded.select("doc_id", "page_number", F.explode("rows").alias("r")).select("doc_id", "page_number", "r.token_id", "r.row_y")
+    heights = tokens.groupBy("doc_id", "page_number", "y").agg(F.min("token_id").alias("first"), F.collect_list("token_id").alias("ids"))
+    paged = heights.groupBy("doc_id", "page_number").agg(F.array_sort(F.collect_list(F.struct("first", "y", "ids"))).alias("own"))
+    near = lambda rows, y: F.get(F.filter(rows, lambda r: F.abs(r - y) <= tol), F.lit(0))
+    step = lambda rows, t: F.when(near(rows, t["y"]).isNull(), F.concat(rows, F.array(t["y"]))).otherwise(rows)
+    rows = F.aggregate("own", F.expr("cast(array() as array<double>)"), step)
+    # the rows are an array of one, so that they are worked out once
+    each = paged.select("doc_id", "page_number", "own", F.explode(F.array(rows)).alias("rows")).select("doc_id", "page_number", "rows", F.explode("own").alias("t"))
+    named = each.select("doc_id", "page_number", F.col("t.ids").alias("ids"), near(F.col("rows"), F.col("t.y")).alias("row_y"))
+    return named.select("doc_id", "page_number", F.explode("ids").alias("token_id"), "row_y")
 
 
 def group_lines(tokens: DataFrame, tol: float = 5.0) -> DataFrame:
