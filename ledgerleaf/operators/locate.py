@@ -49,14 +49,15 @@ def match_phrase(issues: DataFrame, tokens: DataFrame) -> DataFrame:
     """Each run of tokens of a line whose normalised text is the issue's normalised anchor, with its box; anchors of any length.
 
     Every word of an anchor meets the tokens that equal it; a run matches
-    where all words point to the same first position.
+    where all words point to the same first position. Tokens of documents
+    without a wanted anchor are not looked at.
     """
     words = F.split(normalize_anchor(F.col("anchor_text")), " ")
     wanted = issues.select("id", "doc_id", words.alias("want")).where(F.element_at("want", 1) != "")
     wanted = wanted.select("id", "doc_id", F.size("want").alias("k"), F.posexplode("want").alias("i", "norm"))
     line = Window.partitionBy("doc_id", "line_no").orderBy("token_idx")
-    placed = tokens.withColumns({"norm": normalize_anchor(F.col("str")), "place": F.row_number().over(line)})
-    met = wanted.join(placed.hint("merge"), ["doc_id", "norm"]).withColumn("first_place", F.col("place") - F.col("i"))
+    placed = of_documents(tokens.select("doc_id", "line_no", "token_idx", "str", "x", "y", "width", "height"), wanted).withColumns({"norm": normalize_anchor(F.col("str")), "place": F.row_number().over(line)})
+    met = placed.join(wanted.hint("shuffle_hash"), ["doc_id", "norm"]).withColumn("first_place", F.col("place") - F.col("i"))
     box = [F.min_by(c, "i").alias(c) for c in ("token_idx", "x", "y", "height")]
     end = F.max_by(F.col("x") + F.col("width"), "i")
     runs = met.groupBy("id", "doc_id", "line_no", "first_place", "k").agg(F.count(F.lit(1)).alias("n"), *box, end.alias("end"))
