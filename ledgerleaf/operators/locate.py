@@ -15,8 +15,8 @@ def bounding_box(rects: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def of_documents(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The rows of documents that ``wanted`` has. Where rows are exploded from a document, the optimizer asks this of the document."""
-    return rows.join(wanted.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
+    """The rows of documents that ``wanted`` has. Where rows are exploded from a document, the optimizer asks this of the document. They are not sorted: the ids alone are hashed."""
+    return rows.join(wanted.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi")
 
 
 def token_hits(issues: DataFrame, tokens: DataFrame, cell: float = 100.0) -> DataFrame:
@@ -25,7 +25,7 @@ def token_hits(issues: DataFrame, tokens: DataFrame, cell: float = 100.0) -> Dat
     Boxes and tokens meet by (document, page, vertical band), so a dense page
     is compared band by band; a pair is counted in the first band they share.
     Tokens of documents without issues are not looked at, and a token is put
-    into bands only once it is known that its document has any.
+    into bands only once it is known that its document has any. Tokens stream past the boxes of their part, which are hashed, and are never sorted.
     """
     issues = written(issues, "issues")
     bands = lambda y, h: F.sequence(F.floor(F.col(y) / cell).cast("int"), F.floor((F.col(y) + F.col(h)) / cell).cast("int"))
@@ -34,7 +34,7 @@ def token_hits(issues: DataFrame, tokens: DataFrame, cell: float = 100.0) -> Dat
     right = of_documents(tokens.select("doc_id", "page_number", "x", "y", "width", "height"), issues).withColumn("band", F.explode(bands("y", "height")))
     first = F.greatest(F.floor(F.col("iy") / cell), F.floor(F.col("y") / cell)).cast("int")
     meets = (F.col("ix") < F.col("x") + F.col("width")) & (F.col("x") < F.col("ix") + F.col("iwidth")) & (F.col("iy") < F.col("y") + F.col("height")) & (F.col("y") < F.col("iy") + F.col("iheight"))
-    hits = left.join(right.hint("merge"), ["doc_id", "page_number", "band"]).where(meets & (F.col("band") == first)).groupBy("id").agg(F.count(F.lit(1)).alias("token_count"))
+    hits = right.join(left.hint("shuffle_hash"), ["doc_id", "page_number", "band"]).where(meets & (F.col("band") == first)).groupBy("id").agg(F.count(F.lit(1)).alias("token_count"))
     return issues.join(hits.hint("merge"), "id", "left").withColumn("token_count", F.coalesce("token_count", F.lit(0)))
 
 
