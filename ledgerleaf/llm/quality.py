@@ -3,8 +3,18 @@
 Each pair is a row labelled 1 and a row labelled 0. The chance that the first
 is preferred is the logistic of the difference of their scores, which are
 linear in features of the text; weights minimise the logistic loss on feature
-differences. The threshold is the quantile of the training scores at the
-share of rows labelled 0, placed at ``accept`` on the scale from 0 to 1.
+differences, its mean over all pairs of all labelled rows. The threshold is
+the quantile of the training scores at the share of rows labelled 0, placed
+at ``accept`` on the scale from 0 to 1.
+
+No pair is ever laid out. The loss and its derivatives ask of a row only what
+a smooth function sums to over the scores of the other label. Scores fall in
+bins; a polynomial through a bin's Chebyshev nodes gives the function in the
+bin, so a score is as good as its shares of the nodes. Shares add up over the
+rows in a pass, and the sums of all pairs are those of pairs of nodes. Each
+step of Newton's method is two passes over the features of the labelled rows,
+which are written once; partial sums meet in a shuffle, so neither the driver
+nor a task holds more than sums whose size is that of the features squared.
 
 Features are figures of the whole text (byte classes, kinds of words, lengths,
 repetition) and, hashed into buckets, its words and runs of three bytes, A-Z
@@ -14,8 +24,8 @@ lower-cased: the square root of each bucket's share.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +33,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerleaf.llm import bytewords as bw
-from ledgerleaf.llm.staging import staged
+from ledgerleaf.llm.staging import drop, staged
 
+#: Makes an array of some rows' features and labels.
+Part = Callable[[np.ndarray, np.ndarray], np.ndarray]
+#: The sum over all rows of such an array, entry by entry; empty if there are no rows.
+Total = Callable[[Part], np.ndarray]
 #: Byte classes whose share of a text is a feature.
 CLASSES = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "|", "!", "#$%&*", "@^~<>{}[]\\=+_", ".,;:?'\"-()", "\n"]
 #: Figures of the text, buckets of three-byte runs and as many of words, all features.
@@ -32,6 +46,10 @@ FIGURES, BUCKETS = 15, 256
 FEATURES = FIGURES + 2 * BUCKETS
 #: Texts whose features are held at once.
 ROWS = 2000
+#: Width of a bin of scores, and its nodes: the logistic is told to 1e-12 by ``NODES``, and to 1e-4 by ``COARSE``, which only speed depends on.
+WIDTH, NODES, COARSE = 2.0, 16, 6
+#: Entries of a sum that travel as one row.
+CHUNK = 16_384
 _CLASS = np.full(256, len(CLASSES), np.uint8)
 for _i, _c in enumerate(CLASSES):
     _CLASS[list(_c.encode())] = _i
@@ -113,8 +131,11 @@ class Ranker:
     threshold: float
     accept: float
 
+    def standard(self, features: np.ndarray) -> np.ndarray:
+        return np.clip((features - self.mean) / self.scale, -6, 6)
+
     def raw(self, features: np.ndarray) -> np.ndarray:
-        return np.clip((features - self.mean) / self.scale, -6, 6) @ self.weights
+        return self.standard(features) @ self.weights
 
     def score(self, features: np.ndarray) -> np.ndarray:
         z = self.raw(features) - self.threshold + math.log(self.accept / (1 - self.accept))
@@ -122,7 +143,7 @@ class Ranker:
 
 
 def bradley_terry(x: np.ndarray, better: np.ndarray, worse: np.ndarray, penalty: float) -> np.ndarray:
-    """Weights that minimise the mean logistic loss of x[better] over x[worse], plus half of ``penalty`` times their squares."""
+    """Weights that minimise the mean logistic loss of x[better] over x[worse], plus half of ``penalty`` times their squares: for given pairs of rows in memory."""
     n, pairs, w = len(x), len(better), np.zeros(x.shape[1])
     back = lambda r: x.T @ (np.bincount(better, r, minlength=n) - np.bincount(worse, r, minlength=n)) / pairs
     for _ in range(50):
@@ -147,40 +168,214 @@ def bradley_terry(x: np.ndarray, better: np.ndarray, worse: np.ndarray, penalty:
     return w
 
 
-def fit(features: np.ndarray, labels: np.ndarray, accept: float = 0.7, pairs: int = 200_000, penalty: float = 1e-3, seed: int = 7) -> Ranker:
-    """Bradley-Terry weights by Newton's method on at most ``pairs`` preference pairs. One class only: every text is accepted.
+def shares(z: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bin of each score, its shares of the bin's ``p`` Chebyshev nodes): a smooth f has f(z) = sum of shares times f at the nodes."""
+    place = np.floor(z / WIDTH)
+    k = np.arange(p)
+    base = np.cos(np.outer(k, math.pi * (k + 0.5) / p)) * 2 / p
+    base[0] /= 2
+    return place.astype(np.int64), np.polynomial.chebyshev.chebvander(2 * (z / WIDTH - place) - 1, p - 1) @ base
+
+
+def nodes(low: int, high: int, p: int) -> np.ndarray:
+    """The scores of the nodes of the bins ``low`` to ``high``, a row for each bin."""
+    return WIDTH * (np.arange(low, high + 1)[:, None] + (1 + np.cos(math.pi * (np.arange(p) + 0.5) / p)) / 2)
+
 
-    Figures are standardised; the shares of buckets are centred and keep one scale. Pairs are never laid out as rows of
-    differences: a step solves its linear system by conjugate gradients on the scores of single rows.
+def logistic(u: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(u, -700, 700)))
+
+
+@dataclass(frozen=True)
+class Side:
+    """The rows of one label: their bins, and at the bins' nodes the mean slope and curvature of the pairs that a score there is in."""
+
+    low: int
+    high: int
+    slope: np.ndarray
+    curve: np.ndarray
+
+
+def sides(counts: np.ndarray, low: int) -> tuple[float, list[Side]]:
+    """(mean loss of all pairs, the rows labelled 0 and those labelled 1) from (2, bins, NODES) sums of shares, bins from ``low``."""
+    pairs = counts[0].sum() * counts[1].sum()
+    found = [np.flatnonzero(c.any(axis=1)) for c in counts]
+    spans = [(low + int(f[0]), low + int(f[-1])) for f in found]
+    of = [c[f[0] : f[-1] + 1].ravel() for c, f in zip(counts, found, strict=True)]
+    at = [nodes(*span, NODES).ravel() for span in spans]
+    loss = float(of[1] @ (np.logaddexp(0, at[0] - at[1][:, None]) @ of[0]) / pairs)
+    out = []
+    for y, (first, last) in enumerate(spans):
+        sign = 1 if y == 0 else -1  # a higher score of a row labelled 0 adds to the loss
+        own = nodes(first - 1, last + 1, NODES)  # a bin more each way, for scores that rounding moves
+        p = logistic(sign * (own.reshape(-1, 1) - at[1 - y]))
+        out.append(Side(first - 1, last + 1, (sign * p @ of[1 - y] / pairs).reshape(own.shape), ((p * (1 - p)) @ of[1 - y] / pairs).reshape(own.shape)))
+    return loss, out
+
+
+def score_counts(total: Total, standard: Callable[[np.ndarray], np.ndarray], w: np.ndarray) -> tuple[np.ndarray, int]:
+    """((2, bins, NODES) sums of the shares of the scores of each label, number of the first bin)."""
+    low = -int(6 * np.abs(w).sum() / WIDTH) - 2  # standardised features are within 6
+    bins = -2 * low
+
+    def part(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        place, share = shares(standard(x) @ w, NODES)
+        index = ((y * bins + place - low) * NODES)[:, None] + np.arange(NODES)
+        return np.bincount(index.ravel(), share.ravel(), minlength=2 * bins * NODES)
+
+    return total(part).reshape(2, bins, NODES), low
+
+
+def derivatives(total: Total, standard: Callable[[np.ndarray], np.ndarray], w: np.ndarray, own: list[Side], pairs: float) -> tuple[np.ndarray, np.ndarray]:
+    """(gradient, matrix of second derivatives) of the mean loss of all pairs.
+
+    The gradient is to double precision. The matrix is the sum of each row's
+    own square, weighed by its curvature, less the products across labels,
+    which go through the coarse nodes; single precision is enough for it.
     """
-    mean = features.mean(axis=0) if len(features) else np.zeros(FEATURES)
+    d = len(w)
+    upper = np.triu_indices(d)
+    sizes = [(s.high - s.low + 1) * COARSE for s in own]
+
+    def part(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        x = standard(x)
+        z, single = x @ w, x.astype(np.float32)
+        slope, curve, across = np.zeros(len(x)), np.zeros(len(x)), []
+        for label, side in enumerate(own):
+            mine = np.flatnonzero(y == label)
+            place, share = shares(z[mine], NODES)
+            slope[mine] = (share * side.slope[place - side.low]).sum(axis=1)
+            curve[mine] = (share * side.curve[place - side.low]).sum(axis=1)
+            place, share = shares(z[mine], COARSE)
+            spread = np.zeros((len(mine), sizes[label]), np.float32)
+            np.put_along_axis(spread, ((place - side.low) * COARSE)[:, None] + np.arange(COARSE), share.astype(np.float32), axis=1)
+            across.append((spread.T @ single[mine]).ravel())
+        weighed = single * np.sqrt(np.maximum(curve, 0)).astype(np.float32)[:, None]
+        return np.concatenate([slope @ x, (weighed.T @ weighed)[upper], *across])
+
+    slope, squares, bad, good = np.split(total(part), np.cumsum([d, len(upper[0]), sizes[0] * d]))
+    matrix = np.zeros((d, d))
+    matrix[upper] = squares
+    matrix += np.triu(matrix, 1).T
+    at = [nodes(s.low, s.high, COARSE).ravel() for s in own]
+    p = logistic(at[0] - at[1][:, None])
+    cross = good.reshape(-1, d).T @ (p * (1 - p) / pairs) @ bad.reshape(-1, d)
+    return slope, matrix - cross - cross.T
+
+
+def all_pairs(total: Total, standard: Callable[[np.ndarray], np.ndarray], d: int, pairs: float, penalty: float) -> np.ndarray:
+    """Weights that minimise the mean logistic loss of all ``pairs`` of a row labelled 1 over one labelled 0, plus half of ``penalty`` times their squares.
+
+    Newton's method from zero; a step that does not lower the loss is halved.
+    """
+    w, step, best = np.zeros(d), np.zeros(d), math.inf
+    for _ in range(100):
+        loss, own = sides(*score_counts(total, standard, w + step))
+        loss += penalty / 2 * float(np.square(w + step).sum())
+        if loss > best + 1e-11:
+            step = step / 2
+            continue
+        w, best = w + step, loss
+        slope, matrix = derivatives(total, standard, w, own, pairs)
+        step = np.linalg.solve(matrix + penalty * np.eye(d), -slope - penalty * w)
+        if np.abs(step).max() < 1e-6:
+            return w + step
+    return w
+
+
+def standardised(total: Total) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(numbers of rows labelled 0 and 1, mean, scale): figures have their deviation as scale, the shares of buckets are centred and keep one scale."""
     scale = np.full(FEATURES, 4 / math.sqrt(BUCKETS))
-    scale[:FIGURES] = features[:, :FIGURES].std(axis=0) + 1e-9 if len(features) else 1.0
-    good, bad = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)
-    if not len(good) or not len(bad):
-        return Ranker(mean, scale, np.zeros(FEATURES), 0.0, accept)
-    x = np.clip((features - mean) / scale, -6, 6)
-    rng = np.random.default_rng(seed)
-    w = bradley_terry(x, rng.choice(good, pairs), rng.choice(bad, pairs), penalty)
-    ranked = np.sort(x @ w)
-    cut = len(bad)
-    return Ranker(mean, scale, w, float((ranked[cut - 1] + ranked[cut]) / 2), accept)
+    sums = total(lambda x, y: np.concatenate([np.bincount(y, minlength=2), x.sum(axis=0, dtype=np.float64)]))
+    if not len(sums):
+        return np.zeros(2), np.zeros(FEATURES), np.ones(FEATURES)
+    n, mean = sums[:2].sum(), sums[2:] / sums[:2].sum()
+    scale[:FIGURES] = np.sqrt(total(lambda x, y: np.square(x[:, :FIGURES] - mean[:FIGURES]).sum(axis=0)) / n) + 1e-9
+    return sums[:2], mean, scale
+
+
+def learnt(total: Total, middle: Callable[[Ranker, int], float], accept: float, penalty: float) -> Ranker:
+    """A ranker from all rows that ``total`` sums over. One class only: every text is accepted.
+
+    ``middle`` tells the score half way between the last of the so many lowest and the next one.
+    """
+    (bad, good), mean, scale = standardised(total)
+    plain = Ranker(mean, scale, np.zeros(FEATURES), 0.0, accept)
+    if not bad or not good:
+        return plain
+    model = replace(plain, weights=all_pairs(total, plain.standard, FEATURES, bad * good, penalty))
+    return replace(model, threshold=middle(model, int(bad)))
+
+
+def fit(features: np.ndarray, labels: np.ndarray, accept: float = 0.7, penalty: float = 1e-3) -> Ranker:
+    """``learnt`` from rows in memory."""
+
+    def middle(model: Ranker, cut: int) -> float:
+        ranked = np.sort(model.raw(features))
+        return float((ranked[cut - 1] + ranked[cut]) / 2)
+
+    return learnt(lambda part: part(features, labels) if len(features) else np.zeros(0), middle, accept, penalty)
 
 
 def held_out(id_col: str, modulus: int = 4, rest: int = 2) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % modulus == rest, F.lit(False))
 
 
-def features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, x): the features of each text, x as the bytes of its single-precision floats."""
+def features(rows: DataFrame, text_col: str) -> DataFrame:
+    """(y, x): the label and the features of each text, x as the bytes of its single-precision floats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in few(batches, "text"):
             x = text_features(*bw.buffer(batch.column("text"))).astype("<f4")
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([row.tobytes() for row in x], pa.binary())], ["id", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array([row.tobytes() for row in x], pa.binary())], ["y", "x"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, x binary")
+    return rows.select("y", F.col(text_col).alias("text")).mapInArrow(run, "y int, x binary")
+
+
+def labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(features, labels) of at most ``ROWS`` rows that ``features`` wrote."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            own = batch.slice(at, ROWS)
+            yield np.frombuffer(b"".join(own.column("x").to_pylist()), "<f4").reshape(-1, FEATURES), own.column("y").to_numpy()
+
+
+def total_of(rows: DataFrame) -> Total:
+    """Sums over the rows that ``features`` wrote: a task adds up its own, tasks' sums meet in a shuffle by their chunks."""
+
+    def total(part: Part) -> np.ndarray:
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = None
+            for x, y in labelled(batches):
+                mine = part(x, y)
+                own = mine if own is None else own + mine
+            if own is not None:
+                starts = range(0, len(own), CHUNK)
+                yield pa.RecordBatch.from_arrays([pa.array(starts, pa.int32()), pa.array([own[at : at + CHUNK].astype("<f8").tobytes() for at in starts], pa.binary())], ["at", "v"])
+            bw.release()
+
+        def add(own: pa.Table) -> pa.Table:
+            v = sum(np.frombuffer(v, "<f8") for v in own.column("v").to_pylist())
+            return pa.table({"at": own.column("at").slice(0, 1), "v": pa.array([v.tobytes()], pa.binary())})
+
+        got = rows.mapInArrow(work, "at int, v binary").groupBy("at").applyInArrow(add, "at int, v binary").collect()
+        return np.frombuffer(b"".join(bytes(r.v) for r in sorted(got, key=lambda r: r.at)), "<f8")
+
+    return total
+
+
+def value_at(z: DataFrame, rank: int) -> float:
+    """The value number ``rank`` (from 0) of the rising column z, exactly: the bin that holds it becomes the range of the next bins, until it has one value."""
+    low, high = z.agg(F.min("z"), F.max("z")).first()
+    while low < high:
+        place = F.least(F.floor((F.col("z") - low) / (high - low) * 1024), F.lit(1023))
+        own = z.where(F.col("z").between(low, high)).groupBy(place.alias("bin")).agg(F.count("z").alias("n"), F.min("z").alias("low"), F.max("z").alias("high"))
+        for r in own.orderBy("bin").collect():
+            low, high = r.low, r.high
+            if rank < r.n:
+                break
+            rank -= r.n
+    return low
 
 
 def few(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
@@ -190,18 +385,31 @@ def few(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBat
             yield batch.slice(at, ROWS)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", accept: float = 0.7, sample: int = 20_000) -> Ranker:
-    """Fit on at most ``sample`` labelled rows that are not held out, chosen by a hash of their id."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", accept: float = 0.7, penalty: float = 1e-3) -> Ranker:
+    """Learn from every document whose id is labelled and not held out; of an id's labels the least counts."""
     own = labels.where(~held_out(id_col) & F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
     own = own.groupBy(F.col(id_col).alias("label_id")).agg(F.min(label_col).cast("int").alias("y"))
-    own = staged(own.orderBy(F.xxhash64("label_id"), "label_id").limit(sample), "labelled")
-    x = features(docs.join(F.broadcast(own), F.col(id_col) == F.col("label_id"), "left_semi"), id_col, text_col)
-    rows = x.join(F.broadcast(own), F.col("id") == F.col("label_id")).orderBy(F.xxhash64("id"), "x").limit(sample).select("x", "y").toPandas()
-    x = np.frombuffer(b"".join(rows["x"]), "<f4").reshape(-1, FEATURES).astype(np.float64)
-    return fit(x, rows["y"].to_numpy(), accept)
+    texts = docs.where(~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    # texts are many times their labels: the labels are the side that is held, and no text is sorted
+    texts = texts.join(own.hint("shuffle_hash"), F.col("id") == F.col("label_id"))
+    rows = staged(features(texts, "text"), "features")
+
+    def middle(model: Ranker, cut: int) -> float:
+        def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for x, _ in labelled(batches):
+                yield pa.RecordBatch.from_arrays([pa.array(model.raw(x))], ["z"])
+
+        z = staged(rows.mapInArrow(raw, "z double"), "scores")
+        out = (value_at(z, cut - 1) + value_at(z, cut)) / 2
+        drop(z)
+        return out
+
+    model = learnt(total_of(rows), middle, accept, penalty)
+    drop(rows)
+    return model
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", accept: float = 0.7, sample: int = 20_000, keep: list[str] | None = None) -> DataFrame:
+def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", accept: float = 0.7, keep: list[str] | None = None) -> DataFrame:
     """id, held_out, score (0 to 1) and predicted (1 from ``accept`` up), with the columns of ``keep`` beside them.
 
     Only the text is an input of a score. Null, empty and wordless texts all
@@ -209,7 +417,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     held out; repeated rows each return; unlabelled tables, or labels of one
     class, accept every text; an empty table gives none.
     """
-    model = train(docs, labels, id_col, text_col, accept=accept, sample=sample)
+    model = train(docs, labels, id_col, text_col, accept=accept)
     keep = keep or []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
