@@ -15,18 +15,20 @@ Rows with the same set are one class. Classes that candidates connect are
 compared in one place: their texts meet in tasks. A group with too many
 members for a task is dealt into blocks. Each block first meets the group's
 least member, which is enough for copies of one text; only if that leaves the
-group in parts do the smaller parts visit all blocks. Pairs are never emitted:
-a task returns a spanning forest.
+group in parts are blocks of like sizes compared two at a time, unless both
+are of the largest part. What a task holds is bounded, however large the
+group. Pairs are never emitted: a task returns a spanning forest.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerleaf.llm import bytewords as bw
@@ -44,8 +46,8 @@ REST, BUDGET = 34, 27
 CHECKED = 64 + REST
 #: Fingerprints of a key that one task compares, about; keys that are looked up by broadcast, at most; share of rows by which large keys are found.
 KEY_BLOCK, MOST_HOT, SHARE = 1024, 100_000, 16
-#: Members and shingles of a block of texts, about.
-BLOCK, SHINGLES = 4096, 1_000_000
+#: Members, shingles and bytes of a block of texts, about.
+BLOCK, SHINGLES, BYTES = 4096, 1_000_000, 8 << 20
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, ngram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -154,16 +156,28 @@ def meetings(classes: DataFrame) -> DataFrame:
 
 
 def similar(h: np.ndarray, first: np.ndarray, threshold: float, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Links (i, j) that connect the rows as all pairs of at least ``threshold`` do; rows of one ``known`` group are connected already."""
+    """Links (i, j) that connect the rows as all pairs of at least ``threshold`` do; rows of one ``known`` group are connected already.
+
+    Two such rows have at least ``threshold`` of the larger one's shingles in common, so with shingles in one order, rarest
+    first, they share one of the first that are left when so many less one are taken off the end. Only rows that do are compared.
+    """
     size = np.diff(first)
-    code = np.unique(h, return_inverse=True)[1]
-    mark = np.zeros(int(code.max()) + 1 if len(code) else 0, np.int32)
+    told, code, times = np.unique(h, return_inverse=True, return_counts=True)
+    rank = np.empty(len(told), np.int64)
+    rank[np.argsort(times, kind="stable")] = np.arange(len(told))
+    flat = np.sort(np.repeat(np.arange(len(size)), size) << 32 | rank[code]) & 0xFFFFFFFF
+    mark = np.zeros(len(told), np.int32)
+    until = first[:-1] + np.where(size > 0, size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1, 0)
+    until = np.minimum(until, first[1:])
+    index, _ = bw.spans(first[:-1], until)
+    held = np.bincount(flat[index], minlength=len(told))
+    shares = np.bincount(np.repeat(np.arange(len(size)), until - first[:-1]), held[flat[index]] > 1, minlength=len(size)) > 0
+    holder = np.repeat(np.arange(len(size)), until - first[:-1])[np.argsort(flat[index], kind="stable")]
+    cuts = np.append(0, np.cumsum(held))
     known = np.arange(len(size)) if known is None else np.unique(known, return_inverse=True)[1]
     mates = np.argsort(known, kind="stable")
     cut = np.searchsorted(known[mates], np.arange(len(size) + 1))
     open_, links = size > 0, []
-    rows = flat = begin = None
-    alive = int(open_.sum())
     for seed in range(len(size)):
         if not open_[seed]:
             continue
@@ -175,18 +189,20 @@ def similar(h: np.ndarray, first: np.ndarray, threshold: float, known: np.ndarra
             for j in group[open_[group]].tolist():
                 open_[j] = False
                 todo.append(j)
-            left = int(open_.sum())
-            if not left:
-                break
-            if rows is None or left * 2 <= alive:  # look at rows that are still open only
-                rows, alive = np.flatnonzero(open_), left
-                index, begin = bw.spans(first[:-1][rows], first[1:][rows])
-                flat = code[index]
-            own = code[first[i] : first[i + 1]]
+            if not shares[i]:
+                continue
+            own = flat[first[i] : until[i]]
+            rows = holder[bw.spans(cuts[own], cuts[own + 1])[0]]
+            rows = np.unique(rows[open_[rows]])
+            rows = rows[(size[rows] >= threshold * size[i] - 1e-9) & (size[i] >= threshold * size[rows] - 1e-9)]
+            if not len(rows):
+                continue
+            own = flat[first[i] : first[i + 1]]
+            index, begin = bw.spans(first[:-1][rows], first[1:][rows])
             mark[own] = 1
-            both = np.add.reduceat(mark[flat], begin)
+            both = np.add.reduceat(mark[flat[index]], begin)
             mark[own] = 0
-            found = rows[open_[rows] & (both / (size[i] + size[rows] - both) >= threshold)]
+            found = rows[both / (size[i] + size[rows] - both) >= threshold]
             open_[found] = False
             links += [(i, j) for j in found.tolist()]
             todo += found.tolist()
@@ -194,6 +210,40 @@ def similar(h: np.ndarray, first: np.ndarray, threshold: float, known: np.ndarra
     return out[:, 0], out[:, 1]
 
 
+def blocks(block: int, rows: Column | None = None, share: int = 1) -> Column:
+    """Into how many blocks a group's members (those with ``rows``) are dealt, each of a ``share`` of what a task holds; no more than members."""
+    one = F.lit(1) if rows is None else F.when(rows, 1)
+    need = [F.count(one) / block, F.sum(one * F.col("size")) / SHINGLES, F.sum(one * F.col("bytes")) / BYTES]
+    return F.least(F.greatest(*[F.ceil(share * x) for x in need]), F.count(one)).cast("int")
+
+
+def crossing(parts: DataFrame, threshold: float, block: int) -> DataFrame:
+    """(node, meeting, part, one): the members of groups in several parts, dealt so that nodes of different parts that can reach ``threshold`` meet in a task.
+
+    Needs node, meeting, part, size and bytes. A task, (meeting, one), has two blocks of half a task each, one of them not of the
+    largest part. Blocks are of one band of sizes and meet those of its band and the next ones, as the smaller of two sets has
+    ``threshold`` of the larger one's size at least.
+    """
+    main = parts.groupBy("meeting", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("meeting").agg(F.max(F.struct("n", "part")).alias("most"), F.count(F.lit(1)).alias("parts"))
+    own = parts.join(main.where("parts > 1").select("meeting", F.col("most.part").alias("main")).hint("merge"), "meeting")
+    band = F.floor(F.log("size") / -math.log(threshold) + 1e-9).cast("int")
+    own = own.withColumns({"other": F.col("part") != F.col("main"), "band": band})
+    bands = own.groupBy("meeting", "band").agg(blocks(block, ~F.col("other"), 2).alias("mains"), blocks(block, F.col("other"), 2).alias("others"))
+    # the blocks of a group are numbered band by band: those of the largest part from low, the others from mid
+    order = Window.partitionBy("meeting").orderBy("band")
+    bands = bands.withColumn("high", F.sum(F.col("mains") + F.col("others")).over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    bands = bands.withColumn("mid", F.col("high") - F.col("others")).withColumn("low", F.col("mid") - F.col("mains"))
+    bands = bands.withColumn("near", F.collect_list(F.struct("low", "mid", "high")).over(order.rangeBetween(-1, 1)))
+    numbers = lambda x, start: F.when(x["high"] > x[start], F.sequence(x[start], x["high"] - 1)).otherwise(F.expr("cast(array() as array<int>)"))
+    of = lambda start: F.flatten(F.transform("near", lambda x: numbers(x, start)))
+    own = own.join(bands.hint("merge"), ["meeting", "band"])
+    deal = lambda start, n: (F.col(start) + F.pmod(F.xxhash64("node"), F.col(n))).cast("int")
+    mine = F.when(F.col("other"), deal("mid", "others")).otherwise(deal("low", "mains"))
+    each = own.withColumn("mine", mine).withColumn("with", F.explode(F.when(F.col("other"), of("low")).otherwise(of("mid"))))
+    one = F.shiftleft(F.least("with", "mine").cast("long"), 31).bitwiseOR(F.greatest("with", "mine").cast("long"))
+    return each.select("node", "meeting", "part", one.alias("one"))
+
+
 def near_copies(docs: DataFrame, id_col: str, text_col: str = "text", ngram: int = 5, threshold: float = 0.8, block: int = BLOCK) -> DataFrame:
     """One row per row of ``docs``: its id, which must be a unique long, and component_id, the smallest id reachable.
 
@@ -220,26 +270,28 @@ def _components(texts: DataFrame, id_col: str, ngram: int, threshold: float, blo
             both, counts = np.zeros((len(filled), 2), np.uint64), np.zeros(len(filled), np.int64)
             both[filled], counts[filled] = words, n
             keys = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), pa.array(keys))
-            columns = [batch.column("id"), pa.array(digest, pa.binary()), pa.array(np.diff(first)), *(pa.array(both[:, i].copy().view(np.int64)) for i in (0, 1)), keys]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "digest", "size", "word_a", "word_b", "keys"])
+            size = pa.array(np.diff(bw.buffer(batch.column("text"))[1]))
+            columns = [batch.column("id"), pa.array(digest, pa.binary()), pa.array(np.diff(first)), size, *(pa.array(both[:, i].copy().view(np.int64)) for i in (0, 1)), keys]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "digest", "size", "bytes", "word_a", "word_b", "keys"])
 
-    sketches = staged(texts.mapInArrow(sketch, "id long, digest binary, size long, word_a long, word_b long, keys array<int>"), "sketches")
+    sketches = staged(texts.mapInArrow(sketch, "id long, digest binary, size long, bytes long, word_a long, word_b long, keys array<int>"), "sketches")
     sample = F.first(F.struct("size", "word_a", "word_b", "keys")).alias("x")  # equal for equal digests
-    classes = staged(sketches.groupBy("digest").agg(F.min("id").alias("node"), sample).select("digest", "node", "x.*"), "classes")
+    classes = staged(sketches.groupBy("digest").agg(F.min("id").alias("node"), F.max("bytes").alias("bytes"), sample).select("digest", "node", "bytes", "x.*"), "classes")
     digests = staged(sketches.select("id", "digest"), "digests")
     drop(sketches)
     free_shuffles(spark)
     met = meetings(classes)
     free_shuffles(spark)
-    coarse = connected_components(met, "a", "b").join(classes.select("node", "size").hint("merge"), "node")
-    coarse = staged(coarse.select("node", F.col("root").alias("meeting"), "size"), "meetings")
-    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("size") / SHINGLES)).cast("int").alias("blocks")
-    sized = coarse.groupBy("meeting").agg(blocks)
-    members = staged(coarse.join(sized.hint("merge"), "meeting").select("node", "meeting", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("mine")), "members")
+    coarse = connected_components(met, "a", "b").join(classes.select("node", "size", "bytes").hint("merge"), "node")
+    coarse = staged(coarse.select("node", F.col("root").alias("meeting"), "size", "bytes"), "meetings")
+    sized = coarse.groupBy("meeting").agg(blocks(block).alias("blocks"))
+    members = staged(coarse.join(sized.hint("merge"), "meeting").select("node", "meeting", "size", "bytes", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("mine")), "members")
 
     def compare(group: pa.Table) -> pa.Table:
-        h, first = shingle_sets(*bw.buffer(group.column("text").combine_chunks()), ngram)
-        node = group.column("node").to_numpy()
+        # a slice of the text at a time, as arrays beside it are many times its size
+        sets = [shingle_sets(*bw.buffer(x.column("text")), ngram) for x in bw.slices(iter(group.to_batches()), "text")]
+        h, sizes = np.concatenate([x for x, _ in sets]), np.concatenate([np.diff(x) for _, x in sets])
+        first, node = np.append(0, np.cumsum(sizes)), group.column("node").to_numpy()
         a, b = similar(h, first, threshold, group.column("part").to_numpy())
         return pa.table({"a": pa.array(node[a]), "b": pa.array(node[b])})
 
@@ -247,16 +299,13 @@ def _components(texts: DataFrame, id_col: str, ngram: int, threshold: float, blo
         return dealt.select("node", "meeting", "text", "part", "one").groupBy("meeting", "one").applyInArrow(compare, "a long, b long")
 
     read = members.join(texts.hint("merge"), F.col("node") == F.col("id"))
-    everywhere = F.sequence(F.lit(0), F.col("blocks") - 1)
-    first_deal = F.when(F.col("node") == F.col("meeting"), everywhere).otherwise(F.array("mine"))
+    first_deal = F.when(F.col("node") == F.col("meeting"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("mine"))
     found = staged(links(read.withColumn("part", F.col("node")).withColumn("one", F.explode(first_deal))), "near")
     roots = staged(connected_components(found, "a", "b"), "near_roots")
-    parts = members.where("blocks > 1").join(roots.hint("merge"), "node", "left").select("node", "meeting", "blocks", "mine", F.coalesce("root", "node").alias("part"))
-    main = parts.groupBy("meeting", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("meeting").agg(F.max(F.struct("n", "part")).alias("most"), F.count(F.lit(1)).alias("parts"))
-    main = staged(main.where("parts > 1").select("meeting", F.col("most.part").alias("main")), "split")
-    if main.head(1):
-        again = parts.join(main.hint("merge"), "meeting").join(texts.hint("merge"), F.col("node") == F.col("id"))
-        again = again.withColumn("one", F.explode(F.when(F.col("part") == F.col("main"), F.array("mine")).otherwise(everywhere)))
+    parts = members.where("blocks > 1").join(roots.hint("merge"), "node", "left")
+    across = staged(crossing(parts.select("node", "meeting", "size", "bytes", F.coalesce("root", "node").alias("part")), threshold, 4 * block), "split")
+    if across.head(1):
+        again = across.join(texts.hint("merge"), F.col("node") == F.col("id"))
         roots = staged(connected_components(found.union(staged(links(again), "near_again")), "a", "b"), "near_roots")
     named = classes.select("digest", "node").join(roots.hint("merge"), "node", "left").select("digest", F.coalesce("root", "node").alias("component_id"))
     return digests.join(named.hint("merge"), "digest").select(F.col("id").alias(id_col), "component_id")
