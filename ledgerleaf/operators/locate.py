@@ -176,15 +176,19 @@ def group_rows(tokens: DataFrame, tol: float = 5.0) -> DataFrame:
     Tokens of equal y are of one row, that of the first of them, as later rows come after it. So the fold runs over a page's distinct
     heights in the order of their first tokens and holds the rows it opened, which are over ``tol`` apart. A page bounds the group.
     """
-    heights = tokens.groupBy("doc_id", "page_number", "y").agg(F.min("token_id").alias("first"), F.collect_list("token_id").alias("ids"))
-    paged = heights.groupBy("doc_id", "page_number").agg(F.array_sort(F.collect_list(F.struct("first", "y", "ids"))).alias("own"))
+    heights = tokens.groupBy("doc_id", "page_number", "y").agg(F.min("token_id").alias("first"), F.collect_list("token_id").alias("held"))
+    return rows_of_heights(heights, tol).select("doc_id", "page_number", F.explode("held").alias("token_id"), "row_y")
+
+
+def rows_of_heights(heights: DataFrame, tol: float) -> DataFrame:
+    """The row of each distinct height of a page, from the height y, its first token and what it holds (``held``)."""
+    paged = heights.groupBy("doc_id", "page_number").agg(F.array_sort(F.collect_list(F.struct("first", "y", "held"))).alias("own"))
     near = lambda rows, y: F.get(F.filter(rows, lambda r: F.abs(r - y) <= tol), F.lit(0))
     step = lambda rows, t: F.when(near(rows, t["y"]).isNull(), F.concat(rows, F.array(t["y"]))).otherwise(rows)
     rows = F.aggregate("own", F.expr("cast(array() as array<double>)"), step)
     # the rows are an array of one, so that they are worked out once
     each = paged.select("doc_id", "page_number", "own", F.explode(F.array(rows)).alias("rows")).select("doc_id", "page_number", "rows", F.explode("own").alias("t"))
-    named = each.select("doc_id", "page_number", F.col("t.ids").alias("ids"), near(F.col("rows"), F.col("t.y")).alias("row_y"))
-    return named.select("doc_id", "page_number", F.explode("ids").alias("token_id"), "row_y")
+    return each.select("doc_id", "page_number", F.col("t.held").alias("held"), near(F.col("rows"), F.col("t.y")).alias("row_y"))
 
 
 def group_lines(tokens: DataFrame, tol: float = 5.0) -> DataFrame:
@@ -224,9 +228,12 @@ def detect_tables(tokens: DataFrame, gap: float = 20.0, tol: float = 5.0, least_
     Tokens become rows by their y (``group_rows``); in a row, a distance of over ``gap`` from the furthest end so far begins a cell.
     Maximal runs of rows with enough cells are tables, the first row being the header. Columns are the
     sessions of a table's sorted cell edges: one begins where no cell of any row reaches within ``gap``. Needs doc_id, page_number, token_id, x, y, width and str.
+    Tokens are shuffled once, by page, and all the rest happens where a page lies; a page bounds the group.
     """
     page = ["doc_id", "page_number"]
-    rows = tokens.join(group_rows(tokens, tol).hint("merge"), [*page, "token_id"]).withColumn("end", F.col("x") + F.col("width"))
+    dealt = tokens.select(*page, "token_id", "x", "y", (F.col("x") + F.col("width")).alias("end"), "str").repartition(*page)
+    heights = dealt.groupBy(*page, "y").agg(F.min("token_id").alias("first"), F.collect_list(F.struct("token_id", "x", "end", "str")).alias("held"))
+    rows = rows_of_heights(heights, tol).select(*page, "row_y", F.explode("held").alias("t")).select(*page, "row_y", "t.*")
 
     def sessions(df: DataFrame, keys: list[str], name: str) -> DataFrame:
         w = Window.partitionBy(*keys).orderBy("x", "end")
@@ -241,8 +248,10 @@ def detect_tables(tokens: DataFrame, gap: float = 20.0, tol: float = 5.0, least_
     few = F.sum(F.when(F.size("cells") >= least_cells, 0).otherwise(1)).over(line)
     runs = sized.withColumn("run", few).where(F.size("cells") >= least_cells)
     table = [*page, "run"]
-    edges = sessions(runs.select(*table, F.explode("cells").alias("c")).select(*table, "c.x", "c.end"), table, "column").groupBy(*table).agg((F.max("column") + 1).cast("int").alias("n_columns"))
-    found = runs.groupBy(*table).agg(F.array_sort(F.collect_list(F.struct("row_y", F.transform("cells", lambda c: c["text"]).alias("texts")))).alias("rows")).where(F.size("rows") >= least_rows)
-    out = found.join(edges.hint("merge"), table).withColumn("cells", F.flatten(F.transform("rows", lambda r: r["texts"])))
+    placed = sessions(runs.select(*table, "row_y", F.explode("cells").alias("c")).select(*table, "row_y", "c.*"), table, "column")
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("cell", "text"))), lambda c: c["text"])
+    lined = placed.groupBy(*table, "row_y").agg(texts.alias("texts"), F.max("column").alias("column"))
+    found = lined.groupBy(*table).agg(F.array_sort(F.collect_list(F.struct("row_y", "texts"))).alias("rows"), (F.max("column") + 1).cast("int").alias("n_columns")).where(F.size("rows") >= least_rows)
+    out = found.withColumn("cells", F.flatten(F.transform("rows", lambda r: r["texts"])))
     first = F.element_at("rows", 1)
     return classify_table(out).select(*page, first["row_y"].alias("header_y"), F.size("rows").alias("n_rows"), "n_columns", first["texts"].alias("header"), "cells", "table_type")

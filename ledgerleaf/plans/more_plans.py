@@ -187,8 +187,7 @@ FROM low JOIN cols USING (doc_id, page_number, run)
 
 @query("d5_tables", TABLES_SQL)
 def _(spark, d):
-    own = views.tokens(spark, d).where("str <> '|'")
-    return locate.detect_tables(own.select("doc_id", (F.col("page0") + 1).alias("page_number"), (F.col("line_no").cast("long") * 100000 + F.col("token_idx")).alias("token_id"), "x", "y", "width", "str"))
+    return locate.detect_tables(views.word_runs(spark, d))
 
 
 LATE = """

@@ -1,6 +1,7 @@
 """Operators on hand-made rows that the driver's tables do not hold."""
 
 import math
+import random
 from functools import reduce
 
 import pytest
@@ -395,3 +396,26 @@ def test_documents_are_parsed_once_for_all_rules(spark):
     json = F.udf(told).asNondeterministic()("id")
     rows = spark.range(2, numPartitions=1).select("id", json.alias("json"))
     assert detect.check_conformance(rows).count() == 9 and asked.value == 2
+
+
+def test_runs_of_words_make_the_tables_of_words(spark, tmp_path):
+    """Lines of words, bars and gaps of all kinds, some longer than a piece: joined words give the tables that the words alone give."""
+    rng = random.Random(5)
+    line = lambda n: "".join(rng.choice(["a", "bb", "é|", "|c", "||", "|", "|", "\t", "\r", "Balance", "account"]) + " " * rng.choice([1, 1, 1, 2, 3, 4, 9]) for _ in range(n))
+    texts = ["\n".join(rng.choice(["", "  ", "|", "x"]) if rng.random() < 0.3 else " " * rng.randrange(5) + line(rng.choice([1, 2, 5, 40, 90])) for _ in range(60)) for _ in range(40)]
+    spark.createDataFrame(list(enumerate([*texts, "", None])), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    words = views.tokens(spark, str(tmp_path)).where("str <> '|'")
+    words = words.select("doc_id", (F.col("page0") + 1).alias("page_number"), (F.col("line_no") * F.lit(1 << 32) + F.col("token_idx")).alias("token_id"), "x", "y", "width", "str")
+    runs = views.word_runs(spark, str(tmp_path))
+    assert runs.count() < words.count()
+    want = sorted(map(str, locate.detect_tables(words).collect()))
+    assert len(want) > 40 and sorted(map(str, locate.detect_tables(runs).collect())) == want
+
+
+def test_tables_shuffle_tokens_once(spark):
+    """One shuffle, by page, is all there is."""
+    tokens = spark.createDataFrame([(1, 1, i, float(x), 50.0 + 15 * (i // 3), 20.0, "w") for i, x in enumerate([0, 100, 200] * 4)], "doc_id long, page_number int, token_id long, x double, y double, width double, str string")
+    found = locate.detect_tables(tokens)
+    assert [(r.n_rows, r.n_columns, r.header) for r in found.collect()] == [(4, 3, ["w"] * 3)]
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning") == 1
